@@ -61,17 +61,23 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """fn takes one pyarrow RecordBatch and returns the columns of the result as a list; one output batch per input batch."""
+def map_arrow(df: DataFrame, fn: Callable, schema: str, *, keep: bool = False) -> DataFrame:
+    """fn takes one pyarrow RecordBatch and returns the new columns as a list of lists or arrays.
+
+    keep: the columns of df stay, in front of the new ones, whose names must be free in df (``free_name``).
+    """
     ship(df.sparkSession)
-    target = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in _schema(schema).fields])
+    new = _schema(schema)
+    target = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in new.fields])
+    out = type(new)([*df.schema.fields, *new.fields]) if keep else new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(fn(b), target, strict=True)], schema=target)
+                cols = [c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(fn(b), target, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.columns if keep else ()), *cols], names=[*(b.schema.names if keep else ()), *target.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, out)
 
 
 def _schema(ddl: str):
