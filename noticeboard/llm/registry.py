@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from noticeboard.llm import decontaminate
+from noticeboard.llm import decontaminate, pack
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2}
+    return {"op2_decontaminate": decontaminate.op2, "op5_pack": pack.op5}
 
 
 def oracle_sql() -> dict:
