@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from noticeboard.llm import decontaminate, pack
+from noticeboard.llm import decontaminate, pack, secrets, toxicity
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2, "op5_pack": pack.op5}
+    return {"op2_decontaminate": decontaminate.op2, "op4_secrets": secrets.op4, "op5_pack": pack.op5, "op7_toxicity": toxicity.op7}
 
 
 def oracle_sql() -> dict:
