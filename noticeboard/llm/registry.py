@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from noticeboard.llm import decontaminate, fingerprint, pack, secrets, toxicity
+from noticeboard.llm import decontaminate, fingerprint, lm, pack, secrets, toxicity
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2, "op4_secrets": secrets.op4, "op5_pack": pack.op5, "op7_toxicity": toxicity.op7, "op8_fingerprint": fingerprint.op8}
+    return {"op2_decontaminate": decontaminate.op2, "op4_secrets": secrets.op4, "op5_pack": pack.op5, "op7_toxicity": toxicity.op7, "op8_fingerprint": fingerprint.op8, "op9_lm": lm.op9}
 
 
 def oracle_sql() -> dict:
