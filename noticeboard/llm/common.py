@@ -144,3 +144,8 @@ def crc_of_id(col) -> object:
     return F.crc32(F.col(col).cast("string").cast("binary")) if isinstance(col, str) else F.crc32(col.cast("string").cast("binary"))
 
 
+
+
+def maybe_broadcast(df: DataFrame, rows: int = 400_000) -> DataFrame:
+    """df, marked for broadcast where it has at most so many rows (narrow ones: ids, or ids with a few numbers); else a plain join side."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from noticeboard.llm import decontaminate, fingerprint, lm, neardup, pack, secrets, toxicity
+from noticeboard.llm import decontaminate, fingerprint, linededup, lm, neardup, pack, secrets, toxicity
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2, "op3_neardup": neardup.op3, "op4_secrets": secrets.op4, "op5_pack": pack.op5, "op7_toxicity": toxicity.op7, "op8_fingerprint": fingerprint.op8, "op9_lm": lm.op9}
+    return {"op1_linededup": linededup.op1, "op2_decontaminate": decontaminate.op2, "op3_neardup": neardup.op3, "op4_secrets": secrets.op4, "op5_pack": pack.op5, "op7_toxicity": toxicity.op7, "op8_fingerprint": fingerprint.op8, "op9_lm": lm.op9}
 
 
 def oracle_sql() -> dict:
