@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import U, grams, hashed, map_arrow, space_words, stored, table
+from noticeboard.llm.common import U, free_name, grams, hashed, map_arrow, maybe_broadcast, space_words, stored, table
 from noticeboard.llm.components import components
 
 SHINGLE, SLOTS, BITS, ROWS, BANDS, SMALL, SIGMAS, SAMPLE = 5, 256, 4, 5, 24, 64, 4.0, 64
@@ -194,5 +194,6 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """docs without the rows that near-duplicate grouping does not keep; their columns are as they were."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    key = free_name(docs, "gone")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(maybe_broadcast(gone), docs[id_col] == gone[key], "left_anti")
