@@ -88,12 +88,14 @@ def edited_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     The texts are shuffled once (both joins deal them by id); of the next document only the beginning that is needed
     and its sketch move.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = stored(d.groupBy("id").agg(F.max(F.length("text")).alias("n")).filter("id is not null"), "sizes")
+    every = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = every.filter("id is not null")  # the same plan on both sides of the joins, so that its exchange is reused
+    sizes = stored(d.groupBy("id").agg(F.max(F.length("text")).alias("n")), "sizes")
     after = successors(sizes.select("id")).join(sizes, "id").select(F.col("id").alias("before"), F.col("next"), F.expr("n div 4").cast("int").alias("m"))
     heads = d.join(after, d["id"] == after["next"]).select(F.col("before"), F.expr("left(text, m)").alias("head"), sketch(F.col("text"), k, fraction).alias("next_sketch"))
     heads = heads.groupBy("before").agg(F.min(F.struct("head", "next_sketch")).alias("h"))
-    both = d.join(heads, d["id"] == heads["before"], "left")
+    both = d.join(heads, d["id"] == heads["before"], "left").select("id", "text", "h")
+    both = both.unionByName(every.filter("id is null").withColumn("h", F.lit(None).cast(both.schema["h"].dataType)))
     n = F.length("text")
     m = F.expr("length(text) div 4").cast("int")
     head = F.expr("left(coalesce(h.head, ''), cast(length(text) div 4 as int))")
