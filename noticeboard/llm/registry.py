@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from noticeboard.llm import decontaminate, fingerprint, linededup, lm, neardup, pack, quality, secrets, toxicity
+from noticeboard.llm import decontaminate, fingerprint, linededup, lm, neardup, pack, pii, quality, secrets, toxicity
 
 
 def queries() -> dict:
-    return {"op1_linededup": linededup.op1, "op2_decontaminate": decontaminate.op2, "op3_neardup": neardup.op3, "op4_secrets": secrets.op4, "op5_pack": pack.op5, "op7_toxicity": toxicity.op7, "op8_fingerprint": fingerprint.op8, "op9_lm": lm.op9, "op10_quality": quality.op10, "pipeline": corpus_pipeline.run}
+    return {"op1_linededup": linededup.op1, "op2_decontaminate": decontaminate.op2, "op3_neardup": neardup.op3, "op4_secrets": secrets.op4, "op5_pack": pack.op5, "op6_pii": pii.op6, "op7_toxicity": toxicity.op7, "op8_fingerprint": fingerprint.op8, "op9_lm": lm.op9, "op10_quality": quality.op10, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
