@@ -251,6 +251,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
     """doc_id, text with surrogates, counts by kind, spans (kind:start:end of the old text)."""
     p = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
     s = F.col("pii.spans")
-    counts = [F.size(F.filter(s, lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
     listed = F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     return p.select("doc_id", F.col("pii.text").alias("text"), *counts, listed.alias("spans"))
