@@ -138,7 +138,8 @@ def stage(event: Column, p: RuleProfile) -> Column:
 
 def cities(texts: list[Column], p: RuleProfile) -> Column:
     """C12, list: cities in the order of the texts, then of the list; each once."""
-    per = [F.filter(F.array(*map(F.lit, p.cities)), lambda c, t=t: F.contains(F.coalesce(t, F.lit("")), c)) for t in texts]
+    held = lambda t: F.filter(F.array(*map(F.lit, p.cities)), lambda c: F.contains(F.coalesce(t, F.lit("")), c))
+    per = [held(t) for t in texts]
     return F.array_distinct(F.flatten(F.array(*per)))
 
 

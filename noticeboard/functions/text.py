@@ -58,10 +58,13 @@ def truncated(c: Column, n: int, marker: str = "\n\n[内容已截断]") -> Colum
     return F.when(F.length(v) > n, F.concat(F.left(v, F.lit(n)), F.lit(marker))).otherwise(v)
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility normal form; no built-in has it."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(c: Column) -> Column:
+    """Compatibility normal form, by Arrow batches; no built-in has it."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def folded_title(c: Column, full: bool = True) -> Column:
@@ -218,9 +221,8 @@ def with_signature(c: Column, signer: Column) -> Column:
     return F.when((signer != "") & signer.isNotNull(), v).otherwise(c)
 
 
-@F.pandas_udf("string")
-def cut_repeated_block(s: pd.Series) -> pd.Series:
-    """A text whose beginning comes again (from a quarter of its length on) ends before that."""
+def cut_repeated_block(c: Column) -> Column:
+    """A text whose beginning comes again (from a quarter of its length on) ends before that. By Arrow batches."""
 
     def one(text: str | None) -> str | None:
         if text is None:
@@ -235,7 +237,10 @@ def cut_repeated_block(s: pd.Series) -> pd.Series:
             at += len(head[0])
         return text
 
-    return s.map(one)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def without_lonely_x(c: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from noticeboard.functions.dates import parsed
 from noticeboard.functions.text import SUFFIXES, blank, has_any, strip
 from noticeboard.sources.registry import connector
+from noticeboard.sources.tables import ship
 
 #: fixed values: what error pages say, and link texts that name no file
 ERROR_MARKERS = ("404 not found", "nginx 404", "error 404", "页面不存在", "您访问的页面不存在", "系统发生错误", "访问出错")
@@ -176,7 +177,8 @@ DETAIL = "struct<content:string,attachments:array<struct<filename:string,file_ur
 def details(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with `detail` and `detail_failed`. The parser runs on Arrow batches; a page it can't read is a failed one."""
 
-    @F.pandas_udf(DETAIL)
+    ship(pages.sparkSession)
+
     def parse(url: pd.Series, html: pd.Series) -> pd.DataFrame:
         rows = []
         for u, h in zip(url, html, strict=True):
@@ -186,7 +188,7 @@ def details(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -
                 rows.append({"content": "", "attachments": []})
         return pd.DataFrame(rows, columns=["content", "attachments"])
 
-    d = pages.withColumn("detail", parse(url_col, html_col))
+    d = pages.withColumn("detail", F.pandas_udf(parse, DETAIL)(url_col, html_col))
     return d.withColumn("detail_failed", is_error_page(F.concat_ws("\n", page_title(F.col(html_col)), "detail.content"), F.size("detail.attachments")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeboard.functions.text import cell, compact, count_text, has_any, strip
 from noticeboard.plans.profile import RuleProfile
+from noticeboard.sources.tables import ship
 
 PARSER_VERSION = 2
 #: fixed values: the roles whose rows are kept
@@ -91,7 +92,8 @@ def sheet_rows(files: DataFrame, readers: dict[str, Callable[[bytes], Rows]] | N
     """File, rows of files (path, content, file_type); if a sheet's declared type fails, the other one is tried."""
     by = dict(READERS if readers is None else readers)
 
-    @F.pandas_udf("array<array<string>>")
+    ship(files.sparkSession)
+
     def parse(kind: pd.Series, content: pd.Series) -> pd.Series:
         def one(k: str | None, data: bytes | None):
             for t in [k, *({"xls", "xlsx"} - {k} if k in ("xls", "xlsx") else ())]:
@@ -104,7 +106,7 @@ def sheet_rows(files: DataFrame, readers: dict[str, Callable[[bytes], Rows]] | N
 
         return pd.Series([one(k, c) for k, c in zip(kind, content, strict=True)])
 
-    return files.select(F.col("path").alias("file"), parse("file_type", "content").alias("rows"))
+    return files.select(F.col("path").alias("file"), F.pandas_udf(parse, "array<array<string>>")("file_type", "content").alias("rows"))
 
 
 def header_field(c: Column, p: RuleProfile) -> Column:

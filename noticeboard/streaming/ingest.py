@@ -11,8 +11,9 @@ from noticeboard.operators.tasks import latest_by
 from noticeboard.sources.tables import table
 
 
-def file_stream(spark: SparkSession, location: str, schema, *, files_per_batch: int = 100, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(location)
+def file_stream(spark: SparkSession, location: str, schema, *, files_per_batch: int = 100, fmt: str = "parquet", glob: str = "*") -> DataFrame:
+    """New files of a folder whose names match."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", glob).format(fmt).load(location)
 
 
 def run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, *, every: str | None = None) -> StreamingQuery:
@@ -42,5 +43,5 @@ def latest_by_stream(spark: SparkSession, sf_dir: str, state: str) -> DataFrame:
     """events by a stream of files, folded to the last event of each user."""
     schema = table(spark, sf_dir, "events").schema
     folded = Latest(spark, f"{state}/table", "user_id", "ts", "event_id")
-    run(file_stream(spark, f"{sf_dir}/events.parquet", schema), folded, f"{state}/checkpoint").awaitTermination()
+    run(file_stream(spark, sf_dir, schema, glob="events.parquet"), folded, f"{state}/checkpoint").awaitTermination()
     return folded.table()
