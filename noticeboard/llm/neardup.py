@@ -123,7 +123,7 @@ def _majority(pdf):
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
     """Of pairs (a, b) those with 100 * |intersection| >= percent * |union|, by their full sets."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(ids, "id", "left_semi")
+    texts = docs.join(maybe_broadcast(ids), "id", "left_semi")
     sets = stored(map_arrow(texts.select("id", "text"), lambda b: [b.column(0), [shingles(t, k).tobytes() for t in b.column(1).to_pylist()]], f"id {docs.schema['id'].dataType.simpleString()}, set binary"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
