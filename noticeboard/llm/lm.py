@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from noticeboard.llm.common import STEP, U, crc_of_id, mixed, ship, space_words, stored, table
 
-CHUNK, RANGE, BITS, BUCKETS, LEVELS = 2_000_000, 2_000_000, 56, 48, 80
+CHUNK, RANGE, BITS, BUCKETS, LEVELS = 1_200_000, 1_500_000, 56, 48, 80
 END, START = U(xxhash.xxh3_64_intdigest(b" end ")), U(xxhash.xxh3_64_intdigest(b" start "))  # no words: they hold spaces
 
 
