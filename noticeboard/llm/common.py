@@ -61,6 +61,12 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def slices(b: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that only few texts are Python strings at a time."""
+    for i in range(0, b.num_rows, rows):
+        yield b.slice(i, rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str, *, keep: bool = False) -> DataFrame:
     """fn takes one pyarrow RecordBatch and returns the new columns as a list of lists or arrays.
 
@@ -73,7 +79,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, *, keep: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
+            for b in slices(b):
                 cols = [c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(fn(b), target, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.columns if keep else ()), *cols], names=[*(b.schema.names if keep else ()), *target.names])
 
@@ -106,7 +112,15 @@ class WordHash(dict):
         return h
 
 
-_HASHES = WordHash()
+_SLOT: list = [None, None]
+
+
+def cache(name: str, make: Callable):
+    """What one operator remembers in this worker process. There is one at a time: the next operator's takes its place."""
+    if _SLOT[0] != name:
+        _SLOT[:] = [None, None]
+        _SLOT[:] = [name, make()]
+    return _SLOT[1]
 
 
 def space_words(text: str | None) -> list[bytes]:
@@ -115,7 +129,7 @@ def space_words(text: str | None) -> list[bytes]:
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), U, len(words))
+    return np.fromiter(map(cache("words", WordHash).__getitem__, words), U, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import STEP, U, crc_of_id, mixed, ship, space_words, stored, table
+from noticeboard.llm.common import STEP, U, crc_of_id, mixed, ship, slices, space_words, stored, table
 
 CHUNK, RANGE, BITS, BUCKETS, LEVELS = 1_200_000, 1_500_000, 56, 48, 80
 END, START = U(xxhash.xxh3_64_intdigest(b" end ")), U(xxhash.xxh3_64_intdigest(b" start "))  # no words: they hold spaces
@@ -93,7 +93,7 @@ def chunks(docs: DataFrame, held_out: Column, deleted: Column, *, id_col: str, t
             values = [pa.array([c.ids], pa.list_(id_type)), pa.array([(base + count) * 2 + odd], pa.int64()), pa.array([c.held], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in (squeezed(sizes), squeezed(place[np.concatenate(c.parts)]), squeezed(words[order]))), pa.array([c.tokens], pa.int64()), pa.array([n_train], pa.int64())]
             return pa.RecordBatch.from_arrays(values, names=names)
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             id_type = b.column(0).type
             for i, text, held, deleted in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 odd = int(deleted and not held)

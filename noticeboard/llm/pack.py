@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import ship, stored, table
+from noticeboard.llm.common import cache, ship, slices, stored, table
 
 CAPACITY, END, GROUPS, REMEMBERED = 2048, 0, 32, 400_000
 
@@ -97,11 +97,8 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    return _ENCODERS.setdefault(path, None) or _ENCODERS.update({path: Encoder(path)}) or _ENCODERS[path]
+    return cache(f"encoder {path}", lambda: Encoder(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -119,7 +116,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen, task, last = encoder(tokenizer), Counter(), TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rows, at = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = memoryview((encode(text) if text else b"") + last)

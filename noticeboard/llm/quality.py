@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import crc_of_id, free_name, map_arrow, ship, table
+from noticeboard.llm.common import cache, crc_of_id, free_name, map_arrow, ship, table
 
 SAMPLE, BITS, RIDGE, ROUNDS, SCALE = 8_000, 16, 1e-3, 250, 3.0
 
@@ -146,9 +146,6 @@ class _Weights(dict):
         return x
 
 
-_KEPT: dict[int, _Weights] = {}
-
-
 def graded(docs: DataFrame, model: Model, *, text_col: str = "text", least: int | None = None, name: str = "quality") -> DataFrame:
     """docs with a column of the expected grade and P(grade >= least) (by default: the least grade but one). No shuffle."""
     name = free_name(docs, name)
@@ -157,10 +154,7 @@ def graded(docs: DataFrame, model: Model, *, text_col: str = "text", least: int
 
     def run(b: pa.RecordBatch) -> list:
         model = sent.value
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = _Weights(model.weights)
-        of = _KEPT[key]
+        of = cache(f"quality {key}", lambda: _Weights(model.weights))
         s = []
         for text in b.column(b.schema.get_field_index(text_col)).to_pylist():
             text = text or ""

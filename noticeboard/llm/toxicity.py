@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import crc_of_id, free_name, map_arrow, ship, table
+from noticeboard.llm.common import cache, crc_of_id, free_name, map_arrow, ship, table
 
 SAMPLE, TERMS, WINDOW = 12_000, 600, 6
 #: fixed values: a small starting lexicon
@@ -291,15 +291,9 @@ def _featured(words: list[str], strength: list[float]):
     return run
 
 
-_READERS: dict[int, Reader] = {}
-
-
 def reader(model: Model) -> Reader:
     key = zlib.crc32(repr((model.terms, model.strength)).encode())
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(model.terms, model.strength)
-    return _READERS[key]
+    return cache(f"toxicity {key}", lambda: Reader(model.terms, model.strength))
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "toxicity") -> DataFrame:
