@@ -3,7 +3,8 @@
 Lines are what newlines and sentence ends bound; a long one is also cut after words picked by their hash, so that a
 passage inside a long line still has whole lines in common. Every line of `LINE_WORDS` words or more that several
 documents have (a rare line: prose repeats none by chance) links each of them to the earliest document that has it;
-pairs that share `SHARED_WORDS` words in such lines are aligned. The alignment is a patience diff: lines that both
+pairs in which such lines, at equal distance in both documents, reach over `REACH` words are aligned (a block of equal
+words has all its lines at one distance; a common heading alone doesn't reach that far). The alignment is a patience diff: lines that both
 documents have, in the longest run that keeps the order of both, are anchors; each is extended word by word to both
 sides. Aligned blocks of `BLOCK_WORDS` words or more are deleted from the later document (the greater id). What is
 left is aligned again until nothing is found, for blocks in another order.
@@ -28,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import U, free_name, map_arrow, maybe_broadcast, mixed, ship, stored, table
+from noticeboard.llm.common import U, cache, free_name, map_arrow, maybe_broadcast, mixed, ship, stored, table
 from noticeboard.llm.decontaminate import merged
 from noticeboard.llm.lm import squeezed, unsqueezed
 
-LINE_WORDS, SHARED_WORDS, BLOCK_WORDS, FILLED, LOT, CUT = 5, 12, 40, 8, 256, 24
-_NEWLINE = b"\xff"  # in no UTF-8 text
+LINE_WORDS, REACH, BLOCK_WORDS, FILLED, LOT, CUT = 5, 14, 40, 8, 256, 24
+_NEWLINE, _BORDER = b"\xff", b"\xfe"  # in no UTF-8 text
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -48,7 +49,6 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
 _POWERS = np.ones(1, U)
 
 
@@ -59,22 +59,32 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def read_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of the texts (case apart), and where each text ends; the lowest bit tells whether a line ends after the word."""
+    data = b" \xfe ".join(t.encode("utf-8", "surrogatepass") if t else b"" for t in texts)
+    ws = data.lower().replace(b"\n", b" \xff ").split()
+    of = cache("lines", _Hashes)
+    h = np.fromiter(map(of.__getitem__, ws), U, len(ws))
+    newline, border = h == U(of[_NEWLINE]), h == U(of[_BORDER])
+    no_word = newline | border
+    at = np.flatnonzero(no_word)
+    h[at[at > 0] - 1] |= U(1)  # a mark's own bit doesn't matter
+    ends = np.cumsum(~no_word)[border]
+    h = h[~no_word]
+    if len(h):
+        h[-1] |= U(1)
+    return h, np.r_[ends, len(h)].astype(np.int64)
+
+
 def read(text: str | None) -> np.ndarray:
-    """A number for each word of the text (case apart); the lowest bit tells whether a line ends after it."""
-    if not text:
-        return np.zeros(0, U)
-    ws = text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" \xff ").split()
-    h = np.fromiter(map(_HASHES.__getitem__, ws), U, len(ws))
-    newline = h == U(_HASHES[_NEWLINE])
-    if newline.any():
-        at = np.flatnonzero(newline)
-        h[at[at > 0] - 1] |= U(1)
-        h = h[~newline]
-    return h
-
-
-def lines(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, words and hash of each line, in order; some of the short ones (by their first word) stand for `FILLED` words from their start."""
+    return read_all([text])[0]
+
+
+def lines(words: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, words and hash of each line, in order; some of the short ones (by their first word) stand for `FILLED` words from their start.
+
+    ends: where texts end, if there are several.
+    """
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     starts = np.r_[0, np.flatnonzero(words[:-1] & U(1)) + 1]
@@ -82,7 +92,8 @@ def lines(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     within = np.arange(len(words)) - np.repeat(starts, sizes)
     bare = mixed(words >> U(1))
     hashes = mixed(np.add.reduceat(bare * _powers(int(sizes.max()))[within], starts))
-    filled = (sizes < LINE_WORDS) & (starts + FILLED <= len(words)) & (bare[starts] % U(4) == 0)
+    end = len(words) if ends is None else ends[np.searchsorted(ends, starts, side="right")]
+    filled = (sizes < LINE_WORDS) & (starts + FILLED <= end) & (bare[starts] % U(4) == 0)
     if filled.any():
         sizes = np.where(filled, FILLED, sizes)
         hashes[filled] = mixed((bare[starts[filled][:, None] + np.arange(FILLED)] * _powers(FILLED)[:FILLED]).sum(1, dtype=U) + U(1))
@@ -90,15 +101,20 @@ def lines(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _rows(b: pa.RecordBatch) -> list:
-    ids, hashes, sizes = [], [], []
-    for i, text in enumerate(b.column(1).to_pylist()):
-        _, size, h = lines(read(text))
-        long_enough = size >= LINE_WORDS
-        h, at = np.unique(h[long_enough], return_index=True)
-        ids.append(np.full(len(h), i))
-        hashes.append(h)
-        sizes.append(size[long_enough][at])
-    return [pa.array(np.concatenate(hashes).view(np.int64)), b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(sizes))]
+    """Each text's distinct lines of LINE_WORDS words or more: hash, id, words, position of the first."""
+    texts, out = b.column(1).to_pylist(), []
+    for i in range(0, len(texts), 256):
+        words, ends = read_all(texts[i : i + 256])
+        start, size, h = lines(words, ends)
+        ok = size >= LINE_WORDS
+        start, size, h = start[ok], size[ok], h[ok]
+        doc = np.searchsorted(ends, start, side="right")
+        order = np.lexsort((start, h, doc))
+        start, size, h, doc = start[order], size[order], h[order], doc[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+        out.append((h[new].view(np.int64), doc[new] + i, size[new], (start - np.r_[0, ends][doc])[new]))
+    h, doc, size, start = (np.concatenate(x) for x in zip(*out, strict=True))
+    return [pa.array(h), b.column(0).take(pa.array(doc)), pa.array(size), pa.array(start)]
 
 
 def _longest_run(at: list[int]) -> list[int]:
@@ -171,10 +187,12 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     kind = docs.schema["id"].dataType.simpleString()
-    rows = stored(map_arrow(docs.select("id", "text"), _rows, f"line bigint, id {kind}, words int").select("line", "id", "words"), "lines")
-    first = rows.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last").select("line", "first")
-    pairs = rows.join(first, "line").filter("id != first").groupBy("id", "first").agg(F.sum("words").alias("shared")).filter(F.col("shared") >= SHARED_WORDS).select("id", "first")
-    pairs = stored(pairs, "pairs")
+    rows = stored(map_arrow(docs.select("id", "text"), _rows, f"line bigint, id {kind}, words int, pos int"), "lines")
+    first = rows.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("pos", "id").alias("first_pos")).filter("first != last")
+    first = stored(first.select("line", "first", "first_pos"), "firsts")
+    hits = rows.join(maybe_broadcast(first), "line").filter("id != first")
+    runs = hits.groupBy("id", "first", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("words")).alias("b"))
+    pairs = stored(runs.filter(F.col("b") - F.col("a") >= REACH).select("id", "first").distinct(), "pairs")
     involved = maybe_broadcast(pairs.select("id").unionByName(pairs.select(F.col("first").alias("id"))).distinct())
     read_all = lambda b: [b.column(0), [squeezed(((h := read(t)) >> U(24)) << U(1) | h & U(1)) for t in b.column(1).to_pylist()]]
     texts = stored(map_arrow(docs.join(involved, "id", "left_semi").select("id", "text"), read_all, f"id {kind}, seq binary"), "sequences")
