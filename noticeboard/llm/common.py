@@ -163,3 +163,9 @@ def crc_of_id(col) -> object:
 def maybe_broadcast(df: DataFrame, rows: int = 400_000) -> DataFrame:
     """df, marked for broadcast where it has at most so many rows (narrow ones: ids, or ids with a few numbers); else a plain join side."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored in the shared folder. Results that read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
