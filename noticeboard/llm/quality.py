@@ -80,17 +80,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], rounds: int = ROUNDS, ridge: float = RIDGE) -> Model:
-    """Maximum likelihood with a ridge, by Adam over the whole sample. Thresholds are a first one and positive steps."""
-    grades = sorted({g for _, _, g in rows}) or [0]
+def fit(at: np.ndarray, value: np.ndarray, sizes: np.ndarray, grade: np.ndarray, rounds: int = ROUNDS, ridge: float = RIDGE) -> Model:
+    """Maximum likelihood with a ridge, by Adam over the whole sample. Thresholds are a first one and positive steps.
+
+    at, value: places and values of all rows' features, one row after another; sizes: how many each row has (none has 0).
+    """
+    grades = sorted(set(grade.tolist())) or [0]
     k, dims = len(grades) - 1, 1 << BITS
     if not k:
         return Model(grades, np.zeros(0), np.zeros(dims, np.float32))
-    y = np.array([grades.index(g) for _, _, g in rows])
-    at = np.array([i for a, _, _ in rows for i in a])
-    value = np.array([v for _, x, _ in rows for v in x])
-    starts = np.r_[0, np.cumsum([len(a) for a, _, _ in rows])[:-1]]
-    doc = np.repeat(np.arange(len(rows)), [len(a) for a, _, _ in rows])
+    y = np.searchsorted(np.array(grades), grade)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     above = np.array([(y > j).mean() for j in range(k)])
     cuts = -np.log(above / (1 - above))
     p = np.r_[np.zeros(dims), cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2))]
@@ -129,7 +130,8 @@ def learn(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([a for a, _ in x], pa.list_(pa.int32())), pa.array([v for _, v in x], pa.list_(pa.float32()))], names=["g", "a", "v"])
 
     rows = mine.mapInArrow(read, "g int, a array<int>, v array<float>").toArrow()
-    return fit(list(zip(rows.column("a").to_pylist(), rows.column("v").to_pylist(), rows.column("g").to_pylist(), strict=True)))
+    at, value = (rows.column(c).combine_chunks() for c in ("a", "v"))
+    return fit(at.flatten().to_numpy(), value.flatten().to_numpy(), at.value_lengths().to_numpy(), rows.column("g").to_numpy())
 
 
 class _Weights(dict):

@@ -128,6 +128,7 @@ def test_quality_orders_grades(spark):
     means = [np.mean([got[i].expected for i in range(240, 300) if i % 3 == g]) for g in range(3)]
     assert means[0] < 0.7 < means[1] < 1.4 < means[2]
     assert all(0 <= q.tail <= 1 and 0 <= q.expected <= 2 for q in got.values())
-    one = quality.fit([([1], [1.0], 2)])
+    fit = lambda *g: quality.fit(np.ones(len(g), int), np.ones(len(g)), np.ones(len(g), int), np.array(g, int))
+    one = fit(2)
     assert quality.graded(cases.table(spark), one).select("_quality.expected").distinct().first()[0] == 2
-    assert quality.graded(cases.empty(spark), quality.fit([])).count() == 0
+    assert quality.graded(cases.empty(spark), fit()).count() == 0
