@@ -196,9 +196,10 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     involved = maybe_broadcast(pairs.select("id").unionByName(pairs.select(F.col("first").alias("id"))).distinct())
     read_all = lambda b: [b.column(0), [squeezed(((h := read(t)) >> U(24)) << U(1) | h & U(1)) for t in b.column(1).to_pylist()]]
     texts = stored(map_arrow(docs.join(involved, "id", "left_semi").select("id", "text"), read_all, f"id {kind}, seq binary"), "sequences")
-    lots = pairs.groupBy("first").agg(F.ceil(F.count("*") / LOT).alias("lots"))
-    later = pairs.join(lots, "first").select("first", F.pmod(F.xxhash64("id"), "lots").alias("lot"), "id").join(texts, "id")
-    holders = texts.select(F.col("id").alias("first"), F.col("seq").alias("held")).join(lots, "first").select("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1)).alias("lot"), "held")
+    lots = stored(pairs.groupBy("first").agg(F.ceil(F.count("*") / LOT).alias("lots")), "lots")
+    dealt = stored(pairs.join(lots, "first").select("first", F.pmod(F.xxhash64("id"), "lots").alias("lot"), "id"), "dealt")
+    later = texts.join(maybe_broadcast(dealt), "id")
+    holders = texts.select(F.col("id").alias("first"), F.col("seq").alias("held")).join(maybe_broadcast(lots), "first").select("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1)).alias("lot"), "held")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         at, starts, ends = [], [], []
