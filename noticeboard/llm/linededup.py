@@ -1,27 +1,29 @@
-"""Line dedup by pairwise alignment.
-
-Lines are what newlines and sentence ends bound; a long one is also cut after words picked by their hash, so that a
-passage inside a long line still has whole lines in common. Every line of `LINE_WORDS` words or more that several
-documents have (a rare line: prose repeats none by chance) links each of them to the earliest document that has it;
-pairs in which such lines, at equal distance in both documents, reach over `REACH` words are aligned (a block of equal
-words has all its lines at one distance; a common heading alone doesn't reach that far). The alignment is a patience diff: lines that both
-documents have, in the longest run that keeps the order of both, are anchors; each is extended word by word to both
-sides. Aligned blocks of `BLOCK_WORDS` words or more are deleted from the later document (the greater id). What is
-left is aligned again until nothing is found, for blocks in another order.
-
-A document has as many partners as first holders of its lines, so copies make a star, not all pairs. A first holder
+"""Line dedup by shared windows of words.
+
+A unit is a window of `BLOCK_WORDS` consecutive words, as long as the least that is deleted. Of every `WINNOW`
+neighbouring windows the one with the least hash is kept (at a text's ends also of fewer), so whatever the texts'
+lines, script or punctuation, two texts that share `PASSAGE` = BLOCK_WORDS + WINNOW - 1 words in a row keep a unit in
+common. A kept unit links each document that has it to the earliest one (its first holder). Because the unit is itself
+a block to delete, its first holder always has that block: no other holder needs to be asked, and no shared passage of
+PASSAGE words stays whole.
+
+Each pair is compared in full: all windows of the later text (the greater id) are looked up among all windows of the
+first holder, and the words of every window found are deleted, wherever and however often it occurs, in any order. So of
+a pair every common run of BLOCK_WORDS words or more goes, to its last word. Of a passage whose units have different
+first holders up to WINNOW - 1 words may stay at either end, where these first holders go on differently.
+
+A document has as many partners as first holders of its units, so copies make a star, not all pairs. A first holder
 of very many is dealt out in lots of `LOT` partners. Each deleted word has an equal one in an earlier document, so of
 every text the earliest copy stays.
 
 Defined cases: null and empty texts stay as they are; a row with a null id stays as it is; rows of one id aren't
-compared with each other (of several, each is compared with earlier ids); other columns are kept by `deduplicated`
-and play no part.
+compared with each other (of several, each is compared with earlier ids); passages are those of the texts as they came,
+not such as arise where a deletion joins two parts; other columns are kept by `deduplicated` and play no part.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -29,50 +31,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import U, cache, free_name, map_arrow, maybe_broadcast, mixed, ship, stored, table
+from noticeboard.llm.common import STEP, U, free_name, hashed, map_arrow, maybe_broadcast, mixed, ship, stored, table
 from noticeboard.llm.decontaminate import merged
 from noticeboard.llm.lm import squeezed, unsqueezed
 
-LINE_WORDS, REACH, BLOCK_WORDS, FILLED, LOT, CUT = 5, 14, 40, 8, 256, 24
-_NEWLINE, _BORDER = b"\xff", b"\xfe"  # in no UTF-8 text
+BLOCK_WORDS, WINNOW, LOT = 40, 12, 256
+PASSAGE = BLOCK_WORDS + WINNOW - 1
+_BORDER = b"\xfe"  # in no UTF-8 text
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_MOST = U(2**64 - 1)
 
 
-class _Hashes(dict):
-    """bytes -> hash whose lowest bit tells whether a line ends after the word; the first 300,000 words are remembered."""
+_POWERS: dict[int, np.ndarray] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word) & ~1
-        h |= word[-1:] in (b".", b"!", b"?") or h // 2 % CUT == 0
-        if len(self) < 300_000:
-            self[word] = h
-        return h
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number modulo 2^64."""
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = np.cumprod(np.r_[U(1), np.full(max(n, 1024), U(base))], dtype=U)
+    return _POWERS[base][:n]
 
-_POWERS = np.ones(1, U)
 
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.r_[U(1), np.full(max(n, 1024), U(0x9E3779B97F4A7C15))], dtype=U)
-    return _POWERS
+_BASE = int(STEP)
+_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def read_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word of the texts (case apart), and where each text ends; the lowest bit tells whether a line ends after the word."""
+    """A 40-bit number for each word of the texts (case apart), and where each text ends."""
     data = b" \xfe ".join(t.encode("utf-8", "surrogatepass") if t else b"" for t in texts)
-    ws = data.lower().replace(b"\n", b" \xff ").split()
-    of = cache("lines", _Hashes)
-    h = np.fromiter(map(of.__getitem__, ws), U, len(ws))
-    newline, border = h == U(of[_NEWLINE]), h == U(of[_BORDER])
-    no_word = newline | border
-    at = np.flatnonzero(no_word)
-    h[at[at > 0] - 1] |= U(1)  # a mark's own bit doesn't matter
-    ends = np.cumsum(~no_word)[border]
-    h = h[~no_word]
-    if len(h):
-        h[-1] |= U(1)
+    h = hashed(data.lower().split())
+    border = h == U(xxhash.xxh3_64_intdigest(_BORDER))
+    ends = np.cumsum(~border)[border]
+    h = h[~border] >> U(24)
     return h, np.r_[ends, len(h)].astype(np.int64)
 
 
@@ -80,106 +70,52 @@ def read(text: str | None) -> np.ndarray:
     return read_all([text])[0]
 
 
-def lines(words: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, words and hash of each line, in order; some of the short ones (by their first word) stand for `FILLED` words from their start.
-
-    ends: where texts end, if there are several.
-    """
-    if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    starts = np.r_[0, np.flatnonzero(words[:-1] & U(1)) + 1]
-    sizes = np.diff(np.r_[starts, len(words)])
-    within = np.arange(len(words)) - np.repeat(starts, sizes)
-    bare = mixed(words >> U(1))
-    hashes = mixed(np.add.reduceat(bare * _powers(int(sizes.max()))[within], starts))
-    end = len(words) if ends is None else ends[np.searchsorted(ends, starts, side="right")]
-    filled = (sizes < LINE_WORDS) & (starts + FILLED <= end) & (bare[starts] % U(4) == 0)
-    if filled.any():
-        sizes = np.where(filled, FILLED, sizes)
-        hashes[filled] = mixed((bare[starts[filled][:, None] + np.arange(FILLED)] * _powers(FILLED)[:FILLED]).sum(1, dtype=U) + U(1))
-    return starts, sizes, hashes
-
-
-def _rows(b: pa.RecordBatch) -> list:
-    """Each text's distinct lines of LINE_WORDS words or more: hash, id, words, position of the first."""
-    texts, out = b.column(1).to_pylist(), []
-    for i in range(0, len(texts), 256):
-        words, ends = read_all(texts[i : i + 256])
-        start, size, h = lines(words, ends)
-        ok = size >= LINE_WORDS
-        start, size, h = start[ok], size[ok], h[ok]
-        doc = np.searchsorted(ends, start, side="right")
-        order = np.lexsort((start, h, doc))
-        start, size, h, doc = start[order], size[order], h[order], doc[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-        out.append((h[new].view(np.int64), doc[new] + i, size[new], (start - np.r_[0, ends][doc])[new]))
-    h, doc, size, start = (np.concatenate(x) for x in zip(*out, strict=True))
-    return [pa.array(h), b.column(0).take(pa.array(doc)), pa.array(size), pa.array(start)]
-
-
-def _longest_run(at: list[int]) -> list[int]:
-    """Which elements make the longest increasing subsequence."""
-    tops: list[int] = []
-    piles: list[int] = []
-    back = [-1] * len(at)
-    for i, x in enumerate(at):
-        k = bisect_left(tops, x)
-        back[i] = piles[k - 1] if k else -1
-        if k == len(tops):
-            tops.append(x)
-            piles.append(i)
-        else:
-            tops[k], piles[k] = x, i
-    out, i = [], piles[-1] if piles else -1
-    while i >= 0:
-        out.append(i)
-        i = back[i]
-    return out[::-1]
+def windows(words: np.ndarray, k: int = BLOCK_WORDS) -> np.ndarray:
+    """64-bit hashes of all runs of k words, in order."""
+    n = len(words)
+    if n < k:
+        return np.zeros(0, U)
+    sums = np.r_[U(0), np.cumsum(mixed(words) * _powers(_BASE, n), dtype=U)]
+    return mixed((sums[k:] - sums[:-k]) * _powers(_INVERSE, n - k + 1))
+
+
+def _sliding(least_or_most: np.ufunc, a: np.ndarray, n: int) -> np.ndarray:
+    """The least (or most) of each n neighbours."""
+    size = 1
+    while 2 * size <= n:
+        a = least_or_most(a[:-size], a[size:])
+        size *= 2
+    return least_or_most(a[: len(a) - n + size], a[n - size :]) if size < n else a
+
+
+def units(words: np.ndarray, ends: np.ndarray, k: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """text, hash of each text's distinct units; ends: where the texts end."""
+    h = windows(words, k)
+    sizes = np.diff(np.r_[0, ends])
+    inside = np.arange(k, k + len(h)) <= np.repeat(ends, sizes)[: len(h)]
+    h[~inside] = _MOST
+    margin = np.full(WINNOW - 1, _MOST)
+    kept = inside & (_sliding(np.maximum, _sliding(np.minimum, np.r_[margin, h, margin], WINNOW), WINNOW) == h) if len(h) else inside
+    doc, h = np.repeat(np.arange(len(ends)), sizes)[: len(h)][kept], h[kept]
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+    return doc[new], h[new]
+
+
+def shared(have: np.ndarray, later: np.ndarray, block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """Spans of words (start, end) of `later` whose windows are all in `have` (sorted)."""
+    h = windows(later, block_words)
+    if not len(h) or not len(have):
+        return []
+    hit = np.r_[False, have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h, False]
+    edges = np.flatnonzero(hit[1:] != hit[:-1])
+    return merged([(a, b + block_words - 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
 
 
 def align(earlier: np.ndarray, later: np.ndarray, block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """Spans of words (start, end) of `later` that lie in aligned blocks of block_words words or more."""
-    e_start, e_size, e_hash = lines(earlier)
-    d_start, _, d_hash = lines(later)
-    use = e_size >= LINE_WORDS
-    hashes, first, count = np.unique(e_hash[use], return_index=True, return_counts=True)
-    where = dict(zip(hashes.tolist(), e_start[use][first].tolist(), strict=True))
-    twice = set(hashes[count > 1].tolist())
-    d_hashes, d_count = np.unique(d_hash, return_counts=True)
-    twice |= set(d_hashes[d_count > 1].tolist())
-    common, seen = [], set()
-    for s, h in zip(d_start.tolist(), d_hash.tolist(), strict=True):
-        if h in where and h not in seen:
-            seen.add(h)
-            common.append((s, where[h], h in twice))
-    e, d = earlier >> U(1), later >> U(1)
-    found: list[tuple[int, int]] = []
-    while common:
-        sure = [c for c in common if not c[2]] or common  # lines that occur once in both, if there are any
-        sure = [sure[i] for i in _longest_run([c[1] for c in sure])]
-        new, reach = [], 0
-        for s, t, _ in sure:
-            if s < reach:
-                continue
-            a, b = _extended(d, e, s, t)
-            reach = b
-            if b - a >= block_words:
-                new.append((a, b))
-        done = merged(found + new)
-        tried = {c[0] for c in sure}
-        common = [c for c in common if c[0] not in tried and not any(a <= c[0] < b for a, b in new)]
-        found = done
-    return found
-
-
-def _extended(d: np.ndarray, e: np.ndarray, s: int, t: int) -> tuple[int, int]:
-    """The block of equal words around positions s of d and t of e."""
-    n = min(len(d) - s, len(e) - t)
-    differ = np.flatnonzero(d[s : s + n] != e[t : t + n])
-    end = s + (int(differ[0]) if len(differ) else n)
-    n = min(s, t)
-    differ = np.flatnonzero(d[s - n : s][::-1] != e[t - n : t][::-1])
-    return s - (int(differ[0]) if len(differ) else n), end
+    """Spans of words (start, end) of `later` that lie in common runs of block_words words or more."""
+    return shared(np.unique(windows(earlier, block_words)), later, block_words)
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -187,15 +123,23 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     kind = docs.schema["id"].dataType.simpleString()
-    rows = stored(map_arrow(docs.select("id", "text"), _rows, f"line bigint, id {kind}, words int, pos int"), "lines")
-    first = rows.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("pos", "id").alias("first_pos")).filter("first != last")
-    first = stored(first.select("line", "first", "first_pos"), "firsts")
-    hits = rows.join(maybe_broadcast(first), "line").filter("id != first")
-    runs = hits.groupBy("id", "first", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("words")).alias("b"))
-    pairs = stored(runs.filter(F.col("b") - F.col("a") >= REACH).select("id", "first").distinct(), "pairs")
+
+    def kept(b: pa.RecordBatch) -> list:
+        texts, out = b.column(1).to_pylist(), []
+        for i in range(0, len(texts), 256):
+            doc, h = units(*read_all(texts[i : i + 256]), block_words)
+            out.append((h.view(np.int64), doc + i))
+        h, doc = (np.concatenate(x) for x in zip(*out, strict=True))
+        return [pa.array(h), b.column(0).take(pa.array(doc))]
+
+    rows = stored(map_arrow(docs.select("id", "text"), kept, f"unit bigint, id {kind}"), "units")
+    first = rows.groupBy("unit").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last")
+    first = stored(first.select("unit", "first"), "firsts")
+    hits = rows.join(maybe_broadcast(first), "unit").filter("id != first")
+    pairs = stored(hits.select("id", "first").distinct(), "pairs")
     involved = maybe_broadcast(pairs.select("id").unionByName(pairs.select(F.col("first").alias("id"))).distinct())
-    read_all = lambda b: [b.column(0), [squeezed(((h := read(t)) >> U(24)) << U(1) | h & U(1)) for t in b.column(1).to_pylist()]]
-    texts = stored(map_arrow(docs.join(involved, "id", "left_semi").select("id", "text"), read_all, f"id {kind}, seq binary"), "sequences")
+    numbers = lambda b: [b.column(0), [squeezed(read(t)) for t in b.column(1).to_pylist()]]
+    texts = stored(map_arrow(docs.join(involved, "id", "left_semi").select("id", "text"), numbers, f"id {kind}, seq binary"), "sequences")
     lots = stored(pairs.groupBy("first").agg(F.ceil(F.count("*") / LOT).alias("lots")), "lots")
     dealt = stored(pairs.join(lots, "first").select("first", F.pmod(F.xxhash64("id"), "lots").alias("lot"), "id"), "dealt")
     later = texts.join(maybe_broadcast(dealt), "id")
@@ -204,9 +148,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         at, starts, ends = [], [], []
         for e in {s.as_py() for s in right.column("held")}:
-            e = unsqueezed(e, U)
+            have = np.unique(windows(unsqueezed(e, U), block_words))
             for i, seq in enumerate(left.column("seq").to_pylist()):
-                for a, b in align(e, unsqueezed(seq, U), block_words):
+                for a, b in shared(have, unsqueezed(seq, U), block_words):
                     at.append(i)
                     starts.append(a)
                     ends.append(b)

@@ -51,3 +51,21 @@ def test_stage(spark):
     ids = [r.doc_id for r in out.collect()]
     assert out.columns == docs.columns and 31 not in ids and 41 not in ids and {30, 32, 33, 34, None, 42} <= set(ids) and ids.count(42) == 2
     assert ld.deduplicated(cases.empty(spark)).count() == 0
+
+
+def test_passages_at_any_place_in_text_without_sentences(spark):
+    import random
+
+    rng = random.Random(5)
+    plain = lambda n: [rng.choice(cases.WORDS) for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):
+        one = plain(rng.randint(80, 300))
+        at = rng.randrange(len(one) - ld.PASSAGE + 1)
+        before, after = plain(rng.randint(0, 90)), plain(rng.randint(0, 90))
+        rows += [(i, " ".join(one)), (1000 + i, " ".join([*before, *one[at : at + ld.PASSAGE], *after]))]
+        want[1000 + i] = " ".join(before + after)
+    got = {r.doc_id: r.out for r in ld.cleaned(cases.table(spark, rows), name="out").collect()}
+    assert ld.PASSAGE == 51 and not repeats([(i, got[i].text) for i in sorted(got)])
+    assert all(abs(len(got[i].text.split()) - len(w.split())) <= 4 for i, w in want.items())  # words may match beyond the passage by chance
+    assert all(got[i].text == t for i, t in rows if i < 1000)
