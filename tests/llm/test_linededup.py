@@ -69,3 +69,19 @@ def test_passages_at_any_place_in_text_without_sentences(spark):
     assert ld.PASSAGE == 51 and not repeats([(i, got[i].text) for i in sorted(got)])
     assert all(abs(len(got[i].text.split()) - len(w.split())) <= 4 for i, w in want.items())  # words may match beyond the passage by chance
     assert all(got[i].text == t for i, t in rows if i < 1000)
+
+
+def test_block_that_its_lines_first_holder_lacks(spark):
+    import random
+
+    rng = random.Random(6)
+    sentence = lambda n: " ".join(rng.choice(cases.WORDS) for _ in range(n)) + "."
+    for m in (60, 76):
+        passage = " ".join(sentence(m // 6) for _ in range(6)).split()
+        changed = [*passage[: m // 2], "changed", *passage[m // 2 + 1 :]]
+        turned = " ".join(reversed(" ".join(passage).split(". ")))
+        own = [sentence(30) for _ in range(3)]
+        for held in (" ".join(changed), turned):
+            rows = [(1, f"{own[0]} {held}"), (2, f"{own[1]} {' '.join(passage)}"), (3, f"{own[2]} {' '.join(passage)}")]
+            got = {r.doc_id: r.out.text for r in ld.cleaned(cases.table(spark, rows), name="out").collect()}
+            assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[3] == own[2]
