@@ -85,3 +85,14 @@ def test_block_that_its_lines_first_holder_lacks(spark):
             rows = [(1, f"{own[0]} {held}"), (2, f"{own[1]} {' '.join(passage)}"), (3, f"{own[2]} {' '.join(passage)}")]
             got = {r.doc_id: r.out.text for r in ld.cleaned(cases.table(spark, rows), name="out").collect()}
             assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[3] == own[2]
+
+
+def test_every_copy_in_the_later_text_goes():
+    import random
+
+    rng = random.Random(4)
+    a, b, c = (cases.prose(rng, 70) for _ in range(3))
+    e = ld.read(f"{a} {b} {c}")
+    assert ld.align(e, ld.read(f"x {c} y {a} z {a}")) == [(1, 71), (72, 142), (143, 213)]
+    assert ld.align(e, ld.read(" ".join(f"x{i} {b}" for i in range(5)))) == [(71 * i + 1, 71 * i + 71) for i in range(5)]
+    assert ld.align(ld.read("w " * 60), ld.read("w " * 200)) == [(0, 200)]
