@@ -43,7 +43,8 @@ _CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w]|[.-]\d)|(?<![\w.+-])\+\d{8,15}(?!\d)")
 _NAME = re.compile(r"\b(" + "|".join(_GIVEN) + r")( )([^\W\d_]{2,})\b")
 _TITLED = re.compile(r"\b(" + "|".join(TITLES) + r")(\.? )([^\W\d_]{2,})\b")
-_CHEAP = frozenset(_GIVEN) | frozenset(TITLES) | frozenset(f"{t}." for t in TITLES)
+_CHEAP = frozenset(_GIVEN) | frozenset(TITLES)  # each of them is a whole \w+ where _NAME or _TITLED matches
+_TOKEN = re.compile(r"\w+")
 #: fixed values: letters that change among themselves, so that made-up words keep script, case and vowels
 _LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "äöü", "àèìòù", "âêîôû", "абвгдежзиклмнопрстуфхцчшщ", "аеиоуыэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 _RESERVED = re.compile(r"(?:^|\.)example\.(?:com|org|net)$", re.I)
@@ -186,7 +187,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         add(_IP.finditer(text), "ip", lambda m: all(str(int(x)) == x and int(x) < 256 for x in m[0].split(".")))
         add(_CARD.finditer(text), "card")
         add(_PHONE.finditer(text), "phone", lambda m: 7 <= sum(c.isdigit() for c in m[0]) <= 15 and ("+" in m[0] or "(" in m[0] or sum(c.isdigit() for c in m[0]) >= 9))
-    if not _CHEAP.isdisjoint(text.split()):
+    if not _CHEAP.isdisjoint(_TOKEN.findall(text)):
         add(_NAME.finditer(text), "name", lambda m: m[3][0].isupper() and m[3][1:].islower())
         add(_TITLED.finditer(text), "name", lambda m: m[3][0].isupper() and m[3][1:].islower())
     return sorted(found)

@@ -81,3 +81,18 @@ def test_pii_of_all_cases(spark):
     assert len(set(re.findall(r"\S+@\S+", got[60].text + " " + got[61].text))) == 1
     assert pii.collisions(pii.entities(cases.table(spark, rows))).count() == 0
     assert pii.replaced(cases.empty(spark)).count() == 0
+
+
+def test_names_after_any_punctuation():
+    rng = random.Random(8)
+    names = ["Anna Weber", "Maria Lopez", "Paul Smith", "Dr. Braun", "Frau Klein", "Иван Петров", "Herr Groß"]
+    marks = ["(", '"', "name:", "\u2014", "[", "\u00ab", "/", "'", "=", "\n", "-", "x", "_", "é", ""]
+    ok = lambda m: m[3][0].isupper() and m[3][1:].islower()
+    for _ in range(2000):
+        text = " and ".join(rng.choice(marks) + rng.choice(names) + rng.choice([")", '"', ",", "", "\u00bb", "_"]) for _ in range(rng.randint(1, 3)))
+        first = [m.span() for m in pii._NAME.finditer(text) if ok(m)]
+        want = first + [m.span() for m in pii._TITLED.finditer(text) if ok(m) and not any(a < m.end() and m.start() < b for a, b in first)]
+        assert pii.find(text) == [(a, b, "name") for a, b in sorted(want)], text
+    for text in ("(Anna Weber)", '"Maria Lopez"', "name:Paul Smith", "\u2014Dr. Braun"):
+        assert len(pii.find(text)) == 1 and pii.rewrite(text)[0] != text
+    assert pii.rewrite("(Anna Weber)")[0] == f"({pii.rewrite('Anna Weber')[0]})"
