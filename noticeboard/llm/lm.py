@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from noticeboard.llm.common import STEP, U, crc_of_id, mixed, ship, slices, space_words, stored, table
 
-CHUNK, RANGE, BITS, BUCKETS, LEVELS = 1_200_000, 1_500_000, 56, 48, 80
+CHUNK, RANGE, BITS, BUCKETS, LEVELS = 1_200_000, 1_500_000, 56, 48, 256
 END, START = U(xxhash.xxh3_64_intdigest(b" end ")), U(xxhash.xxh3_64_intdigest(b" start "))  # no words: they hold spaces
 
 
@@ -193,7 +193,7 @@ def _bucket(context: np.ndarray) -> np.ndarray:
 
 
 def _level(p: np.ndarray) -> np.ndarray:
-    """0 for none, else log steps of a quarter of a power of two."""
+    """0 for none, else log steps of a quarter of a power of two, down to 2^-63: under 1/N of any corpus."""
     return np.where(p > 0, np.clip(LEVELS - 1 + np.round(4 * np.log2(np.maximum(p, 1e-30))), 1, LEVELS - 1), 0).astype(np.int64)
 
 
@@ -250,7 +250,7 @@ def scores(docs: DataFrame, held_out: Column, deleted: Column, *, id_col: str =
 
     odd = F.col("chunk") % 2 == 1
     h = c.filter(odd).groupBy("chunk").cogroup(back.filter(odd).groupBy("chunk")).applyInArrow(tally, "bucket bigint, two bigint, one bigint, n bigint")
-    h = h.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))  # BUCKETS x LEVELS x LEVELS cells at most
+    h = h.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))  # in bucket b no p2 is under 2^-b and no p1 under 1/N: some 8 b^2 log2(N) cells up to bucket b, 300,000 at 5 billion tokens
     weights = learn_weights([(r.bucket, r.two, r.one, r.n) for r in h.collect()], v)
     kind = docs.select(id_col).schema[0].dataType
 

@@ -112,6 +112,24 @@ def test_lm_weights_from_a_histogram():
     assert np.allclose(w.sum(1), 1) and w[5, 0] > 0.7 and w[0, 0] == 0
 
 
+def test_lm_weights_against_unbinned_counts():
+    rng = np.random.default_rng(5)
+    total, vocabulary, size, b = 5_000_000_000, 20_000_000, 4000, 24
+    context = rng.integers(2**23, 2**24, size)
+    two = np.where(rng.random(size) < 0.5, rng.integers(1, 40, size), 0)
+    one = np.maximum(two, np.exp(rng.random(size) * np.log(1e6)).astype(np.int64))
+    parts = np.stack([two / context, one / total, np.full(size, 1 / (vocabulary + 1))], 1)
+    want = np.array([0.3, 0.6, 0.1])
+    for _ in range(200):
+        share = want * parts
+        want = np.array([0.3, 0.6, 0.1]) + (share / share.sum(1, keepdims=True)).sum(0)
+        want /= want.sum()
+    cells = Counter(zip(lm._level(parts[:, 0]).tolist(), lm._level(parts[:, 1]).tolist(), strict=True))
+    got = lm.learn_weights([(b, x, y, n) for (x, y), n in cells.items()], vocabulary)[b]
+    assert np.abs(got - want).max() < 0.01
+    assert np.allclose(lm._of_level(lm._level(parts[:, 1])), parts[:, 1], rtol=0.1)
+
+
 def test_lm_byte_planes():
     a = np.array([0, 1, 2**40, 2**63], np.uint64)
     assert (lm.unsqueezed(lm.squeezed(a), np.uint64) == a).all() and len(lm.unsqueezed(lm.squeezed(a[:0]), np.uint64)) == 0
