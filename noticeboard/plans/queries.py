@@ -509,7 +509,7 @@ def sheet_jobs(spark, d):
     from noticeboard.plans.profile import ZH
 
     c = table(spark, d, "conversations")
-    row = F.array(F.concat(F.lit("辅导员 "), F.col("role")), F.col("turn").cast("string"), F.lit("硕士"), F.left("text", F.lit(20)), F.col("conv_id").cast("string"))
+    row = F.array(F.concat(F.lit("辅导员 "), F.col("role")), F.col("turn").cast("string"), F.lit("硕士"), F.col("text"), F.col("conv_id").cast("string"))
     body = c.groupBy(F.col("conv_id").alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x["r"]).alias("rows"))
     head = F.array(*map(F.lit, ("岗位名称", "招聘人数", "学历要求", "专业要求", "工作地点")))
     return sheets.jobs_from_rows(body.select("file", F.concat(F.array(head), "rows").alias("rows")), ZH)

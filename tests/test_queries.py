@@ -48,3 +48,10 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     assert latest.version == 2
     batch = ingest.latest_by(e, "user_id", "ts", "event_id")
     assert sorted(map(tuple, latest.table().select("user_id", "event_id").collect())) == sorted(map(tuple, batch.select("user_id", "event_id").collect()))
+
+
+def test_sheet_cells_hold_whole_texts(spark):
+    bare = lambda t: "".join((t or "").split())
+    want = sorted((r.conv_id, bare(r.text)) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect())
+    got = sorted((r.file, bare(r.major_requirement)) for r in q.sheet_jobs(spark, DATA).collect())
+    assert max(len(t) for _, t in want) > 20 and got == want
