@@ -26,6 +26,8 @@ import ssl
 import string
 import sys
 import urllib.request
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -45,7 +47,8 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private key", "bearer", "authorization", "access key", "signature")
 SENSITIVE_BYTES = tuple(w.encode() for w in SENSITIVE)
 _NEAR = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
-_STRING = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+LEAST = 16
+_STRING = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 46 for b in range(256))
 BEFORE, AROUND, NOVEL = 64, 512, 0.9
 
@@ -89,19 +92,34 @@ def base_spans(text: str, raw: bytes, lower: bytes) -> list[tuple[int, int, int]
     return sorted(spans)
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Strings that begin or end within BEFORE characters of a sensitive word; one that holds such words, from its first on and piece by piece."""
+    near = [m.span() for m in _NEAR.finditer(text)]
+    starts, ends = [a for a, _ in near], [b for _, b in near]
+    for m in _STRING.finditer(text):
+        a, b = m.span()
+        i, j = bisect_left(starts, a), bisect_right(ends, b)  # the words in near[i:j] lie in the string
+        if i >= j:
+            if (i and a - ends[i - 1] <= BEFORE) or (i < len(starts) and starts[i] - b <= BEFORE):
+                yield a, b
+            continue
+        if i and a - ends[i - 1] <= BEFORE:
+            yield a, b
+        yield ends[i], b
+        for x, y in zip([a, *ends[i:j]], [*starts[i:j], b], strict=True):
+            yield x, y
+
+
 def novel_spans(text: str, lower: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible strings shortly after a sensitive word, but for those in base spans."""
+    """Incompressible strings near a sensitive word, on either side, but for those in base spans."""
     if not any(w in lower for w in SENSITIVE_BYTES):
         return []
-    spans, done = [], 0
-    for near in _NEAR.finditer(text):
-        for m in _STRING.finditer(text, max(done, near.end()), min(len(text), near.end() + BEFORE + 512)):
-            if m.start() > near.end() + BEFORE:
-                break
-            end = _STRING.match(text, m.start()).end()  # the whole string, beyond the window too
-            done = end
-            if not any(a < end and m.start() < b for a, _, b in base) and any(c.isdigit() for c in m[0]) and is_novel(text[max(0, m.start() - AROUND) : m.start()] + text[end : end + AROUND], text[m.start() : end]):
-                spans.append((m.start(), 3, end))
+    spans: list[tuple[int, int, int]] = []
+    for a, b in _candidates(text):
+        if b - a < LEAST or any(x < b and a < y for x, _, y in spans[-2:]):
+            continue
+        if not any(x < b and a < y for x, _, y in base) and is_novel(text[max(0, a - AROUND) : a] + text[b : b + AROUND], text[a:b]):
+            spans.append((a, 3, b))
     return spans
 
 

@@ -83,6 +83,20 @@ def test_pii_of_all_cases(spark):
     assert pii.replaced(cases.empty(spark)).count() == 0
 
 
+def test_novelty_of_letters_and_before_the_word():
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in (20, 32, 64):
+        s = "".join(rng.choice(letters) for _ in range(n))
+        for text in (f"the credential here is {s} as sent", f"they wrote that {s} is the password of it", f"we use {s}_token for that", f"token_{s}_secret and more"):
+            assert [k for a, k, b in secrets.scan(text) if a <= text.index(s) and b >= text.index(s) + n] == [3], text
+    both = ["".join(rng.choice(letters) for _ in range(30)) for _ in range(2)]
+    text = f"of {both[0]}_secret_{both[1]} here"
+    assert [text[a:b].strip("_") for a, _, b in secrets.scan(text)] == both
+    assert not secrets.scan("the configuration_manager_settings of the credential_handler_interface is the password now")
+    assert not secrets.scan(f"{s} stands{' so' * 30} far from the password")
+
+
 def test_names_after_any_punctuation():
     rng = random.Random(8)
     names = ["Anna Weber", "Maria Lopez", "Paul Smith", "Dr. Braun", "Frau Klein", "Иван Петров", "Herr Groß"]
