@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import U, free_name, grams, map_arrow, stored
+from noticeboard.llm.common import U, free_name, grams, map_arrow, merged, stored
 
 SPAN, K, BLOCK_WORDS = 10, 5, 200_000
 #: bytes.translate: A-Z become a-z, bytes of words stay, all else becomes a space
@@ -91,16 +91,6 @@ class Index:
         return merged(spans), items
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items in blocks of at most block_words words (or one item); the driver holds one block at a time."""
     block, size = [], 0

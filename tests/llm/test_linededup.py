@@ -96,3 +96,41 @@ def test_every_copy_in_the_later_text_goes():
     assert ld.align(e, ld.read(f"x {c} y {a} z {a}")) == [(1, 71), (72, 142), (143, 213)]
     assert ld.align(e, ld.read(" ".join(f"x{i} {b}" for i in range(5)))) == [(71 * i + 1, 71 * i + 71) for i in range(5)]
     assert ld.align(ld.read("w " * 60), ld.read("w " * 200)) == [(0, 200)]
+
+
+def test_patience_chain_and_blocks():
+    import random
+
+    assert ld.longest_chain([5, 1, 2, 9, 3, 4]) == [1, 2, 4, 5] and ld.longest_chain([]) == []
+    rng = random.Random(3)
+    a, b, c = (cases.prose(rng, 50) for _ in range(3))
+    held = ld.Held(ld.read(f"{a} {b} {c}"))
+    assert held.align(ld.read(f"x {c} y {a} {b}")) == [(1, 51, 100), (52, 152, 0)]  # the chain keeps a and b; c has moved
+    for _ in range(200):  # every window of the later text that the earlier one has is in a block, and nothing else
+        e, d = ([rng.choice("abcd") for _ in range(rng.randint(0, 60))] for _ in range(2))
+        have = {tuple(e[i : i + 3]) for i in range(len(e) - 2)}
+        want = {j for i in range(len(d) - 2) if tuple(d[i : i + 3]) in have for j in range(i, i + 3)}
+        blocks = ld.Held(ld.read(" ".join(e)), 3).align(ld.read(" ".join(d)))
+        assert {j for s, t, _ in blocks for j in range(s, t)} == want
+        assert all(d[s:t] == e[y : y + t - s] for s, t, y in blocks)
+
+
+def test_rows_of_one_id_lose_what_is_their_own(spark):
+    import random
+
+    rng = random.Random(9)
+    t, u = cases.prose(rng, 150), cases.prose(rng, 150)
+    got = sorted((r.doc_id, r.out.text) for r in ld.cleaned(cases.table(spark, [(1, t), (2, t), (2, u), (2, u)]), name="out").collect())
+    assert got == sorted([(1, t), (2, ""), (2, u), (2, u)])
+
+
+def test_passage_of_lines_whose_first_holder_has_them_apart(spark):
+    import random
+
+    rng = random.Random(10)
+    lines = [" ".join(rng.choice(cases.WORDS) for _ in range(8)) + "\n" for _ in range(12)]
+    own = [cases.prose(rng, 30) for _ in range(15)]
+    apart = " ".join(f"{x} {y}" for x, y in zip(lines[::-1], own, strict=False))
+    rows = [(1, apart), (2, f"{own[12]} {''.join(lines)}"), (3, f"{own[13]} {''.join(lines)}")]
+    got = {r.doc_id: r.out for r in ld.cleaned(cases.table(spark, rows), name="out").collect()}
+    assert got[1].n_deleted == got[2].n_deleted == 0 and got[3].n_deleted == 96 and got[3].text.split() == own[13].split()
