@@ -1,25 +1,34 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements.
 
-Kinds: email, ip, card, phone, name. A surrogate depends on the key, the kind and the entity alone, so an entity has
-the same surrogate wherever it occurs (coreference). It is made by a keyed permutation of all entities of the same
+Kinds: email, ip, card, phone, name. Names are found by a given name of the list before a surname, by a title or a
+label ("contact:") in front, and as lists of three and more different pairs of capitalised words; each word of a name
+is then found in the whole text, so that a surname alone, before or after the full name, is replaced alike. Names in
+scripts without capitals, and names with nothing of all that about them, aren't found.
+
+A surrogate depends on the key, the kind and the entity alone, so an entity has the same surrogate wherever it occurs
+(coreference), and a name's words have theirs alone. It is made by a keyed permutation of all entities of the same
 format (letter case, script, digits, punctuation, length; country code; private or public network; check digit; gender
 and script of a given name), so two entities never share a surrogate and none is its own. The permutation is one cycle
 through the format's entities: a Feistel network f over mixed-radix digits, and f(f^-1(x) + 1) as surrogate; steps on
 until the class (such as "public network") is kept. What is written is still checked: were two entities to have one
-surrogate, all are made anew under another tweak.
+surrogate, all are made anew under another tweak. An entity that is the only one of its format becomes a keyed tag
+such as ``name-1f0c...``.
 
-Defined cases: a null text stays null, an empty one empty; repeated rows get the same result each; other columns are
-kept by `replaced`.
+Defined cases: a null text stays null, an empty one empty; a very long text is read whole, in one task; repeated rows
+and rows of one id get a result each; a row with a null id takes part; other columns are kept by `replaced`.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +38,43 @@ KEY = b"noticeboard surrogate key"
 KINDS = ("email", "ip", "card", "phone", "name")
 #: fixed values: given names by gender and script
 NAMES = {
-    ("f", "latin"): "Alice Amelia Anna Carmen Charlotte Clara Elena Emily Emma Hannah Ingrid Isabel Julia Laura Lucia Maria Marie Martha Nora Olivia Paula Sarah Sofia Susan".split(),
-    ("m", "latin"): "Albert Carlos Daniel David Diego Edward Felix George Hans Henry James Jean John Jonas Karl Luis Martin Michael Oscar Paul Pedro Peter Robert Thomas".split(),
+    ("f", "latin"): "Aisha Alice Amelia Amina Ananya Anna Carmen Charlotte Clara Elena Emily Emma Fatima Hannah Ingrid Isabel Julia Lakshmi Laura Leila Lucia Maria Marie Martha Mei Ngozi Noor Nora Olivia Paula Priya Sakura Sarah Sofia Susan Yuki Zainab".split(),
+    ("m", "latin"): "Ahmed Albert Ali Arjun Carlos Chidi Daniel David Diego Edward Felix George Hans Hassan Henry Hiroshi James Jean John Jonas Karl Kenji Kwame Luis Martin Michael Mohammed Omar Oscar Paul Pedro Peter Rahul Raj Robert Thomas Wei".split(),
     ("f", "cyrillic"): "Анна Вера Галина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("m", "cyrillic"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
 }
-#: fixed values: titles that announce a surname
-TITLES = "Mr Mrs Ms Miss Dr Herr Frau Monsieur Madame Mme Señor Señora".split()
-_GIVEN = {n: (group, i) for group, names in NAMES.items() for i, n in enumerate(names)}
+#: fixed values: titles that announce a name, labels that do with a colon, and what stands between the names of a list
+TITLES = "Mr Mrs Ms Miss Mx Dr Prof Professor Sir Dame Herr Frau Monsieur Madame Mme Mlle Señor Señora Don Doña Господин Госпожа".split()
+LABELS = "name contact author patient customer client employee attn signed kontakt autor kunde auteur nom nombre cliente имя контакт автор".split()
+JOINTS = (", and ", ", ", "; ", " and ", " & ", " und ", " et ", " y ", " и ")
 _EMAIL = re.compile(r"[^\W_](?:[\w.+-]*[^\W_])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 _CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w]|[.-]\d)|(?<![\w.+-])\+\d{8,15}(?!\d)")
-_NAME = re.compile(r"\b(" + "|".join(_GIVEN) + r")( )([^\W\d_]{2,})\b")
-_TITLED = re.compile(r"\b(" + "|".join(TITLES) + r")(\.? )([^\W\d_]{2,})\b")
+_W = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*"
+_GIVEN = {n: (group, i) for group, names in NAMES.items() for i, n in enumerate(names)}
+_NAME = regex.compile(rf"\b(?:{'|'.join(_GIVEN)})(?:-(?:{'|'.join(_GIVEN)}))? {_W}\b")
+_TITLED = regex.compile(rf"\b(?:{'|'.join(TITLES)})\.? {_W}(?: {_W})?\b")
+_LABELLED = regex.compile(rf"\b(?i:{'|'.join(LABELS)})\s*:\s*({_W}(?: {_W}){{1,2}})\b")
+_LISTED = regex.compile(rf"\b{_W} {_W}(?:(?:{'|'.join(map(re.escape, JOINTS))}){_W} {_W}){{2,}}\b")
+_PAIR = regex.compile(rf"({_W}) ({_W})")
 _CHEAP = frozenset(_GIVEN) | frozenset(TITLES)  # each of them is a whole \w+ where _NAME or _TITLED matches
 _TOKEN = re.compile(r"\w+")
-#: fixed values: letters that change among themselves, so that made-up words keep script, case and vowels
-_LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "äöü", "àèìòù", "âêîôû", "абвгдежзиклмнопрстуфхцчшщ", "аеиоуыэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+_LETTERS_OF_NAME = re.compile(r"[^\W\d_]+")
+#: fixed values: letters that change among themselves, so that made-up words keep script, case and vowels. Other letters change within their category and their 128 code points.
+LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "äöü", "àèìòù", "âêîôû", "абвгдежзиклмнопрстуфхцчшщ", "аеиоуыэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+
+
+def _classes() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for letters in LETTERS:
+        own = "".join(c for c in letters if c not in out)  # a letter of two rows belongs to the first
+        out |= dict.fromkeys(own, own) | dict.fromkeys(own.upper(), own.upper())
+    return out
+
+
+_CLASSES = _classes()
+_FIXED = frozenset(_CLASSES)
 _RESERVED = re.compile(r"(?:^|\.)example\.(?:com|org|net)$", re.I)
 
 
@@ -79,13 +107,18 @@ def cycle(x: int, radices: list[int], key: bytes, tweak: str) -> int:
 
 
 def _alphabet(c: str) -> str:
-    if c in "0123456789":
-        return "0123456789"
-    low = c.lower()
-    for letters in _LETTERS:
-        if low in letters:
-            return letters if c == low else letters.upper() if len(letters.upper()) == len(letters) else c
-    return c
+    """The characters that c changes among; itself alone if it is neither a letter nor a decimal digit."""
+    if c not in _CLASSES:
+        kind = unicodedata.category(c)
+        if kind == "Nd":
+            zero = ord(c) - unicodedata.decimal(c)
+            _CLASSES[c] = "".join(map(chr, range(zero, zero + 10)))
+        elif kind in ("Lu", "Ll", "Lt", "Lm", "Lo"):
+            first = ord(c) & ~127
+            _CLASSES[c] = "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind and x not in _FIXED)
+        else:
+            return c
+    return _CLASSES[c]
 
 
 def reformed(text: str, key: bytes, tweak: str) -> str:
@@ -142,7 +175,7 @@ def _card(s: str, key: bytes, tweak: str) -> str:
     digits = re.sub(r"\D", "", s)
     off = (int(digits[-1]) - check_digit(digits[:-1])) % 10  # 0 in a valid one; it stays as far off
     new = reformed(digits[:-1], key, f"{tweak}|{off}")
-    new += str((check_digit(new) + off) % 10)
+    new += _alphabet(digits[-1])[(check_digit(new) + off) % 10]
     it = iter(new)
     return "".join(next(it) if c.isdigit() else c for c in s)
 
@@ -153,44 +186,79 @@ def _phone(s: str, key: bytes, tweak: str) -> str:
     return head + reformed(s[len(head) :], key, f"{tweak}|{head}")
 
 
-def _given(s: str, key: bytes, tweak: str) -> str:
+def _word(s: str, key: bytes, tweak: str) -> str:
+    """A word of a name; a name of the list turns into another one of its group."""
+    if s in TITLES:
+        return s
+    if s not in _GIVEN:
+        return reformed(s, key, f"{tweak}|word")
     group, i = _GIVEN[s]
     return NAMES[group][cycle(i, [len(NAMES[group])], key, f"{tweak}|{group}")]
 
 
+def _name(s: str, key: bytes, tweak: str) -> str:
+    return _LETTERS_OF_NAME.sub(lambda m: _word(m[0], key, tweak), s)
+
+
+_MAKERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "name": _name}
+
+
 def surrogate(kind: str, entity: str, key: bytes = KEY, tweak: int = 0) -> str:
     """The replacement of an entity of a kind."""
-    t = f"{kind}|{tweak}"
-    if kind == "name":
-        first, _, rest = entity.partition(" ")
-        if first in _GIVEN:
-            return f"{_given(first, key, t)} {reformed(rest, key, f'{t}|surname')}"
-        return f"{first} {reformed(rest, key, f'{t}|surname')}"
-    return {"email": _email, "ip": _ip, "card": _card, "phone": _phone}[kind](entity, key, t)
+    new = _MAKERS[kind](entity, key, f"{kind}|{tweak}")
+    return new if new != entity else f"{kind}-{hashlib.blake2b(f'{tweak}|{entity}'.encode('utf-8', 'surrogatepass'), key=key[:64], digest_size=8).hexdigest()}"
+
+
+class _Spans(list):
+    """Spans in order, without overlap: of overlapping ones the first to come stays."""
+
+    def put(self, start: int, end: int, kind: str) -> None:
+        i = bisect_left(self, (start, end, kind))
+        if (not i or self[i - 1][1] <= start) and (i == len(self) or end <= self[i][0]):
+            insort(self, (start, end, kind))
+
+
+def _add_names(text: str, found: _Spans) -> None:
+    before = len(found)
+    if not _CHEAP.isdisjoint(_TOKEN.findall(text)):
+        for pattern in (_TITLED, _NAME):
+            for m in pattern.finditer(text):
+                found.put(*m.span(), "name")
+    if ":" in text:
+        for m in _LABELLED.finditer(text):
+            found.put(*m.span(1), "name")
+    for m in _LISTED.finditer(text):
+        pairs = [p for p in _PAIR.finditer(text, *m.span()) if p[1] != p[2]]
+        if len({p[0] for p in pairs}) >= 3:
+            for p in pairs:
+                found.put(*p.span(), "name")
+    if len(found) > before:
+        words = {w for a, b, kind in found if kind == "name" for w in _LETTERS_OF_NAME.findall(text[a:b]) if len(w) > 2} - set(TITLES)
+        for m in _TOKEN.finditer(text):
+            if m[0] in words:
+                found.put(*m.span(), "name")
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of entities, in order, without overlap; of overlapping ones the kind listed first counts."""
+    found = _Spans()
     if not text:
-        return []
-    found: list[tuple[int, int, str]] = []
-
-    def add(matches: Iterator, kind: str, ok=lambda m: True) -> None:
-        taken = list(found)
-        for m in matches:
-            if ok(m) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
-                found.append((m.start(), m.end(), kind))
-
+        return found
     if "@" in text:
-        add(_EMAIL.finditer(text), "email")
+        for m in _EMAIL.finditer(text):
+            found.put(*m.span(), "email")
     if _DIGITS.search(text):
-        add(_IP.finditer(text), "ip", lambda m: all(str(int(x)) == x and int(x) < 256 for x in m[0].split(".")))
-        add(_CARD.finditer(text), "card")
-        add(_PHONE.finditer(text), "phone", lambda m: 7 <= sum(c.isdigit() for c in m[0]) <= 15 and ("+" in m[0] or "(" in m[0] or sum(c.isdigit() for c in m[0]) >= 9))
-    if not _CHEAP.isdisjoint(_TOKEN.findall(text)):
-        add(_NAME.finditer(text), "name", lambda m: m[3][0].isupper() and m[3][1:].islower())
-        add(_TITLED.finditer(text), "name", lambda m: m[3][0].isupper() and m[3][1:].islower())
-    return sorted(found)
+        for m in _IP.finditer(text):
+            if all(str(int(x)) == x and int(x) < 256 for x in m[0].split(".")):
+                found.put(*m.span(), "ip")
+        for m in _CARD.finditer(text):
+            found.put(*m.span(), "card")
+        for m in _PHONE.finditer(text):
+            n = sum(c.isdigit() for c in m[0])
+            if 7 <= n <= 15 and ("+" in m[0] or "(" in m[0] or n >= 9):
+                found.put(*m.span(), "phone")
+    _add_names(text, found)
+    return found
 
 
 _DIGITS = re.compile(r"\d[\d ().-]{5}")
@@ -209,7 +277,7 @@ def entities(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 def collisions(found: DataFrame, key: bytes = KEY, tweak: int = 0) -> DataFrame:
     """Surrogates that two entities of a kind share, or that equal their entity."""
     made = map_arrow(found, lambda b: [b.column(0), b.column(1), [surrogate(k, e, key, tweak) for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]], "kind string, entity string, surrogate string")
-    return made.groupBy("kind", "surrogate").agg(F.min("entity").alias("one"), F.max("entity").alias("other")).filter("one != other or one = surrogate")
+    return made.groupBy("surrogate").agg(F.min("kind").alias("kind"), F.min("entity").alias("one"), F.max("entity").alias("other")).filter("one != other or one = surrogate")
 
 
 def safe_tweak(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY, tries: int = 4) -> int:
