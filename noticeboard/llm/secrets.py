@@ -7,25 +7,14 @@ identifiers, comes close to a byte each, as for random characters. Ordinary iden
 further, so only strings that nothing around them explains are reported.
 
 Spans are code points, end exclusive, in order of start and then of kind. Defined cases: a null or empty text has no
-spans; repeated rows give a result each; other columns play no part.
+spans; a row with a null id is scanned like any other; a very long text is read whole, in one task; repeated rows and
+rows of one id give a result each; other columns play no part.
 """
 
 from __future__ import annotations
 
-import argparse
-import builtins
-import configparser
-import email.message
-import http.client
-import json
-import keyword
-import logging
 import re
-import socket
-import ssl
 import string
-import sys
-import urllib.request
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -53,14 +42,34 @@ _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 46 for b in range(256)
 BEFORE, AROUND, NOVEL = 64, 512, 0.9
 
 
+#: fixed values: parts of identifiers, from which the dictionary is made
+PARTS = (
+    "abstract account action active address admin agent allow app argument array async attribute auth backup base batch block body bool buffer build byte cache call callback certificate channel check class client close "
+    "cloud code collection column command commit compare component config configuration connect connection const constant container content context control convert cookie copy count create credential current cursor data database date "
+    "debug decode default delete deploy description device directory disable document domain download driver duration element email enable encode encrypt endpoint engine entry environment error event exception execute exit export expression "
+    "extension factory field file filter find format frame function generate global graph group handle handler hash header host identifier image implementation import include index info initialize input insert instance integer interface "
+    "internal item iterator json keyword label language layout length level library limit line list listener load local location lock log logger login manager map match message metadata method migration mode model module name namespace network node"
+).split()
+
+
+#: fixed values: parts of identifiers from n on, and words of prose and of comments
+MORE_PARTS = (
+    "notification number object offset operation option order output owner package page parameter parent parse partition path pattern payload permission pipeline platform plugin pointer policy pool port position prefix print priority "
+    "private process profile project property protocol provider proxy public query queue random range record redirect reference region register registry release remote remove render replace report repository request require reset resource "
+    "response result retry return role root route row rule runtime sample scale schedule schema scope script search section select sequence serialize server service session setting shape share signal size socket sort source span stack "
+    "standard start state static status step storage store stream string structure style submit success suffix summary support switch symbol sync system table tag target task team template tenant test text thread threshold time timeout title "
+    "trace transaction transform tree trigger type unit update upload url user util valid value variable vector version view volume warning widget window worker workspace write zone"
+).split()
+PROSE = "the of and to in is that for it as was with be by on not but at are this have from or had an they which one you were all there would their we been has when who will more if out so what about into than them can only other new some could these two may then do first any my now such like our over me even most made after also did many before must through years where much your way well down should because each just those people how too little good very make still own see here work long get between both under never same another know while last might us great old year off come since against go came right used take three".split()
+
+
 def _dictionary() -> bytes:
-    """Identifiers as they occur in code: the standard library's names, singly and joined, alphabets, sensitive words."""
-    modules = (argparse, configparser, email.message, http.client, json, logging, socket, ssl, urllib.request)
-    names = {n for m in modules for n in dir(m)} | {n for kind in (str, dict, list, http.client.HTTPConnection, logging.Logger, ssl.SSLContext) for n in dir(kind)}
-    names = sorted({*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *names})
-    parts = sorted({w.lower() for n in names for w in re.findall(r"[A-Za-z][a-z]+|[A-Z]+", n) if len(w) > 3})
+    """Identifiers as code has them: parts alone and joined in three styles, words of prose, alphabets, sensitive words. The same on every machine."""
+    parts = [*PARTS, *MORE_PARTS]
+    neighbours = list(zip(parts, parts[7:] + parts[:7], strict=True))
     runs = f"{string.ascii_uppercase}{string.digits}{string.ascii_lowercase}0123456789abcdef9876543210"
-    return "\n".join(["_".join(parts), " ".join(names), runs, *SENSITIVE]).encode()
+    joined = ["_".join(parts), " ".join(f"{a}_{b}" for a, b in neighbours), " ".join(f"{a}{b.capitalize()}" for a, b in neighbours), "".join(p.capitalize() for p in parts), "_".join(parts).upper(), " ".join(PROSE)]
+    return "\n".join([*joined, runs, *SENSITIVE]).encode()
 
 
 _COMPRESSOR: list = []
@@ -69,8 +78,9 @@ _COMPRESSOR: list = []
 def marginal_bytes(around: str, text: str) -> int:
     """Compressed bytes that `text` adds to the text around it, under the identifier dictionary."""
     if not _COMPRESSOR:
-        d = zstandard.ZstdCompressionDict(_dictionary(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        _COMPRESSOR.append(zstandard.ZstdCompressor(level=12, dict_data=d, write_checksum=False, write_content_size=False))
+        words = _dictionary()
+        how = zstandard.ZstdCompressionParameters.from_level(12, source_size=2 * AROUND, dict_size=len(words), min_match=5, write_checksum=False, write_content_size=False)  # shorter matches occur by chance
+        _COMPRESSOR.append(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
     size = lambda t: len(_COMPRESSOR[0].compress(t.encode("utf-8", "surrogatepass")))
     return size(around + text) - size(around)
 
