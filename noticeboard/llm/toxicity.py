@@ -8,8 +8,10 @@ reporting it counts as quoted, near second-person words as aimed at somebody. A
 on other rows than the lexicon, gives the score.
 
 Learning reads at most ``sample`` labelled rows (by hash of the id; equal texts count once). labels, lang, source and
-doc_id are no inputs of a score. Defined cases: a null or empty text has no words and gets the score of no hits;
-repeated rows get a score each; without labelled rows the built-in terms and weights hold; other columns play no part.
+doc_id are no inputs of a score. Of all candidate terms the `terms` of the strongest evidence are kept, ranked where they
+are counted. Defined cases: a null or empty text has no words and gets the score of no hits; a row with a null id is scored
+but not learnt from; a very long text is read whole, in one task; repeated rows and rows of one id get a score each;
+without labelled rows the built-in terms and weights hold; other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from noticeboard.llm.common import cache, crc_of_id, free_name, map_arrow, ship, table
 
-SAMPLE, TERMS, WINDOW = 12_000, 600, 6
+SAMPLE, TERMS, WINDOW, LEAST = 12_000, 600, 6, 4
 #: fixed values: a small starting lexicon
 SEED_TERMS = ("trash", "pathetic", "idiot", "disgusting", "worthless", "clown", "stupid", "loser", "scum", "moron")
 #: fixed values: words of reporting and of address, in four languages
@@ -205,17 +207,15 @@ def units(text: str) -> set[str]:
     return out
 
 
-def lexicon(n_toxic: int, n_other: int, counts: list[tuple[str, int, int]], terms: int = TERMS) -> tuple[list[str], list[float]]:
-    """The terms with the strongest evidence: (term, toxic texts, other texts) -> terms and their log odds."""
-    scored = []
-    for term, a, b in counts:
-        odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_other + 1))
-        share = (a + b) / max(1, n_toxic + n_other)
-        sure = (a - n_toxic * share) / math.sqrt(max(1e-9, n_toxic * share * (1 - share)))
-        if odds > 1.5 and sure > 5:
-            scored.append((sure, term, odds))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    chosen = dict.fromkeys(SEED_TERMS, 2.0) | {t: o for _, t, o in scored[:terms]}
+def lexicon(tally: DataFrame, n_toxic: int, n_other: int, terms: int = TERMS) -> tuple[list[str], list[float]]:
+    """The `terms` with the strongest evidence among tally's (term, a toxic texts, b other texts), and their log odds: in LEAST toxic texts or more, log odds over 1.5 and over five standard deviations, ranked by these."""
+    a, b, n = F.col("a"), F.col("b"), max(1, n_toxic + n_other)
+    odds = F.log((a + 0.5) / (n_toxic + 1)) - F.log((b + 0.5) / (n_other + 1))
+    share = (a + b) / n
+    sure = (a - n_toxic * share) / F.sqrt(F.greatest(F.lit(1e-9), n_toxic * share * (1 - share)))
+    ranked = tally.filter(a >= LEAST).select("term", odds.alias("odds"), F.round(sure, 9).alias("sure")).filter("odds > 1.5 and sure > 5")
+    rows = ranked.orderBy(F.desc("sure"), "term").limit(terms).collect()
+    chosen = dict.fromkeys(SEED_TERMS, 2.0) | {r.term: r.odds for r in rows}
     return list(chosen), [min(6.0, o) for o in chosen.values()]
 
 
@@ -272,8 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], names=["term", "a", "b"])
 
         tally = mine.filter(first).mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        rows = tally.filter("a >= 4 and a > 0.3 * b * {}".format(size[True] / size[False])).orderBy(F.desc(F.col("a") / (F.col("b") + 5.0)), "term").limit(20_000).collect()
-        words, strength = lexicon(size[True], size[False], [(r.term, r.a, r.b) for r in rows], terms)
+        words, strength = lexicon(tally, size[True], size[False], terms)
         data = mine.filter(~first).mapInArrow(_featured(words, strength), "y int, x array<double>").toPandas()
     finally:
         mine.unpersist()
