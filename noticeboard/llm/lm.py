@@ -123,10 +123,12 @@ class Opened:
         self.two, self.two_at = np.unique(mixed(before * STEP + mixed(now)) >> U(64 - BITS), return_inverse=True)
 
 
-def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of the key space begins in sorted keys, and the end."""
-    edges = np.array([(i << BITS) // n for i in range(n)], U)
-    return np.r_[np.searchsorted(keys, edges), len(keys)]
+def _ranges(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Of n equal ranges of the key space those that sorted keys fall in: (range, where it begins, where it ends)."""
+    width = -(-(1 << BITS) // n)
+    at = keys // U(width)
+    edges = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, len(keys)] if len(keys) else np.zeros(1, np.int64)
+    return list(zip(at[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
 def grams_of_chunks(c: DataFrame, n_one: int, n_two: int) -> DataFrame:
@@ -142,11 +144,8 @@ def grams_of_chunks(c: DataFrame, n_one: int, n_two: int) -> DataFrame:
                 two = np.bincount(o.two_at[train], minlength=len(o.two))
                 rows = []
                 for first, n, keys, counts in ((0, n_one, o.one, one), (n_one, n_two, o.two, two)):
-                    at = _ranges(keys, n)
-                    for k in range(n):
-                        if at[k] < at[k + 1]:
-                            own = keys[at[k] : at[k + 1]]
-                            rows.append((r["chunk"], first + k, squeezed(np.diff(own, prepend=U(0))), squeezed(counts[at[k] : at[k + 1]].astype(np.uint32))))
+                    for k, a, b in _ranges(keys, n):
+                        rows.append((r["chunk"], first + k, squeezed(np.diff(keys[a:b], prepend=U(0))), squeezed(counts[a:b].astype(np.uint32))))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=odd_names)
 
     return c.select("chunk", "held", "sizes", "tokens", "words").mapInArrow(run, "chunk bigint, bucket bigint, keys binary, counts binary")

@@ -56,6 +56,15 @@ def test_toxicity_learns_and_defines_all_cases(spark):
     s = {r.doc_id: r.tox for r in toxicity.scored(cases.table(spark, [*rows, *[(i + 1000 if i is not None else None, t) for i, t in cases.texts()], (5000, cases.prose(rng, 50) + " grublx grubblo")]), model, name="tox").collect()}
     assert all(0 <= x <= 1 for x in s.values()) and all(s[i] >= 0.5 for i in range(0, 400, 5)) and all(s[i] < 0.5 for i in range(1, 400, 5))
     assert s[5000] > s[1]
+    counts = [(f"t{i}*", rng.randint(0, 60), rng.randint(0, 90)) for i in range(400)]
+
+    def brute(a, b, x=200, y=900):
+        odds, share = math.log((a + 0.5) / (x + 1)) - math.log((b + 0.5) / (y + 1)), (a + b) / (x + y)
+        return odds, round((a - x * share) / math.sqrt(max(1e-9, x * share * (1 - share))), 9)
+
+    want = sorted((-s, t) for t, a, b in counts for o, s in [brute(a, b)] if a >= 4 and o > 1.5 and s > 5)
+    terms, strength = toxicity.lexicon(spark.createDataFrame(counts, "term string, a bigint, b bigint"), 200, 900, 50)
+    assert terms == [*toxicity.SEED_TERMS, *[t for _, t in want[:50]]] and len(want) > 50 and len(strength) == len(terms)
     assert toxicity.learn(cases.table(spark, rows), labels.limit(0)).terms == list(toxicity.SEED_TERMS)
     kept = toxicity.without_toxic(cases.table(spark, rows), model)
     assert kept.count() == 320 and kept.columns == cases.empty(spark).columns
@@ -92,18 +101,60 @@ def test_lm_against_brute_force(spark):
     assert lm.scores(cases.empty(spark), *folds()).count() == 0
 
 
-def test_lm_is_a_distribution(spark):
-    """After any context, the probabilities of all known words, the end and one unknown word sum to 1."""
-    vocabulary = ["a", "b", "c", "d"]
+class BruteModel:
+    """The model of the docstring, counted and taught token by token, with weights by expectation-maximisation on counts that aren't binned."""
+
+    def __init__(self, rows, held_out, deleted):
+        self.tokens = [(i, (t or "").encode().lower().split() + [b" end"]) for i, t in rows]
+        train = [(i, ws) for i, ws in self.tokens if not held_out(i)]
+        count = lambda texts: (Counter(w for ws in texts for w in ws), Counter(p for ws in texts for p in zip([b" start", *ws], ws, strict=False)), Counter(w for ws in texts for w in [b" start", *ws[:-1]]))
+        self.one, self.two, self.context = count([ws for _, ws in train])
+        self.n, self.v = sum(self.one.values()), len(self.one)
+        one, two, context = count([ws for i, ws in train if not deleted(i)])
+        n, cells = sum(one.values()), Counter()
+        for _, ws in [x for x in train if deleted(x[0])]:
+            for h, w in zip([b" start", *ws], ws, strict=False):
+                cells[self.bucket(context[h]), two[h, w] / max(context[h], 1), one[w] / max(n, 1)] += 1
+        prior = {b: [0.3, 0.6, 0.1] if b else [0.0, 0.9, 0.1] for b in range(lm.BUCKETS)}
+        self.weights = prior
+        for _ in range(200):
+            new = {b: list(p) for b, p in prior.items()}
+            for (b, p2, p1), k in cells.items():
+                parts = [w * p for w, p in zip(self.weights[b], (p2, p1, 1 / (self.v + 1)), strict=True)]
+                for j in range(3):
+                    new[b][j] += k * parts[j] / sum(parts)
+            new[0][0] = 0
+            self.weights = {b: [x / sum(w) for x in w] for b, w in new.items()}
+
+    @staticmethod
+    def bucket(c):
+        return min(math.ceil(math.log2(c + 1)), lm.BUCKETS - 1)
+
+    def p(self, w, h):
+        x, y, z = self.weights[self.bucket(self.context[h])]
+        return x * self.two[h, w] / max(self.context[h], 1) + y * self.one[w] / self.n + z / (self.v + 1)
+
+
+def test_lm_score_against_a_brute_model(spark):
     rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(6))) for i in range(60)]
-    tests = [" ".join(x) for x in [(), *[(w,) for w in vocabulary], *[(a, b) for a in vocabulary for b in [*vocabulary, "unknown"]], ("unknown",)]]
-    held = F.col("doc_id") >= 1000
-    docs = [*rows, *[(1000 + i, t) for i, t in enumerate(tests)]]
-    p = {r.doc_id: 10**r.score for r in lm.scores(cases.table(spark, docs), held, F.col("doc_id") % 5 == 0).collect()}
-    score = {t: p[1000 + i] for i, t in enumerate(tests)}  # of the text with its end
-    # P(end | start) and P(w | start) can't be told apart from scores of whole texts but through P(end | w), so check by ratios
-    assert all(0 < x < 1 for x in score.values()) and abs(sum(score.values())) < 1
+    words = [f"w{i}" for i in range(40)]
+    follow = {w: rng.choices(words, k=4) for w in words}
+
+    def text(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]) if rng.random() < 0.8 else rng.choice(words))
+        return " ".join(out)
+
+    rows = [(i, text(rng.randint(1, 30))) for i in range(150)] + [(1000, ""), (1001, None), (1002, "unknown words w1"), (3, "w1 w1"), (3, "w1 w1"), (1003, text(3000))]
+    held, deleted = (lambda i: i >= 1000 or i % 7 == 2), (lambda i: i % 7 == 3)
+    brute = BruteModel(rows, held, deleted)
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in lm.scores(cases.table(spark, rows), (F.col("doc_id") >= 1000) | (F.col("doc_id") % 7 == 2), F.col("doc_id") % 7 == 3, chunk=400, key_range=150).collect())
+    want = sorted((i, len(ws), sum(math.log10(brute.p(w, h)) for h, w in zip([b" start", *ws], ws, strict=False))) for i, ws in brute.tokens)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 0.01 * abs(b[2]) + 0.01
+    for h in [b" start", *[w.encode() for w in words[:5]], b"unknown"]:  # a distribution: all known tokens and one unknown
+        assert abs(sum(brute.p(w, h) for w in brute.one) + brute.p(b"?", h) - 1) < 1e-9
 
 
 def test_lm_weights_from_a_histogram():
