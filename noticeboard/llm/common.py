@@ -10,7 +10,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,20 +97,6 @@ def _arrow(kind):
     return to_arrow_type(kind)
 
 
-class WordHash(dict):
-    """bytes -> 64-bit hash. Remembers the first `limit` distinct words (frequent words come early), computes others anew."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.limit:
-            self[word] = h
-        return h
-
-
 _SLOT: list = [None, None]
 
 
@@ -128,10 +113,6 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(cache("words", WordHash).__getitem__, words), U, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that every bit depends on every bit."""
     h = h ^ (h >> U(31))
@@ -154,6 +135,57 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 STEP = U(0x9E3779B97F4A7C15)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number modulo 2^64."""
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = np.cumprod(np.r_[U(1), np.full(max(n, 1024), U(base))], dtype=U)
+    return _POWERS[base][:n]
+
+
+BASE = int(STEP)
+INVERSE = pow(BASE, -1, 2**64)
+#: bytes.translate: A-Z become a-z, white space becomes spaces
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+_OF_BYTE = mixed(np.arange(1, 257, dtype=U) * STEP)
+_PIECE = 1 << 19
+
+
+def word_places(data: bytes, plain: bytes = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text in UTF-8 start and end; plain: a table of bytes.translate that turns what is between words into spaces."""
+    word = np.zeros(len(data) + 2, np.int8)
+    word[1:-1] = np.frombuffer(data.translate(plain), np.uint8) != 32
+    steps = np.diff(word)
+    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+
+
+def word_hashes(texts: list[str | None], plain: bytes = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (by default `[^\\x20\\x09-\\x0D]+`, A-Z as a-z) of all texts in a row, and at which word each text ends.
+
+    A word's hash is a polynomial over its bytes, taken from running sums over pieces of half a megabyte.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = b" ".join(raw).translate(plain)
+    borders = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = at + _PIECE
+        if end < len(data):
+            end = data.rfind(b" ", at, end) + 1 or data.find(b" ", end) + 1 or len(data)
+        first, last = word_places(data[at:end], plain)
+        b = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+        sums = np.zeros(len(b) + 1, U)
+        np.cumsum(_OF_BYTE[b] * powers(BASE, len(b)), out=sums[1:])
+        hashes.append((sums[last] - sums[first]) * powers(INVERSE, len(b) + 1)[first])
+        starts.append(first + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, U), np.zeros(len(texts), np.int64)
+    return mixed(np.concatenate(hashes)), np.searchsorted(np.concatenate(starts), borders)
+
+
 def grams(a: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all runs of k of a's values (in order); a must have k at least."""
     n = len(a) - k + 1
@@ -168,13 +200,6 @@ def crc_of_id(col) -> object:
     return F.crc32(F.col(col).cast("string").cast("binary")) if isinstance(col, str) else F.crc32(col.cast("string").cast("binary"))
 
 
-
-
-def maybe_broadcast(df: DataFrame, rows: int = 400_000) -> DataFrame:
-    """df, marked for broadcast where it has at most so many rows (narrow ones: ids, or ids with a few numbers); else a plain join side."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that this application has stored in the shared folder. Results that read them must be written before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

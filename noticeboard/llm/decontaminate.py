@@ -5,11 +5,14 @@ hash of its k-grams is kept as fingerprint, on both sides, so every shared span
 in common. Fingerprints are joined, and each hit is extended window by window over equal words; a word inside any
 occurrence of a window counts as hit.
 
-The benchmark's index goes to all tasks only in blocks of at most ``block_words`` words; with several blocks, all
-documents are matched against one block after another and the hits are merged by document.
+The benchmark's index goes to all tasks, as sorted arrays of hashes in blocks of at most ``block_words`` words each; the
+documents are read once, against all blocks. A worker holds all of the index, about 60 bytes a benchmark word, so a
+benchmark may have some ten million words; documents have no bound and are not shuffled. Windows are told apart by
+64-bit hashes of 64-bit hashes of their words, and must meet in their fingerprint too.
 
 Defined cases: null or empty texts have no words and no hits; items without words match nothing; items with a null
-id take part under the id "null"; repeated rows give a result each; other columns of either table play no part.
+id take part under the id "null"; a document's row with a null id is searched like any other; repeated rows and rows of one id give a
+result each; a very long text is read whole, in one task; other columns of either table play no part.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import U, free_name, grams, map_arrow, merged, stored
+from noticeboard.llm.common import free_name, grams, map_arrow, merged, word_hashes
 
-SPAN, K, BLOCK_WORDS = 10, 5, 200_000
+SPAN, K, BLOCK_WORDS = 10, 5, 2_000_000
 #: bytes.translate: A-Z become a-z, bytes of words stay, all else becomes a space
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -33,122 +36,92 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-class _Vocabulary(dict):
-    """Numbers of the words that items use; any other word is 0 and equals nothing."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
+def _least(h: np.ndarray, size: int, k: int) -> np.ndarray:
+    """The fingerprint of each window of `size` words: the least hash of its k-grams."""
+    k = min(k, size)
+    g, n = grams(h, k), len(h) - size + 1
+    least = g[:n].copy()
+    for j in range(1, size - k + 1):
+        np.minimum(least, g[j : j + n], out=least)
+    return least
 
 
 class Index:
-    """Windows of a block of items, under their fingerprints."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], span: int = SPAN, k: int = K):
-        self.span, self.k, self.vocabulary = span, k, _Vocabulary()
-        self.windows: dict[bytes, set[str]] = {}
-        prints: dict[int, list[np.ndarray]] = {}
-        for name, ws in items:
-            for w in ws:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-            ids = np.array([self.vocabulary[w] for w in ws], np.int64)
-            size = min(span, len(ids))
-            if not size:
-                continue
-            for i in range(len(ids) - size + 1):
-                self.windows.setdefault(ids[i : i + size].tobytes(), set()).add(name)
-            prints.setdefault(size, []).append(self._least(ids, size))
-        self.prints = {size: np.unique(np.concatenate(p)) for size, p in prints.items()}
-
-    def _least(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """The fingerprint of each window of `size` words."""
-        k = min(self.k, size)
-        g, n = grams(ids.astype(U), k), len(ids) - size + 1
-        least = g[:n].copy()
-        for j in range(1, size - k + 1):
-            np.minimum(least, g[j : j + n], out=least)
-        return least
-
-    def find(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of hit words (start, end), merged and in order, and the items."""
-        ids = np.fromiter(map(self.vocabulary.__getitem__, ws), np.int64, len(ws))
+    """Windows of a block of items, by size: sorted fingerprints, and sorted windows with the items that have them."""
+
+    def __init__(self, items: list[tuple[str, str | None]], span: int = SPAN, k: int = K):
+        self.k, self.names = k, [name for name, _ in items]
+        h, ends = word_hashes([text for _, text in items], _TABLE)
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for number, ws in enumerate(np.split(h, ends[:-1])):
+            if len(ws):
+                by_size.setdefault(min(span, len(ws)), []).append((number, ws))
+        self.sizes = {}
+        for size, of_size in by_size.items():
+            prints = np.unique(np.concatenate([_least(ws, size, k) for _, ws in of_size]))
+            windows = np.concatenate([grams(ws, size) for _, ws in of_size])
+            owner = np.repeat([n for n, _ in of_size], [len(ws) - size + 1 for _, ws in of_size]).astype(np.int32)
+            order = np.argsort(windows, kind="stable")
+            self.sizes[size] = prints, windows[order], owner[order]
+
+    def find(self, h: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+        """Spans of hit words (start, end) and the items, for a text's word hashes."""
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        for size, prints in self.prints.items():
-            if len(ids) < size:
+        for size, (prints, windows, owner) in self.sizes.items():
+            if len(h) < size:
                 continue
-            least = self._least(ids, size)
-            starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])  # neighbours mostly share their fingerprint
-            at = np.searchsorted(prints, least[starts])
-            hit = prints[np.minimum(at, len(prints) - 1)] == least[starts]
-            if not hit.any():
+            least = _least(h, size, self.k)
+            met = prints[np.minimum(np.searchsorted(prints, least), len(prints) - 1)] == least
+            if not met.any():
                 continue
-            ends = np.r_[starts[1:], len(least)]
-            for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True):
-                for i in range(a, b):
-                    if found := self.windows.get(ids[i : i + size].tobytes()):
-                        items |= found
-                        spans.append((i, i + size))
-        return merged(spans), items
+            at = np.flatnonzero(met)
+            mine = grams(h, size)[at]
+            first, last = np.searchsorted(windows, mine), np.searchsorted(windows, mine, "right")
+            hit = first < last
+            spans += [(i, i + size) for i in at[hit].tolist()]
+            for a, b in set(zip(first[hit].tolist(), last[hit].tolist(), strict=True)):
+                items |= {self.names[n] for n in owner[a:b]}
+        return spans, items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
     """Items in blocks of at most block_words words (or one item); the driver holds one block at a time."""
     block, size = [], 0
     for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        ws = words(row.t)
-        if block and size + len(ws) > block_words:
+        n = len(words(row.t))
+        if block and size + n > block_words:
             yield block
             block, size = [], 0
-        block.append((row.i if row.i is not None else "null", ws))
-        size += len(ws)
+        block.append((row.i if row.i is not None else "null", row.t))
+        size += n
     yield block
 
 
 KIND = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
-def _matcher(index, text_at: str):
-    def match(batch: pa.RecordBatch) -> list:
-        out = []
-        for text in batch.column(batch.schema.get_field_index(text_at)).to_pylist():
-            ws = words(text)
-            spans, items = index.value.find(ws)
-            out.append({"n_words": len(ws), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
-        return [out]
-
-    return match
-
-
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS, name: str = "contamination") -> DataFrame:
     """docs with a column of what was found: n_words, hit spans (word positions) and item ids (as strings, sorted).
 
-    The column's name gets underscores in front until it is free. No shuffle with one block of items; with more, one
-    pass over docs for each block.
+    The column's name gets underscores in front until it is free. One pass over docs, without a shuffle.
     """
     name = free_name(docs, name)
     sc = docs.sparkSession.sparkContext
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    first = next(blocks)
-    found = map_arrow(docs, _matcher(sc.broadcast(Index(first, span, k)), text_col), f"`{name}` {KIND}", keep=True)
-    for block in blocks:
-        found = stored(found, "contamination")
-        more = free_name(found, "more")
-        found = map_arrow(found, _matcher(sc.broadcast(Index(block, span, k)), text_col), f"`{more}` {KIND}", keep=True)
-        spans = F.array_sort(F.concat(f"{name}.spans", f"{more}.spans"))
-        joined = F.aggregate(spans, F.lit(None).cast("array<struct<start:int,end:int>>"), _merge_step)
-        found = found.withColumn(name, F.struct(F.col(f"{name}.n_words"), F.coalesce(joined, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.array_sort(F.array_union(f"{name}.items", f"{more}.items")).alias("items"))).drop(more)
-    return found
-
-
-def _merge_step(done, x):
-    """Folds the next span (by start) into a list of disjoint ones."""
-    last = F.element_at(done, -1)
-    touching = x["start"] <= last["end"]
-    kind = "array<struct<start:int,end:int>>"
-    wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-    return F.when(done.isNull(), F.array(x)).when(touching, wider).otherwise(F.concat(done, F.array(x))).cast(kind)
+    indexes = [sc.broadcast(Index(block, span, k)) for block in _blocks(benchmark, item_col, item_text_col, block_words)]
+
+    def match(batch: pa.RecordBatch) -> list:
+        out = []
+        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        for i in range(0, len(texts), 64):
+            h, ends = word_hashes(texts[i : i + 64], _TABLE)
+            for ws in np.split(h, ends[:-1]):
+                found = [index.value.find(ws) for index in indexes]
+                spans = merged([x for s, _ in found for x in s])
+                out.append({"n_words": len(ws), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted({x for _, items in found for x in items})})
+        return [out]
+
+    return map_arrow(docs, match, f"`{name}` {KIND}", keep=True)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -26,50 +26,22 @@ deletion joins two parts; other columns are kept by `deduplicated` and play no p
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import STEP, U, free_name, hashed, map_arrow, merged, mixed, ship, stored, table
+from noticeboard.llm.common import BASE, INVERSE, U, free_name, map_arrow, merged, mixed, powers, ship, stored, table, word_hashes, word_places
 
 BLOCK_WORDS, WINNOW, LOT = 40, 12, 32
 PASSAGE = BLOCK_WORDS + WINNOW - 1
-_BORDER = b"\xfe"  # in no UTF-8 text
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MOST = U(2**64 - 1)
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of an odd number modulo 2^64."""
-    if len(_POWERS.get(base, ())) < n:
-        _POWERS[base] = np.cumprod(np.r_[U(1), np.full(max(n, 1024), U(base))], dtype=U)
-    return _POWERS[base][:n]
-
-
-_BASE = int(STEP)
-_INVERSE = pow(_BASE, -1, 2**64)
-
-
-def read_all(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A 40-bit number for each word of the texts (case apart), and where each text ends."""
-    data = b" \xfe ".join(t.encode("utf-8", "surrogatepass") if t else b"" for t in texts)
-    h = hashed(data.lower().split())
-    border = h == U(xxhash.xxh3_64_intdigest(_BORDER))
-    ends = np.cumsum(~border)[border]
-    h = h[~border] >> U(24)
-    return h, np.r_[ends, len(h)].astype(np.int64)
-
-
 def read(text: str | None) -> np.ndarray:
-    return read_all([text])[0]
+    return word_hashes([text])[0]
 
 
 def windows(words: np.ndarray, k: int = BLOCK_WORDS) -> np.ndarray:
@@ -77,8 +49,8 @@ def windows(words: np.ndarray, k: int = BLOCK_WORDS) -> np.ndarray:
     n = len(words)
     if n < k:
         return np.zeros(0, U)
-    sums = np.r_[U(0), np.cumsum(mixed(words) * _powers(_BASE, n), dtype=U)]
-    return mixed((sums[k:] - sums[:-k]) * _powers(_INVERSE, n - k + 1))
+    sums = np.r_[U(0), np.cumsum(mixed(words) * powers(BASE, n), dtype=U)]
+    return mixed((sums[k:] - sums[:-k]) * powers(INVERSE, n - k + 1))
 
 
 def _sliding(least_or_most: np.ufunc, a: np.ndarray, n: int) -> np.ndarray:
@@ -167,7 +139,7 @@ def _pairs(docs: DataFrame, block_words: int) -> DataFrame:
     def kept(b: pa.RecordBatch) -> list:
         texts, out = b.column(2).to_pylist(), []
         for i in range(0, len(texts), 256):
-            doc, h = units(*read_all(texts[i : i + 256]), block_words)
+            doc, h = units(*word_hashes(texts[i : i + 256]), block_words)
             out.append((h.view(np.int64), doc + i))
         h, doc = (np.concatenate(x) for x in zip(*out, strict=True))
         return [pa.array(h), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc))]
@@ -197,9 +169,10 @@ def repeated_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def compare(t: pa.Table) -> pa.Table:
         holds = np.array(t.column("holds").to_pylist(), bool)
-        texts = t.column("text").to_pylist()
-        held = [Held(read(texts[i]), block_words) for i in np.flatnonzero(holds)]
-        out = [(i, *block) for i in np.flatnonzero(~holds).tolist() for e in held for block in e.align(read(texts[i]))]
+        h, ends = word_hashes(t.column("text").to_pylist())
+        texts = np.split(h, ends[:-1])
+        held = [Held(texts[i], block_words) for i in np.flatnonzero(holds)]
+        out = [(i, *block) for i in np.flatnonzero(~holds).tolist() for e in held for block in e.align(texts[i])]
         at, start, end, there = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 4
         mine = t.select(["id", "row", "first"]).take(pa.array(at))
         return pa.table({"id": mine.column("id"), "row": mine.column("row"), "start": start, "end": end, "first": mine.column("first"), "there": there})
@@ -210,14 +183,16 @@ def repeated_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and the white space after each span."""
-    places = [m.span() for m in _WORD.finditer(text)]
+    data = text.encode("utf-8", "surrogatepass")
+    starts = word_places(data)[0].tolist()
     out, at = [], 0
     for a, b in merged(spans):
-        b = min(b, len(places))
+        b = min(b, len(starts))
         if a < b:
-            out.append(text[at : places[a][0]])
-            at = places[b][0] if b < len(places) else len(text)
-    return ("".join(out) + text[at:]).rstrip() if at >= len(text) else "".join(out) + text[at:]
+            out.append(data[at : starts[a]])
+            at = starts[b] if b < len(starts) else len(data)
+    kept = (b"".join(out) + data[at:]).decode("utf-8", "surrogatepass")
+    return kept.rstrip(" \t\n\r\x0b\x0c") if out and at == len(data) else kept
 
 
 KIND = "struct<text:string,n_words:bigint,n_deleted:bigint>"

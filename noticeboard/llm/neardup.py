@@ -5,15 +5,25 @@ candidates; of all minima only the low `BITS` bits are kept, packed into longs,
 estimated from the count of equal ones, corrected for chance equality. Pairs whose estimate is not `SIGMAS` standard
 deviations under the threshold are confirmed on full sets. Documents with equal sets are one class from the start.
 
-Large groups. A bucket of up to `SMALL` classes is compared in full. In a larger one, every class is first compared
-with one pivot only: the class closest to the majority of a sample's packed minima (which class it is matters for
-speed, not for the result). Then what the pivot's component has not taken in is compared, by packed minima, with
-the bucket's classes of other components, and what may be similar is confirmed. So no link that a bucket shows is
-lost, while a group of copies costs as many comparisons as it has classes, not all pairs.
+Large groups. A bucket of up to `SMALL` classes is compared in full. In a larger one, every class is compared, by full
+sets, with one pivot only: a class close to the majority of a sample's packed minima (which class it is matters for
+speed, not for the result). Let x be a class that the pivot p isn't linked with. If x is linked with a class y of at
+least p's size, then x and y share a shingle that p lacks: otherwise |x & y| <= |x & p|, which is too little. So only classes
+outside of the pivot's component, and the sharers of their shingles that p lacks, are looked at again: each such
+shingle makes a smaller bucket, to which the same is done. A class y smaller than p is compared with those x whose
+|x & p| would be enough for it. So no link that a bucket shows is lost, while neither a group of copies nor a group
+of texts that are near to a template, but not to each other, costs all its pairs. What is still large after `LEVELS`
+such steps is compared in full.
+
+Scale. Texts are read twice; the second time they move once, by id, to meet the ids of candidates, and only the
+candidates' sets go further. All joins with sides that grow with the data are sort-merge joins, so the plan is the
+same at every size. Only the classes with more than a thousandth of all rows (a thousand at most) are broadcast, so
+that a group of equal texts is no hot key when each row gets its component.
 
 Defined cases: texts without words have an empty set and are linked with nothing; texts of fewer words than a shingle
-have one; rows of one id count as one document; a row with a null id is linked with nothing and kept, its component
-null; other columns play no part.
+have one; rows of one id are linked with each other, and each has the size of its own set; a row with a null id is
+linked with nothing and kept, its component null; a very long text is read whole, in one task; other columns play no
+part.
 """
 
 from __future__ import annotations
@@ -24,10 +34,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import U, free_name, grams, hashed, map_arrow, maybe_broadcast, space_words, stored, table
+from noticeboard.llm.common import U, free_name, grams, map_arrow, stored, table, word_hashes
 from noticeboard.llm.components import components
 
-SHINGLE, SLOTS, BITS, ROWS, BANDS, SMALL, SIGMAS, SAMPLE = 5, 256, 4, 5, 24, 64, 4.0, 64
+SHINGLE, SLOTS, BITS, ROWS, BANDS, SMALL, SIGMAS, SAMPLE, HOT, LEVELS = 5, 256, 4, 5, 24, 64, 4.0, 64, 1000, 8
 LONGS = SLOTS * BITS // 64
 _RNG = np.random.default_rng(20240501)
 _A = (_RNG.integers(0, 2**32, SLOTS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -37,8 +47,20 @@ _BLOCK = 1 << 16
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    ws = space_words(text)
-    return np.unique(grams(hashed(ws), min(k, len(ws)))) if ws else np.zeros(0, U)
+    return _set(word_hashes([text])[0], k)
+
+
+def _set(words: np.ndarray, k: int) -> np.ndarray:
+    return np.unique(grams(words, min(k, len(words)))) if len(words) else words
+
+
+def all_shingles(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+    """`shingles` of each text; 64 texts are read at a time."""
+    out: list[np.ndarray] = []
+    for i in range(0, len(texts), 64):
+        h, ends = word_hashes(texts[i : i + 64])
+        out += [_set(words, k) for words in np.split(h, ends[:-1])]
+    return out
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -77,7 +99,7 @@ def _bands(m: np.ndarray) -> np.ndarray:
 
 def _signatures(k: int):
     def run(b: pa.RecordBatch) -> list:
-        sets = [shingles(t, k) for t in b.column(1).to_pylist()]
+        sets = all_shingles(b.column(1).to_pylist(), k)
         full = [i for i, s in enumerate(sets) if len(s)]
         m = minima([sets[i] for i in full]) if full else np.zeros((0, SLOTS), np.uint32)
         key, packed, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -89,16 +111,21 @@ def _signatures(k: int):
     return run
 
 
-def similarity(a: str, b: str) -> Column:
-    """Estimated Jaccard similarity of two columns of packed minima: share of equal ones, corrected for chance."""
+def unequal(a: str, b: str) -> Column:
+    """How many of two columns' packed minima differ."""
     ones = F.lit(0x1111111111111111)
-    unequal = F.lit(0)
+    out = F.lit(0)
     for i in range(LONGS):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         any_bit = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
-        unequal = unequal + F.bit_count(any_bit.bitwiseAND(ones))
+        out = out + F.bit_count(any_bit.bitwiseAND(ones))
+    return out
+
+
+def similarity(a: str, b: str) -> Column:
+    """Estimated Jaccard similarity of two columns of packed minima: share of equal ones, corrected for chance."""
     chance = 2.0**-BITS
-    return ((1 - unequal / SLOTS) - chance) / (1 - chance)
+    return ((1 - unequal(a, b) / SLOTS) - chance) / (1 - chance)
 
 
 def least_estimate(threshold: float) -> float:
@@ -120,12 +147,18 @@ def _majority(pdf):
     return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "mode": [out.view(np.int64).tolist()]})
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * |intersection| >= percent * |union|, by their full sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(maybe_broadcast(ids), "id", "left_semi")
-    sets = stored(map_arrow(texts.select("id", "text"), lambda b: [b.column(0), [shingles(t, k).tobytes() for t in b.column(1).to_pylist()]], f"id {docs.schema['id'].dataType.simpleString()}, set binary"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, set: the distinct shingle sets of the rows of these ids. The texts move once, by id."""
+    texts = docs.join(ids.distinct().hint("merge"), "id", "left_semi")
+    made = map_arrow(texts.select("id", "text"), lambda b: [b.column(0), [x.tobytes() for x in all_shingles(b.column(1).to_pylist(), k)]], f"id {docs.schema['id'].dataType.simpleString()}, set binary")
+    return stored(made.filter("length(set) > 0").distinct(), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those of which two sets have 100 * |intersection| >= percent * |union|."""
+    kind = sets.schema["id"].dataType.simpleString()
+    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y")
 
     def check(b: pa.RecordBatch) -> list:
         ok = []
@@ -135,57 +168,118 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataF
             ok.append(100 * both >= percent * (len(x) + len(y) - both))
         return [b.column(0), b.column(1), ok]
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_arrow(both.select("a", "b", "x", "y"), check, f"a {kind}, b {kind}, ok boolean").filter("ok").select("a", "b")
+    return map_arrow(both, check, f"a {kind}, b {kind}, ok boolean").filter("ok").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each document.
-
-    Texts are read twice; of those, the second time, only the ones in candidate pairs are kept, after one shuffle.
-    """
+    """doc_id, n_shingles, component_id, kept: a row for each document."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     sig = stored(map_arrow(docs, _signatures(k), f"id {kind}, n bigint, key binary, sig array<bigint>, bands array<bigint>"), "signatures")
-    classes = sig.filter("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"))
-    reps = stored(sig.join(classes, ["key", "id"]).select("id", "sig", "bands"), "classes")
+    full = sig.filter("key is not null and id is not null")
+    classes = stored(full.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "classes")
+    reps = stored(full.join(classes.select("key", "id").hint("merge"), ["key", "id"]).dropDuplicates(["key", "id"]).select("id", "sig", "bands"), "representatives")
+    several = full.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("id")
+    of_one_id = full.select("id", "key").join(several.hint("merge"), "id").join(classes.select("key", F.col("id").alias("b")).hint("merge"), "key").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
 
     at = reps.select("id", F.explode("bands").alias("bucket"))
     sizes = at.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = stored(at.join(sizes, "bucket").join(reps, "id").select("bucket", "size", "id", "sig"), "members")
-    least = least_estimate(percent / 100)
-    small = members.filter(f"size <= {SMALL}").select("bucket", "id", "sig")
-    other = small.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    near = small.join(other, (small["bucket"] == other["bucket"]) & (small["id"] < F.col("b")) & (similarity("sig", "sig_b") >= least)).select(F.col("id").alias("a"), "b")
-
+    shared = at.join(sizes.hint("merge"), "bucket")
+    members = stored(shared.join(reps.select("id", "sig").hint("merge"), "id").select("bucket", "size", "id", "sig"), "members")
+    near = stored(_close(members.filter(f"size <= {SMALL}"), percent), "pairs")
     large = members.filter(f"size > {SMALL}")
+    sets = _sets(docs, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(large.select("id")), k)
+    links = stored(_confirmed(sets, near, percent).unionByName(of_one_id), "links")
+    links, groups = _through_pivots(large.withColumn("apart", F.lit(True)), sets, links, percent)
+
+    named = stored(classes.join(groups.hint("merge"), "id", "left").select("key", "rows", F.coalesce("component", "id").alias("component_id")), "components")
+    return _per_row(sig.select("id", "n", "key"), named)
+
+
+def _per_row(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Each row with its class's component. Classes of over 1/HOT of all rows, HOT at most, are broadcast."""
+    share = rows.count() / HOT
+    hot = F.broadcast(named.filter(F.col("rows") > share).select("key", "component_id"))
+    alone = "key is null or id is null"
+    parts = [
+        rows.filter(alone).withColumn("component_id", F.col("id")),
+        rows.filter(f"not ({alone})").join(hot, "key").select("id", "n", "key", "component_id"),
+        rows.filter(f"not ({alone})").join(hot, "key", "left_anti").join(named.filter(F.col("rows") <= share).select("key", "component_id").hint("merge"), "key").select("id", "n", "key", "component_id"),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _close(members: DataFrame, percent: int, also: str = "true") -> DataFrame:
+    """a, b (a < b): pairs within each bucket of members (bucket, id, sig, ...) whose estimate isn't far under the threshold and for which `also` holds (the second one's columns end in _b)."""
+    members = members.drop("size")
+    other = members.select([F.col(c).alias(c if c == "bucket" else f"{c}_b") for c in members.columns])
+    pairs = members.join(other.hint("merge"), "bucket").filter(F.col("id") < F.col("id_b")).filter(also).filter(similarity("sig", "sig_b") >= least_estimate(percent / 100))
+    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _pivots(large: DataFrame) -> DataFrame:
+    """bucket, pivot: of each bucket a class among those apart that is close to the majority of a sample of them."""
+    large = large.filter("apart")
     sampled = large.filter(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SAMPLE)) == 0).select("bucket", "sig")
     modes = sampled.groupBy("bucket").applyInPandas(_majority, "bucket bigint, mode array<bigint>")
-    with_mode = large.join(modes, "bucket", "left")
-    pivots = with_mode.groupBy("bucket").agg(F.max_by("id", F.struct(F.coalesce(similarity("sig", "mode"), F.lit(0.0)), "id")).alias("pivot"))
-    pivots = stored(pivots.join(reps.select(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot"), "pivots")
-    star = large.join(pivots, (large["bucket"] == pivots["bucket"]) & (large["id"] != F.col("pivot")) & (similarity("sig", "pivot_sig") >= least)).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    pairs = stored(near.unionByName(star).distinct(), "pairs")
-    links = stored(_confirmed(docs, pairs, percent, k), "confirmed")
-    groups = components(links)
-
-    if not pivots.isEmpty():
-        labelled = large.select("bucket", "id", "sig").join(groups.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        labelled = labelled.join(reps.select("id", "bands"), "id")
-        of_pivot = pivots.select("bucket", "pivot").join(groups.withColumnsRenamed({"id": "pivot", "component": "main"}), "pivot", "left").select("bucket", F.coalesce("main", "pivot").alias("main"))
-        labelled = stored(labelled.join(of_pivot, "bucket"), "labelled")
-        apart = labelled.filter("label != main")
-        rest = labelled.select("bucket", F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("label").alias("label_b"), F.col("bands").alias("bands_b"), F.col("main").alias("main_b"))
-        once = (F.col("label_b") == F.col("main_b")) | (F.col("id") < F.col("b"))
-        first_band = F.expr("array_min(transform(filter(zip_with(bands, bands_b, (x, y) -> if(x = y, x, null)), z -> z is not null), z -> z))") == apart["bucket"]
-        more = apart.join(rest, (apart["bucket"] == rest["bucket"]) & (F.col("label") != F.col("label_b")) & once & (similarity("sig", "sig_b") >= least) & first_band).select(F.col("id").alias("a"), "b")
-        more = stored(more.join(pairs, (F.least(more["a"], more["b"]) == F.least(pairs["a"], pairs["b"])) & (F.greatest(more["a"], more["b"]) == F.greatest(pairs["a"], pairs["b"])), "left_anti"), "more")
-        found = stored(_confirmed(docs, more, percent, k), "confirmed")
-        groups = components(links.unionByName(found))
-
-    groups = stored(groups, "components")
-    named = classes.join(groups, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    return sig.select("id", "n", "key").join(named, "key", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id")).alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"))
+    closest = F.struct(F.coalesce(similarity("sig", "mode"), F.lit(0.0)).alias("s"), "id")
+    scored = large.join(modes.hint("merge"), "bucket", "left").select("bucket", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"), closest.alias("by"))
+    return scored.groupBy("bucket", "part").agg(F.max("by").alias("by")).groupBy("bucket").agg(F.max("by").alias("by")).select("bucket", F.col("by.id").alias("pivot"))
+
+
+def _with_pivots(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """large's rows with their bucket's pivot: n, n_pivot, common (sizes of the sets and of what they share), linked, lacks (the shingles that the pivot lacks)."""
+    kind = sets.schema["id"].dataType.simpleString()
+    pivots = _pivots(large).join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")).hint("merge"), "pivot")
+    both = large.join(sets.select("id", F.col("set").alias("x")).hint("merge"), "id").join(pivots.hint("merge"), "bucket").select("bucket", "id", "pivot", "sig", "x", "y")
+
+    def meet(b: pa.RecordBatch) -> list:
+        n, m, common, linked, lacks = [], [], [], [], []
+        for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            has = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+            n.append(len(x))
+            m.append(len(y))
+            common.append(int(has.sum()))
+            linked.append(100 * common[-1] >= percent * (len(x) + len(y) - common[-1]))
+            lacks.append(x[~has].view(np.int64))
+        return [*b.columns[:4], n, m, common, linked, lacks]
+
+    return stored(map_arrow(both, meet, f"bucket bigint, id {kind}, pivot {kind}, sig array<bigint>, n bigint, n_pivot bigint, common bigint, linked boolean, lacks array<bigint>"), "met")
+
+
+def _of_smaller(met: DataFrame, percent: int) -> DataFrame:
+    """a, b (a < b): what may be linked within the pivot's own shingles: classes apart, and smaller ones than the pivot of other components."""
+    least_n = met.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    x = met.filter("apart").join(least_n.hint("merge"), "bucket").filter(f"least_n < n_pivot and (100 + {percent}) * common >= {percent} * (n + least_n)")
+    y = met.filter("n < n_pivot").select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "sig", "n", "common", "label")])
+    pairs = x.join(y.hint("merge"), "bucket").filter(f"label != label_b and (100 + {percent}) * least(common, common_b) >= {percent} * (n + n_b)").filter(similarity("sig", "sig_b") >= least_estimate(percent / 100))
+    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+
+def _through_pivots(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """links with those of large buckets (bucket, size, id, sig, apart), and the components of all."""
+    for level in range(LEVELS):
+        if large.isEmpty():
+            break
+        met = _with_pivots(large, sets, percent)
+        links = stored(links.unionByName(met.filter("linked and id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "links")
+        groups = components(links)
+        label = lambda name, to: groups.select(F.col("id").alias(name), F.col("component").alias(to)).hint("merge")  # noqa: B023, E731
+        met = met.join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left")
+        met = met.withColumn("label", F.coalesce("label", "id")).withColumn("apart", F.col("label") != F.coalesce("main", "pivot"))
+        smaller = _of_smaller(met.select("bucket", "id", "sig", "n", "n_pivot", "common", "label", "apart"), percent)
+        at = met.select("bucket", "id", "label", "apart", F.explode("lacks").alias("shingle"))
+        sizes = at.groupBy("bucket", "shingle").agg(F.count("*").alias("size"), F.max("apart").alias("any"), F.min("label").alias("one"), F.max("label").alias("other"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("any and one != other")
+        alike = sizes.groupBy("bucket", "size", "who").agg(F.min("shingle").alias("shingle")).select("bucket", "shingle", "size")
+        again = at.join(alike.hint("merge"), ["bucket", "shingle"]).join(met.select("bucket", "id", "sig").distinct().hint("merge"), ["bucket", "id"])
+        again = stored(again.select(F.xxhash64("bucket", "shingle").alias("bucket"), "size", "id", "sig", "apart", "label"), "again")
+        small = again if level == LEVELS - 1 else again.filter(f"size <= {SMALL}")
+        pairs = _close(small, percent, "label != label_b and (apart or apart_b)").unionByName(smaller).distinct()
+        links = stored(links.unionByName(_confirmed(sets, pairs, percent)), "links")
+        large = again.filter(f"size > {SMALL}").drop("label")
+    return links, components(links)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -193,7 +287,22 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """docs without the rows that near-duplicate grouping does not keep; their columns are as they were."""
+    """docs without the rows that near-duplicate grouping does not keep; their columns are as they were. Of rows of one id all stay or all go."""
     key = free_name(docs, "gone")
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(maybe_broadcast(gone), docs[id_col] == gone[key], "left_anti")
+    gone = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).filter("not kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone[key], "left_anti")
+
+
+#: all shingles of all documents meet, which is right and dear: for small tables
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, coalesce(m.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+"""

@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontaminate": decontaminate.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op3_neardup": neardup.ORACLE}

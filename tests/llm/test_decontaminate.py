@@ -3,6 +3,7 @@ import random
 import pytest
 
 from noticeboard.llm import decontaminate as dc
+from noticeboard.llm.common import merged, word_hashes
 from tests.llm import cases
 
 
@@ -43,10 +44,10 @@ def test_against_brute_force(spark, block_words):
 def test_index_finds_every_window():
     rng = random.Random(3)
     for _ in range(200):
-        item = [rng.choice("abc").encode() for _ in range(rng.randint(1, 30))]
-        doc = [rng.choice("abcd").encode() for _ in range(rng.randint(0, 60))] + item + [rng.choice("abcd").encode() for _ in range(5)]
-        spans, found = dc.Index([("i", item)]).find(doc)
-        assert sum(b - a for a, b in spans) == brute(b" ".join(doc).decode(), [("i", b" ".join(item).decode())])[1] and found == {"i"}
+        items = [(str(n), " ".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))) for n in range(4)]
+        doc = " ".join([rng.choice("abcd") for _ in range(rng.randint(0, 60))] + [items[0][1]] + [rng.choice("abcd") for _ in range(5)])
+        spans, found = dc.Index(items).find(word_hashes([doc], dc._TABLE)[0])
+        assert (len(dc.words(doc)), sum(b - a for a, b in merged(spans)), sorted(found)) == brute(doc, items)
 
 
 def test_empty_tables_and_kept_columns(spark):
