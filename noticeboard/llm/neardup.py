@@ -7,13 +7,14 @@ deviations under the threshold are confirmed on full sets. Documents with equal
 
 Large groups. A bucket of up to `SMALL` classes is compared in full. In a larger one, every class is compared, by full
 sets, with one pivot only: a class close to the majority of a sample's packed minima (which class it is matters for
-speed, not for the result). Let x be a class that the pivot p isn't linked with. If x is linked with a class y of at
-least p's size, then x and y share a shingle that p lacks: otherwise |x & y| <= |x & p|, which is too little. So only classes
-outside of the pivot's component, and the sharers of their shingles that p lacks, are looked at again: each such
-shingle makes a smaller bucket, to which the same is done. A class y smaller than p is compared with those x whose
-|x & p| would be enough for it. So no link that a bucket shows is lost, while neither a group of copies nor a group
-of texts that are near to a template, but not to each other, costs all its pairs. What is still large after `LEVELS`
-such steps is compared in full.
+speed, not for the result); buckets of one pivot count as one. Let x be a class that the pivot p isn't linked with. If
+x is linked with a class y of at least p's size, then x and y share shingles that p lacks: |x & y| is at most |x & p|
+and these, and |x & p| is too little. So only classes outside of the pivot's component, and the sharers of their
+shingles that p lacks, are looked at again. As x and y must share m such shingles at least, it is enough to look at all
+but the last m - 1 of them in the order of their hashes (a prefix filter). Each such shingle makes a smaller bucket, to which
+the same is done. A class y smaller than p is compared with those x whose |x & p| would be enough for it. So no link
+that a bucket shows is lost, while neither a group of copies nor a group of texts that are near to a template, but not
+to each other, costs all its pairs. What is still large after `LEVELS` such steps is compared in full.
 
 Scale. Texts are read twice; the second time they move once, by id, to meet the ids of candidates, and only the
 candidates' sets go further. All joins with sides that grow with the data are sort-merge joins, so the plan is the
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     large = members.filter(f"size > {SMALL}")
     sets = _sets(docs, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(large.select("id")), k)
     links = stored(_confirmed(sets, near, percent).unionByName(of_one_id), "links")
-    links, groups = _through_pivots(large.withColumn("apart", F.lit(True)), sets, links, percent)
+    groups = _through_pivots(large.withColumn("apart", F.lit(True)), sets, links, percent)
 
     named = stored(classes.join(groups.hint("merge"), "id", "left").select("key", "rows", F.coalesce("component", "id").alias("component_id")), "components")
     return _per_row(sig.select("id", "n", "key"), named)
@@ -229,10 +230,11 @@ def _pivots(large: DataFrame) -> DataFrame:
 
 
 def _with_pivots(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """large's rows with their bucket's pivot: n, n_pivot, common (sizes of the sets and of what they share), linked, lacks (the shingles that the pivot lacks)."""
+    """Each class of large with each pivot of its buckets: bucket (the pivot's), n, n_pivot, common (sizes of the sets and of what they share), linked, lacks (the shingles that the pivot lacks)."""
     kind = sets.schema["id"].dataType.simpleString()
-    pivots = _pivots(large).join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")).hint("merge"), "pivot")
-    both = large.join(sets.select("id", F.col("set").alias("x")).hint("merge"), "id").join(pivots.hint("merge"), "bucket").select("bucket", "id", "pivot", "sig", "x", "y")
+    pivots = _pivots(large)
+    rows = large.select("bucket", "id", "sig").join(pivots.hint("merge"), "bucket").select(F.xxhash64("pivot").alias("bucket"), "pivot", "id", "sig").dropDuplicates(["bucket", "id"])
+    both = rows.join(sets.select("id", F.col("set").alias("x")).hint("merge"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")).join(pivots.select("pivot").distinct().hint("merge"), "pivot", "left_semi").hint("merge"), "pivot").select("bucket", "id", "pivot", "sig", "x", "y")
 
     def meet(b: pa.RecordBatch) -> list:
         n, m, common, linked, lacks = [], [], [], [], []
@@ -251,35 +253,39 @@ def _with_pivots(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _of_smaller(met: DataFrame, percent: int) -> DataFrame:
     """a, b (a < b): what may be linked within the pivot's own shingles: classes apart, and smaller ones than the pivot of other components."""
-    least_n = met.groupBy("bucket").agg(F.min("n").alias("least_n"))
-    x = met.filter("apart").join(least_n.hint("merge"), "bucket").filter(f"least_n < n_pivot and (100 + {percent}) * common >= {percent} * (n + least_n)")
+    x = met.filter("apart").filter(f"least_n < n_pivot and (100 + {percent}) * common >= {percent} * (n + least_n)")
     y = met.filter("n < n_pivot").select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "sig", "n", "common", "label")])
     pairs = x.join(y.hint("merge"), "bucket").filter(f"label != label_b and (100 + {percent}) * least(common, common_b) >= {percent} * (n + n_b)").filter(similarity("sig", "sig_b") >= least_estimate(percent / 100))
     return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
 
-def _through_pivots(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """links with those of large buckets (bucket, size, id, sig, apart), and the components of all."""
+def _through_pivots(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The components of links and those of large buckets (bucket, size, id, sig, apart)."""
     for level in range(LEVELS):
         if large.isEmpty():
             break
         met = _with_pivots(large, sets, percent)
-        links = stored(links.unionByName(met.filter("linked and id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "links")
+        links = links.unionByName(met.filter("linked and id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         groups = components(links)
         label = lambda name, to: groups.select(F.col("id").alias(name), F.col("component").alias(to)).hint("merge")  # noqa: B023, E731
-        met = met.join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left")
+        least_n = met.groupBy("bucket").agg(F.min("n").alias("least_n"))
+        met = met.join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left").join(least_n.hint("merge"), "bucket")
         met = met.withColumn("label", F.coalesce("label", "id")).withColumn("apart", F.col("label") != F.coalesce("main", "pivot"))
-        smaller = _of_smaller(met.select("bucket", "id", "sig", "n", "n_pivot", "common", "label", "apart"), percent)
-        at = met.select("bucket", "id", "label", "apart", F.explode("lacks").alias("shingle"))
+        smaller = _of_smaller(met.select("bucket", "id", "sig", "n", "n_pivot", "least_n", "common", "label", "apart"), percent)
+        shares = F.greatest(F.lit(1), F.expr(f"cast(({percent} * (n + least_n) + {99 + percent}) div {100 + percent} - common as int)"))  # with whomever it is linked
+        at = met.select("bucket", "id", "label", "apart", F.explode(F.slice("lacks", F.lit(1), F.greatest(F.size("lacks") - shares + 1, F.lit(0)))).alias("shingle"))
         sizes = at.groupBy("bucket", "shingle").agg(F.count("*").alias("size"), F.max("apart").alias("any"), F.min("label").alias("one"), F.max("label").alias("other"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("any and one != other")
         alike = sizes.groupBy("bucket", "size", "who").agg(F.min("shingle").alias("shingle")).select("bucket", "shingle", "size")
         again = at.join(alike.hint("merge"), ["bucket", "shingle"]).join(met.select("bucket", "id", "sig").distinct().hint("merge"), ["bucket", "id"])
         again = stored(again.select(F.xxhash64("bucket", "shingle").alias("bucket"), "size", "id", "sig", "apart", "label"), "again")
         small = again if level == LEVELS - 1 else again.filter(f"size <= {SMALL}")
-        pairs = _close(small, percent, "label != label_b and (apart or apart_b)").unionByName(smaller).distinct()
-        links = stored(links.unionByName(_confirmed(sets, pairs, percent)), "links")
+        pairs = stored(_close(small, percent, "label != label_b and (apart or apart_b)").unionByName(smaller).distinct(), "pairs")
+        if not pairs.isEmpty():
+            links = stored(links.unionByName(_confirmed(sets, pairs, percent)), "links")
         large = again.filter(f"size > {SMALL}").drop("label")
-    return links, components(links)
+        if pairs.isEmpty() and large.isEmpty():
+            return groups
+    return components(links)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
