@@ -62,3 +62,23 @@ def percent(part: Column, total: Column) -> Column:
 def ratio(part: Column, total: Column) -> Column:
     """A share of four digits; 0 without a total."""
     return F.when(total > 0, F.round(part / total, 4)).otherwise(F.lit(0.0))
+
+
+def comparable(c: Column) -> Column:
+    """a time for comparison: without a zone it is UTC, which the session's zone has to be; a day is its midnight."""
+    return c.cast("timestamp")
+
+
+def interval_text(seconds: Column, empty: str = "--") -> Column:
+    """seconds, minutes (half up), whole hours, or hours and minutes."""
+    whole = lambda c: F.round(c, 0).cast("bigint").cast("string")
+    hours = F.floor(seconds / 3600).cast("string")
+    long = F.when(seconds % 3600 == 0, F.concat(hours, F.lit(" 小时"))).otherwise(F.concat(hours, F.lit(" 小时 "), whole((seconds % 3600) / 60), F.lit(" 分钟")))
+    return F.when(seconds.isNull() | (seconds <= 0), empty).when(seconds < 60, F.concat(seconds.cast("string"), F.lit(" 秒"))).when(seconds < 3600, F.concat(whole(seconds / 60), F.lit(" 分钟"))).otherwise(long)
+
+
+def duration_text(ms: Column, empty: str = "--") -> Column:
+    """milliseconds under a second, else whole seconds, else minutes and seconds."""
+    s = F.floor(ms / 1000)
+    text = lambda c: c.cast("bigint").cast("string")
+    return F.when(ms.isNull() | (ms < 0), empty).when(ms < 1000, F.concat(text(F.round(ms, 0)), F.lit("ms"))).when(s < 60, F.concat(text(s), F.lit("秒"))).otherwise(F.concat(text(F.floor(s / 60)), F.lit("分"), text(s % 60), F.lit("秒")))

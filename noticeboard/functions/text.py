@@ -119,6 +119,19 @@ def string_list(c: Column) -> Column:
     return F.filter(F.transform(got, lambda x: strip(x)), lambda x: x.isNotNull() & (x != ""))
 
 
+def flattened(c: Column, depth: int = 4) -> Column:
+    """the texts in a JSON list or object, nested to `depth`, stripped, without empty ones; a text that is neither is one text."""
+
+    def opened(x: Column) -> Column:
+        inner = F.coalesce(F.when(x.startswith("["), F.from_json(x, "array<string>")), F.when(x.startswith("{"), F.map_values(F.from_json(x, "map<string,string>"))))
+        return F.coalesce(inner, F.array(x))
+
+    out = F.array(strip(F.coalesce(c, F.lit(""))))
+    for _ in range(depth):
+        out = F.flatten(F.transform(out, lambda x: opened(F.coalesce(x, F.lit("")))))
+    return F.filter(F.transform(out, lambda x: strip(x)), lambda x: x.isNotNull() & (x != ""))
+
+
 def json_object(c: Column) -> Column:
     """the JSON object in a text: the text, what a fence holds, or first { to last }; null if none parses."""
     v = strip(c)
@@ -261,3 +274,14 @@ def formatted(title: Column, content: Column, profile: RuleProfile | None = None
     for pattern, new in ((r"\n[ \t]+", "\n"), (r"[ \t]+\n", "\n"), (rf"(?i)({_DATE})\n{{2,}}{_FILE_AHEAD}", "$1\n"), (r"\n{3,}", "\n\n")):
         v = F.regexp_replace(v, pattern, new)
     return strip(v)
+
+
+def clamped(c: Column, n: int = 120, marker: str = "…") -> Column:
+    """at most n characters, the last of them a mark where more came."""
+    v = strip(F.coalesce(c, F.lit("")))
+    return F.when(F.length(v) > n, F.concat(strip(F.left(v, F.lit(max(0, n - 1)))), F.lit(marker))).otherwise(v)
+
+
+def clauses(c: Column) -> Column:
+    """the parts between ；and ; without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[；;]"), lambda x: strip(x)), lambda x: x != "")

@@ -24,16 +24,23 @@ def keyed(posts: DataFrame, profile: RuleProfile | None = None, full_fold: bool
 
 
 def edges(keys: DataFrame) -> DataFrame:
-    """A, b (b < a), priority of the rule."""
+    """A, b (b < a), priority of the rule. The keys are computed once and written; they are narrow.
+
+    Within a day's rule, a day's rows of one print link to the day's least id, and that one to the least id of the
+    nearest day before, if that is a day off: the same components as all pairs of the rule, with one aggregated row a day.
+    """
+    keys = stored(keys, "keys")
 
     def star(rule: int, *cols: str) -> DataFrame:
         own = keys.dropna(subset=list(cols)).select("id", "source_id", *cols)
         least = own.groupBy("source_id", *cols).agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
         return own.join(least, ["source_id", *cols]).filter("id <> b").select(F.col("id").alias("a"), "b", F.lit(rule).alias("priority"))
 
-    w = Window.partitionBy("source_id", "title_key", "print").orderBy("day", "id")
-    days = keys.dropna(subset=["title_key", "day", "print"]).select("id", "day", F.lag("id").over(w).alias("before"), F.lag("day").over(w).alias("before_day"))
-    near = days.filter("before is not null and datediff(day, before_day) <= 1").select(F.greatest("id", "before").alias("a"), F.least("id", "before").alias("b"), F.lit(3).alias("priority"))
+    key = ["source_id", "title_key", "print"]
+    days = keys.dropna(subset=["title_key", "day", "print"]).groupBy(*key, "day").agg(F.min("id").alias("first"))
+    w = Window.partitionBy(*key).orderBy("day")
+    near = days.select("day", "first", F.lag("first").over(w).alias("before"), F.lag("day").over(w).alias("before_day"))
+    near = near.filter("before is not null and datediff(day, before_day) <= 1").select(F.greatest("first", "before").alias("a"), F.least("first", "before").alias("b"), F.lit(3).alias("priority"))
     return star(0, "canonical").unionByName(star(1, "original")).unionByName(star(2, "title_key", "day")).unionByName(near)
 
 
@@ -66,18 +73,19 @@ def completeness(*values: Column) -> Column:
     return total
 
 
-def election() -> list[Column]:
-    """The order in which the first is the primary. Columns: has_content, n_attachments, n_fields, n_jobs, analysis_score, insight_score, created_at, id."""
-    return [F.col(c).desc() for c in ("has_content", "n_attachments", "n_fields", "n_jobs", "analysis_score", "insight_score")] + [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
+def rank() -> Column:
+    """The order in which the least is the primary, as one value, so that an aggregate needs no sort of a group. Columns: has_content, n_attachments, n_fields, n_jobs, analysis_score, insight_score, created_at, id."""
+    down = [(-F.col(c).cast("bigint")).alias(c) for c in ("n_attachments", "n_fields", "n_jobs", "analysis_score", "insight_score")]
+    return F.struct((~F.col("has_content")).alias("has_content"), *down, F.col("created_at").isNull().alias("undated"), "created_at", "id")
 
 
 def groups(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Id, source_id, primary_id, group_key, reason for all rows of groups. members: ids with election's columns."""
+    """Id, source_id, primary_id, group_key, reason for all rows of groups. members: ids with rank's columns."""
     roots = components(links)
     best = links.join(roots, links["a"] == roots["id"]).groupBy("root").agg(F.min("priority").alias("priority"))
     names = F.array(*map(F.lit, DUPLICATE_REASONS))
     m = members.join(roots, "id")
-    elected = m.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy(*election()))).filter("_n = 1").select("root", F.col("id").alias("primary_id"))
+    elected = m.groupBy("root").agg(F.min_by("id", rank()).alias("primary_id"))
     out = m.select("id", "source_id", "root").join(elected, "root").join(best, "root")
     return out.select("id", "source_id", "primary_id", F.concat_ws(":", F.lit("duplicate"), F.col("source_id").cast("string"), F.col("primary_id").cast("string")).alias("group_key"), F.coalesce(F.get(names, F.col("priority")), F.lit("unknown")).alias("reason"))
 
@@ -103,7 +111,7 @@ def marked(posts: DataFrame, found: DataFrame, checked_at: Column, touched: Data
 
 
 def members_of(posts: DataFrame, attachments: DataFrame, fields: DataFrame, jobs: DataFrame, analyses: DataFrame, insights: DataFrame) -> DataFrame:
-    """election's columns: one aggregate per child."""
+    """rank's columns: one aggregate per child."""
     count = lambda df, name: df.groupBy(F.col("post_id").alias("id")).agg(F.count("*").alias(name))
     a = analyses.select(F.col("post_id").alias("id"), completeness(*[F.col(c) for c in ("summary", "event_type", "recruitment_stage", "tracking_priority", "school_name", "city")]).alias("analysis_score"))
     i = insights.select(F.col("post_id").alias("id"), completeness(*[F.col(c) for c in ("insight_status", "degree_floor", "deadline_status", "evidence_summary")]).alias("insight_score"))
@@ -140,3 +148,24 @@ def refreshed(posts: DataFrame, touched: DataFrame, members: DataFrame, checked_
 def unchecked(posts: DataFrame, limit: int) -> DataFrame:
     """The newest rows that were never checked."""
     return posts.filter("duplicate_checked_at is null").orderBy(F.col("publish_date").desc_nulls_last(), F.col("id").desc()).limit(limit)
+
+
+def recent(posts: DataFrame, limit: int) -> DataFrame:
+    """The newest rows, checked or not."""
+    return posts.orderBy(F.col("publish_date").desc_nulls_last(), F.col("id").desc()).limit(limit)
+
+
+def rebuilt(posts: DataFrame, members: DataFrame, checked_at: Column, limit: int | None = None, profile: RuleProfile | None = None, full_fold: bool = True) -> DataFrame:
+    """The marks of all rows, or of the newest `limit`, made anew among these alone; other rows keep theirs."""
+    chosen = posts if limit is None else stored(recent(posts, limit), "chosen")
+    found = stored(groups(stored(edges(keyed(chosen, profile, full_fold)), "links"), members), "groups")
+    return marked(posts, found, checked_at, None if limit is None else chosen.select("id"))
+
+
+def backfilled(posts: DataFrame, members: DataFrame, checked_at: Column, limit: int, *, recheck: bool = False, profile: RuleProfile | None = None, full_fold: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Posts with the marks of the newest unchecked (or, to recheck, the newest) rows' groups, and one row of counts: selected, groups, duplicates, remaining_unchecked."""
+    chosen = stored((recent if recheck else unchecked)(posts, limit).select("id"), "chosen")
+    out = stored(refreshed(posts, chosen, members, checked_at, profile, full_fold), "marked")
+    hit = out.join(chosen.select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left")
+    counts = hit.agg(F.count("_c").alias("selected"), F.count_distinct(F.when(F.col("_c").isNotNull(), F.col("duplicate_group_key"))).alias("groups"), F.count_if(F.col("_c").isNotNull() & (F.col("duplicate_status") == "duplicate")).alias("duplicates"), F.count_if(F.col("duplicate_checked_at").isNull()).alias("remaining_unchecked"))
+    return out, counts

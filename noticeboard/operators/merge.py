@@ -13,18 +13,18 @@ def filled(base: DataFrame, extra: DataFrame, by: list[str], value: str, arrival
     return b.join(e, by, "full_outer").select(*by, F.coalesce(F.nullif(F.col(value), F.lit("")), F.col("_extra"), F.col(value)).alias(value))
 
 
-def upsert_plan(existing: DataFrame, incoming: DataFrame, by: list[str], values: list[str], *, key: str = "id", order: str | None = None, replace: bool = True) -> DataFrame:
+def upsert_plan(existing: DataFrame, incoming: DataFrame, by: list[str], values: list[str], *, key: str = "id", order: str, replace: bool = True) -> DataFrame:
     """Op (keep, update, insert, delete), key, by, values.
 
     Of rows with the same key the first existing keeps its identity, later ones go; of incoming ones the last (by
-    `order`) counts. replace: keys that don't come any more are deleted.
+    `order`, ties by the values) counts. replace: keys that don't come any more are deleted.
     """
     first = F.row_number().over(Window.partitionBy(*by).orderBy(key))
     e = existing.select(*by, key, *values).withColumn("_n", first)
     more = e.filter("_n > 1")
     e = e.filter("_n = 1").select(*by, F.col(key).alias("_key"), *[F.col(v).alias(f"_old_{v}") for v in values], F.lit(True).alias("_old"))
     i = incoming.filter(" and ".join(f"`{b}` is not null" for b in by))
-    i = i.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc() if order else F.lit(1)))).filter("_n = 1").select(*by, *values, F.lit(True).alias("_new"))
+    i = i.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc(), *[F.col(v).desc() for v in values]))).filter("_n = 1").select(*by, *values, F.lit(True).alias("_new"))
     j = e.join(i, by, "full_outer")
     same = F.lit(True)
     for v in values:
@@ -34,6 +34,13 @@ def upsert_plan(existing: DataFrame, incoming: DataFrame, by: list[str], values:
     return out.unionByName(more.select(F.lit("delete").alias("op"), key, *by, *values))
 
 
+def attachment_upserts(existing: DataFrame, incoming: DataFrame, touched: DataFrame, order: str, replace: bool = True) -> DataFrame:
+    """The plan for the attachments of touched posts (id): the key is the URL, rows without URL or name don't count, the last of equal ones does. A touched post for which nothing comes loses all of its own."""
+    clean = incoming.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("file_url", "filename")}).filter("file_url <> '' and filename <> ''")
+    mine = existing.join(touched.select(F.col("id").alias("_t")), F.col("post_id") == F.col("_t"), "left_semi")
+    return upsert_plan(mine, clean, ["post_id", "file_url"], ["filename", "file_type"], order=order, replace=replace)
+
+
 def applied(plan: DataFrame, next_key: Column | int, key: str = "id") -> DataFrame:
     """The new snapshot: inserts get keys from next_key on, in the order of their hash (no single-task numbering)."""
     kept = plan.filter("op in ('keep', 'update')").drop("op")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeboard.functions.dates import ratio
-from noticeboard.functions.text import string_list
+from noticeboard.functions.text import integers, string_list
 
 UNKNOWN = "未说明"
 
@@ -93,15 +93,13 @@ def latest_groups(posts: DataFrame, n: int = 10) -> DataFrame:
     return out.orderBy(F.col("checked_at").desc_nulls_last(), F.col("primary_id").desc_nulls_last()).limit(n)
 
 
-def headcounts(jobs: DataFrame, fields: DataFrame) -> DataFrame:
-    """post_id, total, role_total: the sum of all integers of the jobs' count texts; where jobs have none, the field's."""
-    from noticeboard.functions.text import integers
-
+def headcounts(jobs: DataFrame, fields: DataFrame, name: str = "招聘人数") -> DataFrame:
+    """post_id, total, role_total: the sum of all integers of the jobs' count texts; where jobs have none, that of the field of this name."""
     add = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x)
     numbers = integers(F.col("recruitment_count"))
     j = jobs.select("post_id", add(numbers).alias("n"), (F.size(numbers) > 0).alias("any"), F.coalesce("is_counselor", F.lit(False)).alias("role")).filter("any")
     j = j.groupBy("post_id").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("role"), F.col("n"))).alias("role_total"))
-    f = fields.filter("field_name = '招聘人数'").groupBy("post_id").agg(F.max_by("field_value", "id").alias("v"))
+    f = fields.filter(F.col("field_name") == name).groupBy("post_id").agg(F.max_by("field_value", "id").alias("v"))
     f = f.select(F.col("post_id").alias("_f"), F.when(F.size(integers(F.col("v"))) > 0, add(integers(F.col("v")))).alias("field_total"))
     both = j.join(f, j["post_id"] == f["_f"], "full_outer")
     return both.select(F.coalesce("post_id", "_f").alias("post_id"), F.coalesce("total", "field_total").alias("total"), F.when(F.col("total").isNull(), F.col("field_total")).otherwise(F.col("role_total")).alias("role_total")).filter("total is not null")

@@ -17,6 +17,38 @@ class FieldRule:
     integer: bool = False
 
 
+@dataclass(frozen=True)
+class Wording:
+    """Names of fields, and the texts in which results are written; {} is where the value goes."""
+
+    job: str = "job"
+    headcount: str = "headcount"
+    education: str = "education"
+    major: str = "major"
+    place: str = "place"
+    political: str = "political"
+    gender: str = "gender"
+    signup: str = "signup"
+    deadlines: tuple[str, ...] = ("deadline", "signup")
+    payload_gender: tuple[str, ...] = ("gender",)
+    exam: str = "exam"
+    interview: str = "interview"
+    role_tag: str = "role"
+    attachment_tag: str = "attachments"
+    of_event: str = "This is {}."
+    of_school: str = "By {}."
+    of_city: str = "Near {}."
+    of_headcount: str = "Headcount {}."
+    of_education: str = "Education {}."
+    of_signup: str = "Signup {}."
+    of_notice: str = "A result, for the archive."
+    role_evidence: str = "role headcount {}"
+    deadline_evidence: str = "signup: {}"
+    education_evidence: str = "education: {}"
+    unknown: str = "unknown"
+    deadline_status: tuple[str, str, str, str] = ("over", "soon", "open", "unknown")
+
+
 @dataclass(frozen=True)
 class RuleProfile:
     noise_texts: tuple[str, ...] = ()
@@ -43,11 +75,8 @@ class RuleProfile:
     gender_alias: dict[str, str] = field(default_factory=dict)
     deadline_alias: dict[str, str] = field(default_factory=dict)
     header_alias: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-
-def alias(**groups: str) -> dict[str, str]:
-    """target="a b c" -> {a: target, ...}"""
-    return {w: target for target, words in groups.items() for w in words.split()}
+    job_names: tuple[str, ...] = ()  # names of the role, the most special first
+    wording: Wording = Wording()
 
 
 # The rules of Chinese recruitment notices, which results have to agree on.
@@ -88,11 +117,11 @@ ZH = RuleProfile(
         FieldRule("招聘人数", (r"(?U)招聘人?数量?[：:]\s*(\d+)\s*[人名]?", r"(?U)招聘\s*(\d+)\s*[人名]", r"(?U)(\d+)\s*[人名]", r"(?U)[共计]?\s*(\d+)\s*个?岗位"), suffix="人", integer=True),
         FieldRule("报名时间", (r"(?U)报名时间[：:]\s*(\d{4}[年\-/]\d{1,2}[月\-/]\d{1,2}日?\s*[-至—]\s*\d{4}[年\-/]\d{1,2}[月\-/]\d{1,2}日?)", r"(?U)报名时间[：:]\s*(\d{1,2}月\d{1,2}日\s*[-至—]\s*\d{1,2}月\d{1,2}日)", r"(?U)(\d{4}[年\-/]\d{1,2}[月\-/]\d{1,2}日?\s*[-至—]\s*\d{4}[年\-/]\d{1,2}[月\-/]\d{1,2}日?)\s*报名")),
     ),
-    degree_alias=alias(博士="博士 博士研究生 博士学位", 硕士="硕士 硕士研究生 研究生 研究生学历", 本科="本科 本科学历 学士", 专科="专科 大专 高职"),
-    priority_alias=alias(high="高 high", medium="medium 中 普通 一般", low="low 低"),
-    stage_alias=alias(招聘启动="招聘启动 招聘启动中 公告发布 报名中 报名阶段", 考试考核="考试考核 考试阶段 笔试面试", 资格审查="资格审查 资格审核 资格复审", 结果公示="结果公示 公示阶段 拟聘用公示", 信息变更="信息变更 补充说明 变更公告", 其他="其他"),
-    gender_alias=alias(男="男 男性", 女="女 女性", 不限="不限 男女不限 性别不限", 分岗限制="男女分设 分岗限制"),
-    deadline_alias=alias(报名中="upcoming 未截止 进行中 报名中", 即将截止="closing_soon 即将截止", 已截止="closed 已截止 截止 结束"),
+    degree_alias={"博士": "博士", "博士研究生": "博士", "博士学位": "博士", "硕士": "硕士", "硕士研究生": "硕士", "研究生": "硕士", "研究生学历": "硕士", "本科": "本科", "本科学历": "本科", "学士": "本科", "专科": "专科", "大专": "专科", "高职": "专科"},
+    priority_alias={"高": "high", "high": "high", "medium": "medium", "中": "medium", "普通": "medium", "一般": "medium", "low": "low", "低": "low"},
+    stage_alias={"招聘启动": "招聘启动", "招聘启动中": "招聘启动", "公告发布": "招聘启动", "报名中": "招聘启动", "报名阶段": "招聘启动", "考试考核": "考试考核", "考试阶段": "考试考核", "笔试面试": "考试考核", "资格审查": "资格审查", "资格审核": "资格审查", "资格复审": "资格审查", "结果公示": "结果公示", "公示阶段": "结果公示", "拟聘用公示": "结果公示", "信息变更": "信息变更", "补充说明": "信息变更", "变更公告": "信息变更", "其他": "其他"},
+    gender_alias={"男": "男", "男性": "男", "女": "女", "女性": "女", "不限": "不限", "男女不限": "不限", "性别不限": "不限", "男女分设": "分岗限制", "分岗限制": "分岗限制"},
+    deadline_alias={"upcoming": "报名中", "未截止": "报名中", "进行中": "报名中", "报名中": "报名中", "closing_soon": "即将截止", "即将截止": "即将截止", "closed": "已截止", "已截止": "已截止", "截止": "已截止", "结束": "已截止"},
     header_alias={
         "岗位名称": ("岗位名称", "岗位", "招聘岗位", "岗位类别", "岗位名称及代码", "岗位代码及名称"),
         "招聘人数": ("招聘人数", "人数", "计划数", "需求人数", "招聘计划"),
@@ -100,6 +129,35 @@ ZH = RuleProfile(
         "专业要求": ("专业要求", "专业", "所学专业", "专业名称"),
         "工作地点": ("工作地点", "地点", "工作单位", "单位", "工作部门", "用人单位"),
     },
+    job_names=("心理健康教育专职辅导员", "专职辅导员", "辅导员"),
+    wording=Wording(
+        job="岗位名称",
+        headcount="招聘人数",
+        education="学历要求",
+        major="专业要求",
+        place="工作地点",
+        political="政治面貌",
+        gender="性别要求",
+        signup="报名时间",
+        deadlines=("报名截止时间", "截止时间", "报名时间"),
+        payload_gender=("性别要求", "性别"),
+        exam="笔试",
+        interview="面试",
+        role_tag="辅导员相关",
+        attachment_tag="含附件",
+        of_event="这条信息归类为{}。",
+        of_school="单位是{}。",
+        of_city="地点偏向{}。",
+        of_headcount="当前提取到招聘人数 {}。",
+        of_education="学历要求是{}。",
+        of_signup="报名时间是{}。",
+        of_notice="这类信息更偏结果披露，适合归档，不一定需要持续盯。",
+        role_evidence="辅导员岗位约 {} 人",
+        deadline_evidence="报名节点：{}",
+        education_evidence="学历：{}",
+        unknown="未说明",
+        deadline_status=("已截止", "即将截止", "报名中", "未说明"),
+    ),
 )
 
 # A small profile in Latin script: the same operators on prose without this domain.
@@ -115,5 +173,10 @@ LATIN = RuleProfile(
     event_default="other",
     notice_event="notice",
     cities=("the", "und", "que", "des"),
-    priority_alias=alias(high="1-URGENT 2-HIGH", medium="3-MEDIUM", low="4-NOT_SPECIFIED 5-LOW"),
+    job_names=("token keeper", "token"),
+    mixed_role=(r"token,.{0,20}license",),
+    dedicated_title=(r"call for .{0,12}token",),
+    degree_alias={"de": "本科", "fr": "硕士", "es": "博士"},
+    stage_of_event={"licence": "started", "contact": "running", "other": "other"},
+    priority_alias={"1-URGENT": "high", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT_SPECIFIED": "low", "5-LOW": "low"},
 )

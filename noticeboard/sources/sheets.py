@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeboard.functions.classify import fields
 from noticeboard.functions.text import cell, compact, count_text, has_any, strip
+from noticeboard.operators.filters import needs_attachments
+from noticeboard.operators.merge import attachment_upserts
 from noticeboard.plans.profile import RuleProfile
 from noticeboard.sources.tables import ship
 
@@ -109,6 +112,54 @@ def sheet_rows(files: DataFrame, readers: dict[str, Callable[[bytes], Rows]] | N
     return files.select(F.col("path").alias("file"), F.pandas_udf(parse, "array<array<string>>")("file_type", "content").alias("rows"))
 
 
+def pdf_texts(files: DataFrame, read: Callable[[bytes], list[str]]) -> DataFrame:
+    """File, text: the pages of PDF files (path, content) by a given reader of bytes, joined by blank lines; a file it can't read has no text."""
+    ship(files.sparkSession)
+
+    def parse(content: pd.Series) -> pd.Series:
+        def one(data: bytes | None):
+            try:
+                return "\n\n".join(x.strip() for x in read(data) if x and x.strip()) if data is not None else None
+            except (ValueError, KeyError, EOFError):
+                return None
+
+        return content.map(one)
+
+    return files.select(F.col("path").alias("file"), F.pandas_udf(parse, "string")("content").alias("text"))
+
+
+LEAST_TEXT = 20
+
+
+def jobs_from_texts(texts: DataFrame, p: RuleProfile, *, key: str = "file") -> DataFrame:
+    """At most one job for each text (key, text): the first target role it names, with the fields that the profile's rules find in texts of LEAST_TEXT characters or more."""
+    t = texts.select(key, cell(F.coalesce("text", F.lit(""))).alias("text"))
+    name = F.coalesce(*[F.when(F.contains("text", F.lit(w)), w) for w in TARGETS])
+    found = fields(t.filter(F.length("text") >= LEAST_TEXT).select(F.col(key).alias("id"), F.lit("").alias("title"), F.col("text").alias("content")), p)
+    m = found.groupBy(F.col("post_id").alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("field_name", "field_value"))).alias("field_map"))
+    df = t.select(key, name.alias("job_name")).filter("job_name is not null")
+    df = df.join(m, df[key] == m["_k"], "left")
+    w = p.wording
+    value = lambda n: F.coalesce(F.try_element_at("field_map", F.lit(n)), F.lit(""))
+    return df.select(key, "job_name", count_text(value(w.headcount)).alias("recruitment_count"), value(w.education).alias("education_requirement"), value(w.major).alias("major_requirement"), value(w.place).alias("location"), value(w.political).alias("political_status"), F.lit("attachment_pdf").alias("source_type"), F.lit(True).alias("is_counselor"), F.coalesce(F.to_json("field_map"), F.lit("{}")).alias("raw_payload_json"))
+
+
+def downloads(attachments: DataFrame, fetched: DataFrame, force: bool = False) -> DataFrame:
+    """What a landing job does with each attachment: skip (there already, not forced), keep (the same bytes again) or write. fetched: id, content, and of the stored file old_sha1, or null."""
+    f = fetched.select(F.col("id").alias("_f"), F.sha1("content").alias("new_sha1"), F.length("content").alias("new_size"), "old_sha1")
+    j = attachments.join(f, attachments["id"] == f["_f"], "left")
+    there = F.coalesce("is_downloaded", F.lit(False)) & F.col("old_sha1").isNotNull()
+    op = F.when(there & F.lit(not force), "skip").when(F.col("new_sha1").isNull(), "failed").when(F.col("new_sha1") == F.col("old_sha1"), "keep").otherwise("write")
+    return j.select(attachments["*"], op.alias("op"), F.when(op.isin("keep", "write"), F.col("new_size")).otherwise(F.col("file_size").cast("int")).alias("new_size"))
+
+
+def attachment_backfill(posts: DataFrame, attachments: DataFrame, found: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The newest posts that want their attachments looked for again (P18), and the plan for these from what their pages gave (found: post_id, file_url, filename, file_type, position)."""
+    chosen = needs_attachments(posts, attachments).orderBy(F.col("publish_date").desc_nulls_last(), F.col("id").desc()).limit(limit)
+    mine = found.join(chosen.select(F.col("id").alias("_c")), F.col("post_id") == F.col("_c"), "left_semi")
+    return chosen, attachment_upserts(attachments, mine, chosen.select("id"), "position", replace=False)
+
+
 def header_field(c: Column, p: RuleProfile) -> Column:
     """The first field one of whose aliases the cell holds."""
     v = compact(cell(c))

@@ -33,8 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    """The folder that all machines share: spark.checkpoint.dir, or a local one where that is unset and all is one machine (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/noticeboard-{spark.sparkContext.applicationId}"
 
 
@@ -66,3 +70,14 @@ def point(df: DataFrame, key: int, column: str = "id") -> DataFrame:
 def default_source(sources: DataFrame) -> DataFrame:
     """The active source of least id."""
     return sources.filter("is_active").orderBy("id").limit(1)
+
+
+def appended(df: DataFrame, root: str) -> None:
+    """The ledger's sink: new events are appended, nothing is written again; views cut to the newest."""
+    df.write.mode("append").parquet(root)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored in the shared folder. Results that read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
