@@ -343,7 +343,7 @@ def _dup_groups(spark, d):
     return stored(entities.groups(stored(entities.edges(_dup_keys(spark, d)), "links"), _dup_members(spark, d)), "groups")
 
 
-@query(f"""{_DUP}, n AS (SELECT id, source_id, title_key, print, publish_date, lag(id) OVER w AS before, lag(publish_date) OVER w AS before_day FROM k WHERE title_key IS NOT NULL AND print IS NOT NULL WINDOW w AS (PARTITION BY source_id, title_key, print ORDER BY publish_date, id))
+@query(f"""{_DUP}, n AS (SELECT id, source_id, title_key, print, publish_date, lag(id) OVER w AS before, lag(publish_date) OVER w AS before_day FROM (SELECT min(id) AS id, source_id, title_key, print, publish_date FROM k WHERE title_key IS NOT NULL AND print IS NOT NULL GROUP BY source_id, title_key, print, publish_date) WINDOW w AS (PARTITION BY source_id, title_key, print ORDER BY publish_date))
 SELECT k.id AS a, f.b, CAST(2 AS INTEGER) AS priority FROM k JOIN (SELECT source_id, title_key, publish_date, min(id) AS b FROM k WHERE title_key IS NOT NULL GROUP BY 1, 2, 3) f ON f.source_id = k.source_id AND f.title_key = k.title_key AND f.publish_date = k.publish_date WHERE k.id <> f.b
 UNION ALL SELECT greatest(id, before), least(id, before), CAST(3 AS INTEGER) FROM n WHERE before IS NOT NULL AND datediff('day', before_day, publish_date) <= 1""")
 def dup_edges(spark, d):
@@ -437,8 +437,8 @@ def freshness_by_source(spark, d):
 @query(f"WITH {_RUNS}, l AS (SELECT max(pos) AS last FROM runs) SELECT id, status = 'running' AND pos + to_hours(CASE task_type WHEN 'manual_scrape' THEN 2 WHEN 'attachment_backfill' THEN 12 ELSE 6 END) < last AS is_stale, CASE WHEN status = 'running' AND pos + to_hours(CASE task_type WHEN 'manual_scrape' THEN 2 WHEN 'attachment_backfill' THEN 12 ELSE 6 END) < last THEN 'failed' ELSE status END AS status FROM runs, l")
 def stale_tasks(spark, d):
     """Running tasks past their type's time; the last event is now."""
-    now = table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    return tasks.expired(_runs(spark, d), F.lit(now)).select("id", "is_stale", "status")
+    now = table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("now"))
+    return tasks.expired(_runs(spark, d).crossJoin(F.broadcast(now)), F.col("now")).select("id", "is_stale", "status")  # now is one row
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 = 2")
@@ -448,11 +448,12 @@ def json_payload_filter(spark, d):
     return e.filter("k % 5 = 2")
 
 
-@query("SELECT event_type, CASE WHEN starts_with(event_type, 'c') THEN 'collecting' ELSE 'collecting' END AS stage, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_type, CASE WHEN starts_with(event_type, 'c') THEN 'collecting' WHEN starts_with(event_type, 'p') THEN 'persisting' ELSE 'finalizing' END AS stage, count(*) AS n FROM events GROUP BY 1")
 def task_stages(spark, d):
     """K09."""
-    e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", tasks.stage_of(F.lit("working"), F.concat(F.lit("load-"), F.col("event_type"))).alias("stage"), "n")
+    e = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    key = F.concat(F.when(F.col("event_type").startswith("c"), "load-").when(F.col("event_type").startswith("p"), "save-").otherwise("finish-"), "event_type")
+    return e.select("event_type", tasks.stage_of(F.lit("working"), key).alias("stage"), "n")
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -463,10 +464,12 @@ def latest_by_user(spark, d):
 
 @query(SQL["latest_by_user"])
 def stream_equals_batch(spark, d):
-    """The same by a stream of files."""
+    """The same by a stream of four files, two to a batch."""
     import uuid
 
-    return ingest.latest_by_stream(spark, d, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").select("user_id", "event_id", "value")
+    state = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    table(spark, d, "events").repartition(4).write.parquet(f"{state}/landed")
+    return ingest.latest_by_stream(spark, f"{state}/landed", state).select("user_id", "event_id", "value")
 
 
 # ---- pages
@@ -503,7 +506,7 @@ def url_filename(spark, d):
     return table(spark, d, "pages").select("url", pages.link_filename(F.col("url")).alias("filename"))
 
 
-@query()
+@query("""SELECT conv_id AS file, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS nth, '辅导员 ' || role AS job_name, CAST(turn AS VARCHAR) || '人' AS recruitment_count, '硕士' AS education_requirement, regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g') AS major_requirement, CAST(conv_id AS VARCHAR) AS location, '' AS political_status, 'attachment' AS source_type, true AS is_counselor FROM conversations""")
 def sheet_jobs(spark, d):
     """Rows of a sheet to jobs (conversations stand for sheets: a row for each turn, under a fixed header)."""
     from noticeboard.plans.profile import ZH
@@ -515,6 +518,13 @@ def sheet_jobs(spark, d):
     return sheets.jobs_from_rows(body.select("file", F.concat(F.array(head), "rows").alias("rows")), ZH)
 
 
+@query("SELECT conv_id AS file, turn, regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g') AS major FROM conversations")
+def sheet_texts(spark, d):
+    """Whole texts as cells."""
+    r = sheet_jobs(spark, d)
+    return r.select("file", F.regexp_extract("recruitment_count", r"\d+", 0).cast("int").alias("turn"), text.compact(F.col("major_requirement")).alias("major"))
+
+
 # ---- projections
 
 

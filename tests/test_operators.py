@@ -222,3 +222,119 @@ def test_registry_and_schema(spark):
     assert e.value.status == 409
     r = conform(spark.createDataFrame([(1, None)], "id bigint, is_counselor boolean"), "posts").first()
     assert r.is_counselor is False and r.duplicate_status == "none" and r.title is None
+
+
+def test_html_with_implied_end_tags():
+    from noticeboard.sources.pages import detail
+
+    text = lambda html: detail(html, "http://h/a")["content"]
+    assert text('<div class="content"><div class="clear"><p>x</div><p>real text</p></div><p>footer</p>') == "real text"
+    assert text('<div class="content"><ul><li>one<li>two</ul><p>a<p>b</div><p>footer') == "one\n\ntwo\n\na\n\nb"
+    assert text('<div class="content"><table><tr><td>1<td>2<tr><td>3</table></div>footer') == "1 | 2\n3"
+    assert text('<div class="content"><p>a</i></p></span>b<p>c</div></div><p>d') == "a\n\nc"
+    assert text("<p>no container<div>loose</div>") == "no container"
+    got = detail('<div id="Zoom"><p>see <a href="f.pdf">plan.pdf<p>end</div>', "http://h/a/b")
+    assert got == {"content": "end", "attachments": [{"filename": "plan.pdf", "file_url": "http://h/a/f.pdf", "file_type": "pdf"}]}
+
+
+def _tree(rng, depth=0):
+    """HTML with every end tag, the same with those left out that may be, and the texts of its blocks."""
+    full, short, blocks = "", "", []
+    for _ in range(rng.randint(1, 3)):
+        word, kind = f"w{rng.randrange(10**6)}", rng.choice("p li div".split() if depth < 3 else ["p"])
+        if kind == "p":
+            full, short, blocks = full + f"<p>{word}</p>", short + f"<p>{word}", [*blocks, word]
+        elif kind == "li":
+            full, short, blocks = full + f"<ul><li>{word}</li><li>{word}x</li></ul>", short + f"<ul><li>{word}<li>{word}x</ul>", [*blocks, word, f"{word}x"]
+        else:
+            a, b, c = _tree(rng, depth + 1)
+            full, short, blocks = full + f"<div>{a}</div>", short + f"<div>{b}</div>", blocks + c
+    return full, short, blocks
+
+
+def test_html_with_and_without_end_tags_gives_the_tree_s_texts():
+    import random
+
+    from noticeboard.sources.pages import detail
+
+    rng = random.Random(1)
+    for _ in range(300):
+        full, short, blocks = _tree(rng)
+        for html in (full, short):
+            assert detail(f'<body><p>before</p><div class="main-content">{html}</div><p>after</p></body>', "u")["content"] == "\n\n".join(blocks)
+
+
+def test_notices_of_the_domain(spark):
+    """Analyses, insights and jobs by the Chinese profile, on a notice with all of it."""
+    from pyspark.sql import functions as F
+
+    from noticeboard.operators import analysis, jobs
+    from noticeboard.plans.profile import ZH
+
+    posts = spark.createDataFrame([(1, "南京大学2026年公开招聘专职辅导员公告", "笔试和面试在南京举行", True), (2, "某校2025年拟聘用人员名单公示", "名单公示", True), (3, "招聘辅导员、专任教师公告", "无", False)], "id bigint, title string, content string, is_counselor boolean")
+    fields = spark.createDataFrame([(1, 1, "招聘人数", "5人"), (2, 1, "学历要求", "硕士"), (3, 1, "报名时间", "2026年3月1日至3月9日"), (4, 1, "工作地点", "苏州市"), (5, 3, "岗位名称", "教师")], "id bigint, post_id bigint, field_name string, field_value string")
+    files = spark.createDataFrame([(1, 2)], "post_id bigint, parsed_jobs int")
+    none = spark.createDataFrame([], "id bigint, post_id bigint, job_name string, recruitment_count string, education_requirement string, major_requirement string, location string, political_status string, source_type string, is_counselor boolean, confidence_score double, raw_payload_json string")
+    a = {r.post_id: r for r in analysis.rule_analysis(posts, fields, files, ZH).collect()}
+    assert (a[1].event_type, a[1].recruitment_stage, a[1].school_name, a[1].city, a[1].tracking_priority) == ("招聘公告", "招聘启动", "南京大学", "苏州", "high")
+    assert a[1].summary == "这条信息归类为招聘公告。单位是南京大学。地点偏向苏州。当前提取到招聘人数 5人。学历要求是硕士。报名时间是2026年3月1日至3月9日。"
+    assert a[1].tags_json == '["招聘公告","辅导员相关","硕士","含附件"]' and a[1].entities_json == '["南京大学","苏州","苏州市"]'
+    assert (a[2].event_type, a[2].should_track, a[2].tracking_priority) == ("结果公示", False, "low")
+    i = {r.post_id: r for r in analysis.rule_insight(posts, fields, none, files, spark.createDataFrame([], "post_id bigint, city string"), F.to_date(F.lit("2026-02-27")), ZH).collect()}
+    assert (i[1].recruitment_count_total, i[1].counselor_recruitment_count, i[1].degree_floor, i[1].deadline_status) == (5, 5, "硕士", "即将截止")
+    assert i[1].has_written_exam and i[1].has_interview and i[1].has_attachment_job_table and i[1].city_list_json == '["苏州","南京"]'
+    assert i[1].evidence_summary == "辅导员岗位约 5 人；报名节点：2026年3月1日至3月9日；学历：硕士" and i[2].deadline_status == "未说明"
+    got = {r.post_id: r.job_name for r in jobs.field_jobs(posts, fields, ZH).collect()}
+    assert got == {1: "专职辅导员", 3: "辅导员"}
+
+
+def test_cancelled_and_failing_parts():
+    from noticeboard.operators import tasks
+
+    seen = []
+
+    def work(x):
+        if x == 2:
+            raise ValueError(x)
+        seen.append(x)
+
+    assert tasks.run_parts([1, 2, 3], work, lambda: False) == {"done": 2, "failures": 1, "status": "failed"} and seen == [1, 3]
+    assert tasks.run_parts([1, 2, 3], lambda x: seen.append(x), lambda: len(seen) >= 3)["status"] == "cancelled" and len(seen) == 3
+
+
+def test_crawl_stops_and_raises(spark):
+    import pytest
+
+    from noticeboard.sources import pages
+
+    page = lambda n: spark.range(n, n + 2)
+
+    def fetch(n):
+        if n == 4:
+            raise OSError("gone")
+        return page(n) if n != 6 else page(n).limit(0)
+
+    got, n = pages.crawl(fetch, 9)
+    assert n == 3 and got.count() == 6 and pages.crawl(fetch, 2)[1] == 2
+    with pytest.raises(OSError):
+        pages.crawl(lambda n: fetch(4), 3)
+
+
+def test_rebuild_and_backfill_of_duplicates(spark):
+    from pyspark.sql import functions as F
+
+    from noticeboard.operators import entities
+
+    rows = [(i, 1, f"t{i // 3}", "text", f"2024-01-0{1 + i % 2}", None, " ", "none", None, None, None, None) for i in range(9)]
+    posts = spark.createDataFrame(rows, "id bigint, source_id bigint, title string, content string, publish_date string, canonical_url string, original_url string, duplicate_status string, duplicate_group_key string, primary_post_id bigint, duplicate_reason string, duplicate_checked_at timestamp").withColumn("publish_date", F.to_timestamp("publish_date"))
+    members = posts.select("id", "source_id", F.lit(True).alias("has_content"), *[F.lit(0).alias(c) for c in ("n_attachments", "n_fields", "n_jobs", "analysis_score", "insight_score")], F.lit(None).cast("timestamp").alias("created_at"))
+    now = F.to_timestamp(F.lit("2024-02-01"))
+    whole = {r.id: (r.duplicate_status, r.primary_post_id) for r in entities.rebuilt(posts, members, now, full_fold=False).collect()}
+    assert whole == {i: ("primary", None) if i % 3 == 0 else ("duplicate", i - i % 3) for i in range(9)}
+    few = {r.id: r.duplicate_status for r in entities.rebuilt(posts, members, now, limit=4, full_fold=False).collect()}
+    assert few == dict.fromkeys(range(9), "none") | {3: "primary", 5: "duplicate"}
+    out, counts = entities.backfilled(posts, members, now, 3, full_fold=False)
+    c = counts.first()
+    assert c.selected == 3 and c.remaining_unchecked == out.filter("duplicate_checked_at is null").count() and c.groups >= 1
+    plan = entities.edges(entities.keyed(posts, full_fold=False))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan  # the keys are read from their table; no text is read again

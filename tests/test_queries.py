@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from noticeboard.plans import queries as q
+from noticeboard.plans import records  # noqa: F401  adds its queries
 from noticeboard.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -32,7 +33,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = df.select(columns).collect()
     if name in q.SQL:
-        want = duck.execute(f"SELECT {', '.join(columns)} FROM ({q.SQL[name]})").fetchall()
+        want = duck.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({q.SQL[name]})").fetchall()
         assert shown(got) == shown(want)
 
 
@@ -45,7 +46,10 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     e.repartition(5).write.parquet(f"{tmp_path}/in")
     latest = ingest.Latest(spark, f"{tmp_path}/out", "user_id", "ts", "event_id")
     ingest.run(ingest.file_stream(spark, f"{tmp_path}/in", e.schema, files_per_batch=2), latest, f"{tmp_path}/c").awaitTermination()
-    assert latest.version == 2
+    assert latest.version == 2 and latest.versions() == [0, 1, 2]
+    again = ingest.Latest(spark, f"{tmp_path}/out", "user_id", "ts", "event_id", e.schema)
+    assert again.version == 2 and again.table().count() == latest.table().count()
+    assert ingest.Latest(spark, f"{tmp_path}/none", "user_id", "ts", "event_id", e.schema).table().count() == 0
     batch = ingest.latest_by(e, "user_id", "ts", "event_id")
     assert sorted(map(tuple, latest.table().select("user_id", "event_id").collect())) == sorted(map(tuple, batch.select("user_id", "event_id").collect()))
 
