@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -32,20 +33,45 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext._conf.get("spark.checkpoint.dir")
+    """The folder that all machines share: spark.checkpoint.dir, or a local one where that is unset and all is one machine (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/noticeboard-{spark.sparkContext.applicationId}"
 
 
+_SCRATCH: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and no later step computes it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(df.sparkSession), *_SCRATCH[-1:], f"{name}-{uuid.uuid4().hex}"])
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `stored` has made and that nothing reads any more."""
+    _delete(df.sparkSession, df.stored_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is stored inside the block goes when it ends, so its result must be written before, and elsewhere."""
+    _SCRATCH.append(f"scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{shared_dir(spark)}/{_SCRATCH.pop()}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,5 +228,4 @@ def crc_of_id(col) -> object:
 
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that this application has stored in the shared folder. Results that read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import stored
+from noticeboard.llm.common import discard, stored
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,13 +13,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each step is a minimum by node (added up before the shuffle) and a join with the links of the node, so a node
     with very many links is split by adaptive execution; a star takes two rounds, a path of n about log n. The links
-    are written to the shared folder after each round, and only their number and a checksum reach the driver.
+    are written to the shared folder after each round; their number and a checksum come along with the writing, and
+    nothing else reaches the driver.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
-    before = _sum(edges)
+    edges, before = _written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     for _ in range(rounds):
-        edges = stored(_small(_large(edges)), "links")
-        now = _sum(edges)
+        old = edges
+        edges, now = _written(_small(_large(edges)))
+        discard(old)
         if now == before:
             break
         before = now
@@ -29,15 +30,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _sum(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, with their number and checksum."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+    out = stored(edges.observe(seen, *sums), "links")
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Of each node, its greater neighbours go to the least of its neighbours and itself."""
+    """Of each node, its greater neighbours go to the least of its neighbours and itself (links may come twice)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from noticeboard.llm.common import U, free_name, grams, map_arrow, stored, table, word_hashes
 from noticeboard.llm.components import components
 
-SHINGLE, SLOTS, BITS, ROWS, BANDS, SMALL, SIGMAS, SAMPLE, HOT, LEVELS = 5, 256, 4, 5, 24, 64, 4.0, 64, 1000, 8
+SHINGLE, SLOTS, BITS, ROWS, BANDS, SMALL, SIGMAS, SAMPLE, HOT, LEVELS, SALTS = 5, 256, 4, 5, 24, 64, 4.0, 64, 1000, 8, 16
 LONGS = SLOTS * BITS // 64
 _RNG = np.random.default_rng(20240501)
 _A = (_RNG.integers(0, 2**32, SLOTS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -233,8 +233,10 @@ def _with_pivots(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Each class of large with each pivot of its buckets: bucket (the pivot's), n, n_pivot, common (sizes of the sets and of what they share), linked, lacks (the shingles that the pivot lacks)."""
     kind = sets.schema["id"].dataType.simpleString()
     pivots = _pivots(large)
-    rows = large.select("bucket", "id", "sig").join(pivots.hint("merge"), "bucket").select(F.xxhash64("pivot").alias("bucket"), "pivot", "id", "sig").dropDuplicates(["bucket", "id"])
-    both = rows.join(sets.select("id", F.col("set").alias("x")).hint("merge"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")).join(pivots.select("pivot").distinct().hint("merge"), "pivot", "left_semi").hint("merge"), "pivot").select("bucket", "id", "pivot", "sig", "x", "y")
+    rows = large.select("bucket", "id", "sig").join(pivots.hint("merge"), "bucket").select(F.xxhash64("pivot").alias("bucket"), "pivot", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"), "id", "sig").dropDuplicates(["bucket", "id"])
+    held = sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")).join(pivots.select("pivot").distinct().hint("merge"), "pivot", "left_semi")
+    held = held.select("pivot", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))  # a pivot has SMALL classes at least, so this is little
+    both = rows.join(sets.select("id", F.col("set").alias("x")).hint("merge"), "id").join(held.hint("merge"), ["pivot", "salt"]).select("bucket", "id", "pivot", "sig", "x", "y")
 
     def meet(b: pa.RecordBatch) -> list:
         n, m, common, linked, lacks = [], [], [], [], []

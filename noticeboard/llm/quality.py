@@ -8,7 +8,8 @@ Fitting reads at most ``sample`` rated rows (of least hash of the id; their ids,
 documents aren't shuffled); features go to the driver for that sample only. Scoring sends `2**BITS` weights along.
 
 Defined cases: a null or empty text has the features of no words; with ratings of one grade only, that grade is
-expected of all; without any, grade 0; repeated rows get a score each; other columns play no part.
+expected of all; without any, grade 0; a row with a null id is scored but not learnt from; a very long text is read whole, in one task;
+repeated rows and rows of one id get a score each; other columns play no part.
 """
 
 from __future__ import annotations

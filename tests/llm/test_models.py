@@ -201,3 +201,94 @@ def test_quality_orders_grades(spark):
     one = fit(2)
     assert quality.graded(cases.table(spark), one).select("_quality.expected").distinct().first()[0] == 2
     assert quality.graded(cases.empty(spark), fit()).count() == 0
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """The features of the docstring, with edit distances to every term instead of the automaton."""
+    import re
+
+    terms, strength = ["grublo", "snivel*", "worthless"], [2.0, 1.5, 3.0]
+    model = toxicity.Model(terms, strength, [-2.0, 1.1, 0.4, 0.2, 0.7, 0.5, 0.6, -0.4, 0.3])
+    word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+
+    def hit(raw):
+        found = []
+        for w in word.findall(raw.lower()):
+            for n, t in enumerate(terms):
+                if t.endswith("*"):
+                    found += [(0, n)] * w.startswith(t[:-1])
+                elif (d := _levenshtein(w, t)) <= toxicity.edits_allowed(len(t)):
+                    found.append((d, n))
+        return min(found, default=None)
+
+    def score(text):
+        raws = (text or "").split()
+        exact = fuzzy = quoted = top = 0.0
+        aimed, kinds, n_hits = 0, set(), 0
+        for i, raw in enumerate(raws):
+            if (h := hit(raw)) is None:
+                continue
+            n_hits += 1
+            d, n = h
+            near = {w for r in raws[max(0, i - 6) : i + 7] for w in word.findall(r.lower())}
+            opened = any(r[0] in toxicity._QUOTES for r in raws[max(0, i - 6) : i]) and any(r.rstrip(".,;:!?")[-1:] in tuple(toxicity._QUOTES) for r in raws[i : i + 7])
+            marked = raw[0] in toxicity._QUOTES or raw[-1] in toxicity._QUOTES or opened
+            if d:
+                fuzzy += strength[n]
+            elif marked or near & toxicity.REPORTING:
+                quoted += strength[n]
+            else:
+                exact, top = exact + strength[n], max(top, strength[n])
+                kinds.add(n)
+            aimed += bool(near & toxicity.ADDRESS)
+        k = len(raws)
+        x = [1, math.log1p(exact), top, math.log1p(len(kinds)), math.log1p(fuzzy), math.log1p(100 * n_hits / (k + 20)), math.log1p(aimed), math.log1p(quoted), math.log1p(k) / 5]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    rng = random.Random(6)
+    bits = ["grublo", "Grubblo", "grubl", "sniveling", '"worthless"', "worthles", "said", "you", "he", '"so', 'it"', "fine.", "don't", "—"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))) for i in range(300)] + [(400, None), (401, "")]
+    got = {r.doc_id: r.tox for r in toxicity.scored(cases.table(spark, rows), model, name="tox").collect()}
+    assert all(abs(got[i] - score(t)) < 1e-9 for i, t in rows)
+
+
+def test_quality_against_brute_force(spark):
+    """Scores by one loop over features, and a fit whose loss nothing near it beats."""
+    rng = random.Random(9)
+    words = [(["spam", "buy"], ["so", "and"], ["fine", "good"])[g] for g in range(3)]
+    rows = [(i, " ".join(rng.choice(words[i % 3] + ["the", "of"]) for _ in range(12))) for i in range(90)]
+    model = quality.learn(cases.table(spark, rows), spark.createDataFrame([(i, i % 3) for i in range(90)], "doc_id bigint, grade int"))
+
+    def tails(text, weights, thresholds):
+        s = sum(v * float(weights[i]) for i, v in zip(*quality.features(text), strict=True))
+        return [1 / (1 + math.exp(t - s)) for t in thresholds]
+
+    got = {r.doc_id: r.q for r in quality.graded(cases.table(spark, [*rows, (500, None), (501, "")]), model, name="q").collect()}
+    for i, t in [*rows, (500, None), (501, "")]:
+        a = tails(t, model.weights, model.thresholds)
+        assert abs(got[i].tail - a[0]) < 1e-5 and abs(got[i].expected - sum(a)) < 1e-5
+
+    def loss(weights, thresholds):
+        out = quality.RIDGE * float((weights**2).sum()) / 2 / len(rows)
+        for i, t in rows:
+            a = [1.0, *tails(t, weights, thresholds), 0.0]
+            out -= math.log(max(a[i % 3] - a[i % 3 + 1], 1e-9)) / len(rows)
+        return out
+
+    best = loss(model.weights, model.thresholds)
+    noise = np.random.default_rng(1)
+    used = sorted({i for _, t in rows for i in quality.features(t)[0]})
+    for _ in range(20):
+        w = model.weights.copy()
+        w[used] += noise.normal(0, 0.3, len(used)).astype(np.float32)
+        assert loss(w, model.thresholds + noise.normal(0, 0.3, 2)) > best
