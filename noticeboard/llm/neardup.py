@@ -12,7 +12,7 @@ x is linked with a class y of at least p's size, then x and y share shingles tha
 and these, and |x & p| is too little. So only classes outside of the pivot's component, and the sharers of their
 shingles that p lacks, are looked at again. As x and y must share m such shingles at least, it is enough to look at all
 but the last m - 1 of them in the order of their hashes (a prefix filter). Each such shingle makes a smaller bucket, to which
-the same is done. A class y smaller than p is compared with those x whose |x & p| would be enough for it. So no link
+the same is done (up to `FEW` times SMALL classes are compared in full there). A class y smaller than p is compared with those x whose |x & p| would be enough for it. So no link
 that a bucket shows is lost, while neither a group of copies nor a group of texts that are near to a template, but not
 to each other, costs all its pairs. What is still large after `LEVELS` such steps is compared in full.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from noticeboard.llm.common import U, free_name, grams, map_arrow, stored, table, word_hashes
 from noticeboard.llm.components import components
 
-SHINGLE, SLOTS, BITS, ROWS, BANDS, SMALL, SIGMAS, SAMPLE, HOT, LEVELS, SALTS = 5, 256, 4, 5, 24, 64, 4.0, 64, 1000, 8, 16
+SHINGLE, SLOTS, BITS, ROWS, BANDS, SMALL, SIGMAS, SAMPLE, HOT, LEVELS, SALTS, FEW = 5, 256, 4, 5, 24, 64, 4.0, 64, 1000, 8, 16, 4
 LONGS = SLOTS * BITS // 64
 _RNG = np.random.default_rng(20240501)
 _A = (_RNG.integers(0, 2**32, SLOTS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -225,18 +225,18 @@ def _pivots(large: DataFrame) -> DataFrame:
     sampled = large.filter(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SAMPLE)) == 0).select("bucket", "sig")
     modes = sampled.groupBy("bucket").applyInPandas(_majority, "bucket bigint, mode array<bigint>")
     closest = F.struct(F.coalesce(similarity("sig", "mode"), F.lit(0.0)).alias("s"), "id")
-    scored = large.join(modes.hint("merge"), "bucket", "left").select("bucket", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"), closest.alias("by"))
+    scored = large.join(modes, "bucket", "left").select("bucket", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"), closest.alias("by"))
     return scored.groupBy("bucket", "part").agg(F.max("by").alias("by")).groupBy("bucket").agg(F.max("by").alias("by")).select("bucket", F.col("by.id").alias("pivot"))
 
 
 def _with_pivots(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Each class of large with each pivot of its buckets: bucket (the pivot's), n, n_pivot, common (sizes of the sets and of what they share), linked, lacks (the shingles that the pivot lacks)."""
     kind = sets.schema["id"].dataType.simpleString()
-    pivots = _pivots(large)
-    rows = large.select("bucket", "id", "sig").join(pivots.hint("merge"), "bucket").select(F.xxhash64("pivot").alias("bucket"), "pivot", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"), "id", "sig").dropDuplicates(["bucket", "id"])
-    held = sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")).join(pivots.select("pivot").distinct().hint("merge"), "pivot", "left_semi")
+    pivots = stored(_pivots(large), "pivots")
+    rows = large.select("bucket", "id", "sig").join(pivots, "bucket").select(F.xxhash64("pivot").alias("bucket"), "pivot", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"), "id", "sig").dropDuplicates(["bucket", "id"])
+    held = sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")).join(pivots.select("pivot").distinct(), "pivot", "left_semi")
     held = held.select("pivot", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))  # a pivot has SMALL classes at least, so this is little
-    both = rows.join(sets.select("id", F.col("set").alias("x")).hint("merge"), "id").join(held.hint("merge"), ["pivot", "salt"]).select("bucket", "id", "pivot", "sig", "x", "y")
+    both = rows.join(sets.select("id", F.col("set").alias("x")).hint("merge"), "id").join(held, ["pivot", "salt"]).select("bucket", "id", "pivot", "sig", "x", "y")
 
     def meet(b: pa.RecordBatch) -> list:
         n, m, common, linked, lacks = [], [], [], [], []
@@ -262,30 +262,34 @@ def _of_smaller(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _through_pivots(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """The components of links and those of large buckets (bucket, size, id, sig, apart)."""
+    """The components of links and those of large buckets (bucket, size, id, sig, apart).
+
+    Components are computed after the first step and at the end; in between, what is linked with a pivot has its label.
+    """
+    groups = None
     for level in range(LEVELS):
         if large.isEmpty():
             break
         met = _with_pivots(large, sets, percent)
         links = links.unionByName(met.filter("linked and id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        groups = components(links)
-        label = lambda name, to: groups.select(F.col("id").alias(name), F.col("component").alias(to)).hint("merge")  # noqa: B023, E731
+        if groups is None:
+            groups = stored(components(links), "labels")
+        label = lambda name, to: groups.select(F.col("id").alias(name), F.col("component").alias(to))  # noqa: B023, E731
         least_n = met.groupBy("bucket").agg(F.min("n").alias("least_n"))
-        met = met.join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left").join(least_n.hint("merge"), "bucket")
-        met = met.withColumn("label", F.coalesce("label", "id")).withColumn("apart", F.col("label") != F.coalesce("main", "pivot"))
+        met = met.join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left").join(least_n, "bucket").withColumn("main", F.coalesce("main", "pivot"))
+        met = met.withColumn("label", F.when(F.col("linked"), F.col("main")).otherwise(F.coalesce("label", "id"))).withColumn("apart", F.col("label") != F.col("main"))
         smaller = _of_smaller(met.select("bucket", "id", "sig", "n", "n_pivot", "least_n", "common", "label", "apart"), percent)
         shares = F.greatest(F.lit(1), F.expr(f"cast(({percent} * (n + least_n) + {99 + percent}) div {100 + percent} - common as int)"))  # with whomever it is linked
-        at = met.select("bucket", "id", "label", "apart", F.explode(F.slice("lacks", F.lit(1), F.greatest(F.size("lacks") - shares + 1, F.lit(0)))).alias("shingle"))
+        at = met.select("bucket", "id", "sig", "label", "apart", F.explode(F.slice("lacks", F.lit(1), F.greatest(F.size("lacks") - shares + 1, F.lit(0)))).alias("shingle"))
         sizes = at.groupBy("bucket", "shingle").agg(F.count("*").alias("size"), F.max("apart").alias("any"), F.min("label").alias("one"), F.max("label").alias("other"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("any and one != other")
         alike = sizes.groupBy("bucket", "size", "who").agg(F.min("shingle").alias("shingle")).select("bucket", "shingle", "size")
-        again = at.join(alike.hint("merge"), ["bucket", "shingle"]).join(met.select("bucket", "id", "sig").distinct().hint("merge"), ["bucket", "id"])
-        again = stored(again.select(F.xxhash64("bucket", "shingle").alias("bucket"), "size", "id", "sig", "apart", "label"), "again")
-        small = again if level == LEVELS - 1 else again.filter(f"size <= {SMALL}")
+        again = stored(at.join(alike, ["bucket", "shingle"]).select(F.xxhash64("bucket", "shingle").alias("bucket"), "size", "id", "sig", "apart", "label"), "again")
+        small = again if level == LEVELS - 1 else again.filter(f"size <= {FEW * SMALL}")
         pairs = stored(_close(small, percent, "label != label_b and (apart or apart_b)").unionByName(smaller).distinct(), "pairs")
         if not pairs.isEmpty():
-            links = stored(links.unionByName(_confirmed(sets, pairs, percent)), "links")
-        large = again.filter(f"size > {SMALL}").drop("label")
-        if pairs.isEmpty() and large.isEmpty():
+            links = links.unionByName(stored(_confirmed(sets, pairs, percent), "links"))
+        large = again.filter(f"size > {FEW * SMALL}").drop("label")
+        if level == 0 and pairs.isEmpty() and large.isEmpty():
             return groups
     return components(links)
 

@@ -134,3 +134,20 @@ def test_passage_of_lines_whose_first_holder_has_them_apart(spark):
     rows = [(1, apart), (2, f"{own[12]} {''.join(lines)}"), (3, f"{own[13]} {''.join(lines)}")]
     got = {r.doc_id: r.out for r in ld.cleaned(cases.table(spark, rows), name="out").collect()}
     assert got[1].n_deleted == got[2].n_deleted == 0 and got[3].n_deleted == 96 and got[3].text.split() == own[13].split()
+
+
+def test_no_passage_is_left_twice_on_the_tables(spark):
+    """Recall against all windows of PASSAGE words of the smallest table, and no text without a shared window of BLOCK_WORDS is touched."""
+    import os
+
+    import pytest
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: r.lines for r in ld.cleaned(docs).collect()}
+    assert repeats(rows) and not repeats(sorted((i, x.text) for i, x in got.items()))
+    may = repeats(rows, ld.BLOCK_WORDS)
+    assert all(got[i].text == t for i, t in rows if i not in may)
