@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -9,7 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeboard.functions.text import aliased, compact, has_any, matches_any, strip
-from noticeboard.plans.profile import FieldRule, RuleProfile
+from noticeboard.plans.profile import (
+    AGE_MOST,
+    AGE_MOST_BELOW,
+    AGE_PATTERNS,
+    BOTH_APART,
+    DEGREE_RANK,
+    GENDER_PATTERNS,
+    GENDER_UNLIMITED,
+    MAN,
+    MAN_MARKED,
+    MAN_ONLY,
+    UNLIMITED,
+    UNSAID,
+    WOMAN,
+    WOMAN_MARKED,
+    WOMAN_ONLY,
+    FieldRule,
+    RuleProfile,
+)
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -47,16 +66,14 @@ def gender(text: Column) -> Column:
 
     def of_value(v: Column) -> Column:
         v = F.regexp_replace(tidy_value(v), " ", "")
-        man, woman = F.contains(v, F.lit("男")), F.contains(v, F.lit("女"))
-        return F.when(has_any(v, ("男女不限", "性别不限", "不限性别")) | (v == "不限"), "不限").when(woman & ~man, "女").when(man & ~woman, "男")
+        man, woman = F.contains(v, F.lit(MAN)), F.contains(v, F.lit(WOMAN))
+        return F.when(has_any(v, GENDER_UNLIMITED) | (v == UNLIMITED), UNLIMITED).when(woman & ~man, WOMAN).when(man & ~woman, MAN)
 
     bare = F.regexp_replace(text, "\r", "")
-    patterns = (r"辅导员[（(](男|女)[)）]", r"(?U)(?:性别要求|性别)[：:]\s*([^\n，。；;]{1,12})", r"(?U)(?:仅限|限)\s*(男性|女性|男|女)")
-    return F.coalesce(
-        F.when(has_any(bare, ("男女不限", "性别不限", "不限性别")), "不限"),
-        *[of_value(found(bare, p)) for p in patterns],
-        F.when(has_any(compacted, ("男女不限", "性别不限", "不限性别")), "不限").when(has_any(compacted, ("辅导员（男）", "辅导员(男)")), "男").when(has_any(compacted, ("辅导员（女）", "辅导员(女)")), "女").when(F.contains(compacted, F.lit("男")), "男").when(F.contains(compacted, F.lit("女")), "女"),
-    )
+    anywhere = F.when(has_any(compacted, GENDER_UNLIMITED), UNLIMITED)
+    for words, value in ((MAN_MARKED, MAN), (WOMAN_MARKED, WOMAN), ((MAN,), MAN), ((WOMAN,), WOMAN)):
+        anywhere = anywhere.when(has_any(compacted, words), value)
+    return F.coalesce(F.when(has_any(bare, GENDER_UNLIMITED), UNLIMITED), *[of_value(found(bare, p)) for p in GENDER_PATTERNS], anywhere)
 
 
 def education(text: Column, profile: RuleProfile) -> Column:
@@ -67,13 +84,14 @@ def education(text: Column, profile: RuleProfile) -> Column:
 
 def age(text: Column) -> Column:
     """A range, an upper or a lower bound."""
-    dash, years = r"\s*[-至—]\s*", r"\s*周?岁"
-    pair = lambda p: F.when(text.rlike(p), F.concat(F.regexp_extract(text, p, 1), F.lit("-"), F.regexp_extract(text, p, 2), F.lit("岁")))
-    bound = lambda p, tail: F.concat(found(text, p), F.lit(tail))
-    under, over = rf"(\d{{2}}){years}(?:以下|及以下)", rf"(\d{{2}}){years}(?:以上|及以上)"
-    most = rf"(?:年龄[：:]?\s*)?(不超过|不得超过|小于等于|不大于)\s*(\d{{2}}){years}"
-    limit = F.when(text.rlike(most), F.concat(F.regexp_extract(text, most, 2), F.when(F.regexp_extract(text, most, 1).isin("不超过", "不得超过"), "岁以下").otherwise("岁")))
-    return F.coalesce(pair(rf"年龄[：:]\s*(\d{{2}}){dash}(\d{{2}}){years}"), pair(rf"(\d{{2}}){dash}(\d{{2}}){years}"), bound(rf"年龄[：:]\s*{under}", "岁以下"), bound(under, "岁以下"), bound(rf"年龄[：:]\s*{over}", "岁以上"), bound(over, "岁以上"), limit)
+
+    def formed(pattern: str, form: str) -> Column:
+        parts = [F.regexp_extract(text, pattern, int(x)) if x in "12" else F.lit(x) for x in re.split(r"[{}]", form) if x]
+        return F.when(text.rlike(pattern), F.concat(*parts))
+
+    below = F.regexp_extract(text, AGE_MOST, 1).isin(*AGE_MOST_BELOW)
+    most = F.when(below, formed(AGE_MOST, "{2}岁以下")).otherwise(formed(AGE_MOST, "{2}岁"))
+    return F.coalesce(*[formed(p, form) for p, form in AGE_PATTERNS], most)
 
 
 def political(text: Column, profile: RuleProfile) -> Column:
@@ -153,15 +171,14 @@ def city(location: Column, title: Column, content: Column, p: RuleProfile) -> Co
 
 def gender_restriction(texts: Column) -> Column:
     """C13, over the joined texts: unlimited anywhere wins, then both, one, none."""
-    man, woman = has_any(texts, ("（男）", "(男)", "限男", "男性")), has_any(texts, ("（女）", "(女)", "限女", "女性"))
-    return F.when(F.contains(texts, F.lit("不限")), "不限").when(man & woman, "分岗限制").when(man, "男").when(woman, "女").otherwise("未说明")
+    man, woman = has_any(texts, MAN_ONLY), has_any(texts, WOMAN_ONLY)
+    return F.when(F.contains(texts, F.lit(UNLIMITED)), UNLIMITED).when(man & woman, BOTH_APART).when(man, MAN).when(woman, WOMAN).otherwise(UNSAID)
 
 
 def degree_floor(texts: Column, p: RuleProfile) -> Column:
     """C14, over an array of texts: the lowest level among exact aliases."""
-    rank = {"专科": 1, "本科": 2, "硕士": 3, "博士": 4}
-    ranks = F.transform(texts, lambda t: aliased(t, {a: str(rank[d]) for a, d in p.degree_alias.items()}, "9").cast("int"))
-    return aliased(F.array_min(ranks).cast("string"), {str(v): k for k, v in rank.items()}, "未说明")
+    ranks = F.transform(texts, lambda t: aliased(t, {a: str(DEGREE_RANK[d]) for a, d in p.degree_alias.items()}, "9").cast("int"))
+    return aliased(F.array_min(ranks).cast("string"), {str(v): k for k, v in DEGREE_RANK.items()}, UNSAID)
 
 
 def school(title: Column) -> Column:

@@ -79,6 +79,25 @@ class RuleProfile:
     wording: Wording = Wording()
 
 
+# Words and patterns of gender and age, which results have to agree on.
+GENDER_UNLIMITED = ("男女不限", "性别不限", "不限性别")
+GENDER_PATTERNS = (r"辅导员[（(](男|女)[)）]", r"(?U)(?:性别要求|性别)[：:]\s*([^\n，。；;]{1,12})", r"(?U)(?:仅限|限)\s*(男性|女性|男|女)")
+MAN, WOMAN = "男", "女"
+MAN_MARKED, WOMAN_MARKED = ("辅导员（男）", "辅导员(男)"), ("辅导员（女）", "辅导员(女)")
+MAN_ONLY, WOMAN_ONLY = ("（男）", "(男)", "限男", "男性"), ("（女）", "(女)", "限女", "女性")
+UNLIMITED, BOTH_APART, UNSAID = "不限", "分岗限制", "未说明"
+AGE_PATTERNS = (
+    (r"年龄[：:]\s*(\d{2})\s*[-至—]\s*(\d{2})\s*周?岁", "{1}-{2}岁"),
+    (r"(\d{2})\s*[-至—]\s*(\d{2})\s*周?岁", "{1}-{2}岁"),
+    (r"年龄[：:]\s*(\d{2})\s*周?岁(?:以下|及以下)", "{1}岁以下"),
+    (r"(\d{2})\s*周?岁(?:以下|及以下)", "{1}岁以下"),
+    (r"年龄[：:]\s*(\d{2})\s*周?岁(?:以上|及以上)", "{1}岁以上"),
+    (r"(\d{2})\s*周?岁(?:以上|及以上)", "{1}岁以上"),
+)
+AGE_MOST = r"(?:年龄[：:]?\s*)?(不超过|不得超过|小于等于|不大于)\s*(\d{2})\s*周?岁"
+AGE_MOST_BELOW = ("不超过", "不得超过")
+DEGREE_RANK = {"专科": 1, "本科": 2, "硕士": 3, "博士": 4}
+
 # The rules of Chinese recruitment notices, which results have to agree on.
 ZH = RuleProfile(
     noise_texts=("当前位置：", "首页", "资讯中心", "省属事业单位招聘", "来源：", "发布日期：", "点击量：", "点击查看原文件：", "关闭本页", "打印本页", "小", "中", "大", ">", "[", "]", "关闭本页打印本页"),

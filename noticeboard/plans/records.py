@@ -15,7 +15,7 @@ from noticeboard.operators import analysis, entities, filters, jobs, listing, me
 from noticeboard.plans.profile import LATIN, ZH, FieldRule
 from noticeboard.plans.queries import _RUNS, _STRIP, _runs, posts, query
 from noticeboard.sources import pages, registry, sheets
-from noticeboard.sources.tables import stored, table
+from noticeboard.sources.tables import default_source, point, stored, table
 
 P = replace(LATIN, notice_event="licence")
 TODAY = "2024-06-15"
@@ -540,3 +540,69 @@ def attachment_upserts(spark, d):
     blank = mine.select("post_id", F.lit(" ").alias("file_url"), "filename", "file_type", F.lit(3).alias("position"))
     plan = merge.attachment_upserts(t, again.unionByName(new).unionByName(blank), t.filter("id % 2 = 0").select("id"), "position")
     return plan.select("post_id", "file_url", "op", F.col("id").alias("kept"))
+
+
+def _canonical_runs(spark, d):
+    return _runs(spark, d).withColumn("status", tasks.status(F.col("status")))
+
+
+@query(f"WITH {_RUNS} SELECT count(*) AS total, arg_max(id, (pos, id)) AS latest_id, arg_max(id, (pos, id)) FILTER (WHERE status = 'success') AS latest_success_id, count(*) FILTER (WHERE status = 'running') AS running FROM runs")
+def run_summary(spark, d):
+    """K08."""
+    return tasks.task_summary(_canonical_runs(spark, d))
+
+
+@query(f"WITH {_RUNS} SELECT id FROM runs WHERE status = 'running' AND pos <= TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE")
+def stuck_runs(spark, d):
+    """Running without a sign of life for ten minutes."""
+    return tasks.stuck(_runs(spark, d), F.to_timestamp(F.lit(NOW))).select("id")
+
+
+@query(f"WITH {_RUNS} SELECT id, CASE task_type WHEN 'manual_scrape' THEN 'manual scrape' WHEN 'attachment_backfill' THEN 'attachment backfill' ELSE 'task' END AS label FROM runs ORDER BY pos DESC, id DESC LIMIT 50")
+def latest_runs(spark, d):
+    """The ledger's view of fifty runs, with labels."""
+    return tasks.admin_view(tasks.latest(_runs(spark, d)), F.to_timestamp(F.lit(NOW))).select("id", "label")
+
+
+@query("SELECT min(n_nationkey) AS id, (SELECT n_name FROM nation WHERE n_nationkey = 7) AS seventh FROM nation WHERE n_nationkey % 3 = 1")
+def source_points(spark, d):
+    """The default source, and one by its key."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 3 == 1).alias("is_active"))
+    one = point(n, 7).select(F.col("name").alias("seventh"))
+    return default_source(n).select("id").join(F.broadcast(one), F.lit(True))  # one row each
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2024-03-04 05:06:07' WHEN 1 THEN TIMESTAMP '2024-03-04 03:06:07' WHEN 2 THEN TIMESTAMP '2024-03-04 00:00:00' END AS at, CASE event_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 0 ELSE 7 END AS done, CASE WHEN event_id % 4 = 3 THEN NULL ELSE greatest(CAST(epoch_ms(TIMESTAMP '2024-03-04 04:00:00') - epoch_ms(CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2024-03-04 05:06:07' WHEN 1 THEN TIMESTAMP '2024-03-04 03:06:07' ELSE TIMESTAMP '2024-03-04 00:00:00' END) AS BIGINT), 0) END AS took FROM events")
+def moments(spark, d):
+    """Times written in ISO 8601, percentages and durations."""
+    i = F.col("event_id")
+    written = F.element_at(F.array(*map(F.lit, ("2024-03-04T05:06:07Z", "2024-03-04T05:06:07+02:00", " 2024-03-04", "soon"))), (i % 4 + 1).cast("int"))
+    at = dates.moment(written)
+    e = table(spark, d, "events").select("event_id", at.alias("at"), dates.progress(F.element_at(F.array(*map(F.lit, ("250", "-3", "odd"))), (i % 3 + 1).cast("int")), 7).alias("done"))
+    return e.withColumn("took", F.when(F.col("at").isNotNull(), dates.duration_ms(F.col("at"), F.to_timestamp(F.lit("2024-03-04 04:00:00")))))
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 6 <> 5")
+def stale_files(spark, d):
+    """Files whose parse result is missing, of another version, kind, size or time, or without fields or jobs."""
+    i = F.col("page_id")
+    at = lambda day: F.to_timestamp(F.lit(day))
+    t = table(spark, d, "pages")
+    files = t.select("page_id", F.col("url").alias("path"), F.lit(10).cast("bigint").alias("length"), at("2024-01-02").alias("modificationTime"), F.lit("pdf").alias("file_type"))
+    fields = F.array().cast("array<struct<field_name:string,field_value:string>>")
+    results = t.filter(i % 6 != 0).select(F.col("url").alias("file"), F.when(i % 6 == 1, "xls").otherwise("pdf").alias("file_type"), F.when(i % 6 == 2, 1).otherwise(sheets.PARSER_VERSION).alias("sidecar_version"), F.when(i % 6 == 3, 9).otherwise(10).cast("bigint").alias("source_size"), F.when(i % 6 == 4, at("2024-01-01")).otherwise(at("2024-01-02")).alias("source_mtime"), fields.alias("fields"), F.array().cast("array<map<string,string>>").alias("jobs"))
+    return sheets.stale(files, results).select("page_id")
+
+
+@query("SELECT page_id, CAST(n AS INTEGER) AS n_records, CAST(n - n // 2 AS INTEGER) AS n_skipped, page_id % 2 = 1 AS no_datastore FROM (SELECT page_id, page_id % 4 AS n FROM pages)")
+def list_records(spark, d):
+    """Records of list pages, those left out, and pages without a datastore; what is kept is counted against it."""
+    i = F.col("page_id")
+    good = F.concat(F.lit('<record><![CDATA[<a href="/x'), i.cast("string"), F.lit('.html"></a><span class="list_title">T</span><i>2024-01-02</i>]]></record>'))
+    rows = F.transform(F.sequence(F.lit(1), F.greatest(i % 4, F.lit(1)).cast("int")), lambda k: F.when(k % 2 == 0, good).otherwise(F.lit("<record><![CDATA[<span>no link</span>]]></record>")))
+    body = F.when(i % 4 == 0, "").otherwise(F.array_join(rows, "\n"))
+    made = table(spark, d, "pages").select("page_id", F.col("url"), F.when(i % 2 == 0, F.concat(F.lit("<datastore>"), body, F.lit("</datastore>"))).otherwise(body).alias("html"))
+    counts = pages.list_counts(made).select("page_id", "n_records", "n_skipped", "no_datastore")
+    kept = pages.list_records(made.withColumn("url", F.col("page_id").cast("string")), F.current_timestamp(), wrapped=False).groupBy(F.col("page_url").cast("bigint").alias("_p")).agg(F.count("*").alias("_n"))
+    j = counts.join(kept, F.col("page_id") == F.col("_p"), "left")
+    return j.filter(F.col("n_records") - F.col("n_skipped") == F.coalesce("_n", F.lit(0))).select("page_id", "n_records", "n_skipped", "no_datastore")

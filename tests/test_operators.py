@@ -338,3 +338,51 @@ def test_rebuild_and_backfill_of_duplicates(spark):
     assert c.selected == 3 and c.remaining_unchecked == out.filter("duplicate_checked_at is null").count() and c.groups >= 1
     plan = entities.edges(entities.keyed(posts, full_fold=False))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan  # the keys are read from their table; no text is read again
+
+
+def test_history_is_normalised_by_the_source_s_profile(spark):
+    from noticeboard.plans.profile import ZH
+    from noticeboard.sources import registry
+
+    assert registry.profile_of(" JiangsuHRSSScraper ") is ZH and registry.profile_of("Other") is None and registry.profile_of(None) is None
+    sources = spark.createDataFrame([(1, "JiangsuHRSSScraper"), (2, "Other"), (3, None)], "id bigint, scraper_class string")
+    text = "首页\n正文一\n\n\n\n打印本页\n正文二"
+    posts = spark.createDataFrame([(10, 1, text), (11, 2, text), (12, 3, text), (13, 9, "plain"), (14, 1, " "), (15, 1, None)], "id bigint, source_id bigint, content string")
+    got = {r.id: r for r in registry.renormalised(posts, sources).collect()}
+    assert set(got) == {10, 11, 12, 13} and not got[13].changed and got[10].changed
+    assert "首页" not in got[10].content and "打印本页" not in got[10].content and "正文二" in got[10].content
+    assert "首页" in got[11].content and got[11].content == got[12].content
+
+
+def test_a_batch_s_rows_drive_the_refresh(spark):
+    from noticeboard.streaming import ingest
+
+    posts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id bigint, canonical_url string")
+    batch = spark.createDataFrame([("b",), ("b",), ("new",)], "canonical_url string")
+    assert [r.id for r in ingest.touched(batch, posts, lambda p, ids: ids).collect()] == [2]
+
+
+def test_pdf_texts_by_a_given_reader(spark):
+    from noticeboard.sources import sheets
+
+    def read(data):
+        if data == b"bad":
+            raise ValueError("no PDF")
+        return data.decode().split("|")
+
+    files = spark.createDataFrame([("a", bytearray(b"one| |two ")), ("b", bytearray(b"bad")), ("c", None)], "path string, content binary")
+    assert {r.file: r.text for r in sheets.pdf_texts(files, read).collect()} == {"a": "one\n\ntwo", "b": None, "c": None}
+
+
+def test_a_shared_folder_is_needed_off_local_mode():
+    import types
+
+    import pytest
+
+    from noticeboard.sources import tables
+
+    conf = types.SimpleNamespace(get=lambda *a: None)
+    fake = lambda master: types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master, applicationId="x", _conf=conf))
+    assert tables.shared_dir(fake("local[2]")).startswith("file:///tmp/")
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(fake("spark://h:7077"))
