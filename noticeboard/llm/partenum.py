@@ -14,14 +14,15 @@ of shingle hashes is cut into partitions, and a signature is a hash of what a se
 So similar sets share a signature, always. Signatures of nothing (of empty partitions) would be shared by unlike sets;
 a set leaves them out if it has enough others that k differences can't spoil them all.
 
-Sets that share a signature are a bucket, and `stars` finds the links in it: exact checks on full sets, no pairs of a group of
-copies.
+Sets that share a signature are a bucket. In buckets of up to `FEW` sets all pairs are compared, first by how many shingles they
+have in each part of the domain (these counts differ by no more than the sets do, so no link is lost), then by the full
+sets. In larger ones `stars` finds the links by full sets, without the pairs of a group of copies.
 
-Scale. Texts are read twice where they lie: for ids and keys, and for signatures, of equal texts in a task only once. The
-signatures (about 0.6 a shingle, 24 bytes each) move once and are sorted by signature, size and key, so that a bucket's
-smallest set comes first and stars are read off in one stream, whatever the bucket's size. Only the texts of sets that
-share a signature move, once, by id. A class of equal sets of more than a thousandth of all rows is joined by broadcast (a
-thousand at most).
+Scale. Texts are read twice where they lie: for ids, keys and counts, and for signatures, of equal texts in a task only
+once. The signatures (about 0.6 a shingle, 24 bytes each) move once and are sorted by signature, size and key, so that a
+bucket's smallest set comes first and pairs and stars are read off in one stream, whatever the bucket's size. Only the texts
+of sets that come through the counts or are in large buckets move, once, by id. A class of equal sets of more than a thousandth of
+all rows is joined by broadcast (a thousand at most).
 
 Defined cases: texts without words have an empty set and are linked with nothing; texts of fewer words than a shingle
 have one; rows of one id are linked with each other, and each has the size of its own set; a row with a null id is
@@ -47,7 +48,7 @@ from noticeboard.llm.common import STEP, U, map_arrow, mixed, ship, stored, tabl
 from noticeboard.llm.neardup import SHINGLE, _per_row, all_shingles
 
 #: partitions for every choice of all but k of them; from which k on partitions stand alone, and how many more than k
-CHOICES, SINGLE, MORE = {1: 3, 2: 5, 3: 6, 4: 7}, 24, 1.2
+CHOICES, SINGLE, MORE, FEW = {1: 3, 2: 5, 3: 6, 4: 7}, 24, 1.2, 12
 
 
 class Bands:
@@ -119,18 +120,33 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def counts(s: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each of so many parts of the domain that some eight come to a part."""
+    parts = 1 << min(10, max(3, (len(s) // 8).bit_length()))
+    return np.bincount((s >> U(65 - parts.bit_length())).astype(np.int64), minlength=parts).astype(np.uint32).tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the counts of two sets differ by more than similar sets can."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = x.reshape(len(y), -1).sum(axis=1)
+    return (100 + percent) * int(np.abs(x.astype(np.int64) - y).sum()) > (100 - percent) * int(x.sum() + y.sum())
+
+
 def _named(docs: DataFrame, k: int) -> DataFrame:
-    """id, n, key and short key (null for an empty set), of every row."""
+    """id, n, key, short key and counts (null for an empty set), of every row."""
 
     def run(b: pa.RecordBatch) -> list:
-        n, keys = [], []
+        n, keys, parts = [], [], []
         for i in range(0, b.num_rows, 64):
             for s in all_shingles(b.column(1).slice(i, 64).to_pylist(), k):
                 n.append(len(s))
                 keys.append(_key(s) if len(s) else None)
-        return [b.column(0), n, keys, [x and _short(x) for x in keys]]
+                parts.append(counts(s) if len(s) else None)
+        return [b.column(0), n, keys, [x and _short(x) for x in keys], parts]
 
-    return stored(map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, key binary, short bigint"), "named")
+    return stored(map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, key binary, short bigint, counts binary"), "named")
 
 
 def _signed(docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -157,39 +173,81 @@ def _signed(docs: DataFrame, percent: int, k: int) -> DataFrame:
     return rows.select("short", "n", F.explode("signatures").alias("signature"))
 
 
-def _stars(signed: DataFrame) -> DataFrame:
-    """pivot, id (short keys): for each signature the smallest set that has it, and every other."""
+def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (signature, short), sorted: a, b, whether the bucket is large. Of small buckets all pairs, of large ones each set with the first."""
+    now, held, large = None, np.zeros(0, np.int64), False  # the bucket that the last batch ended in: its sets, or of a large one the first
+
+    def rows(a: np.ndarray, b: np.ndarray, big: bool) -> np.ndarray:
+        return np.c_[a, b, np.full(len(a), int(big))]
+
+    def pairs(who: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for n in range(2, FEW + 1):
+            at = starts[sizes == n]
+            out += [rows(who[at + i], who[at + j], False) for i in range(n) for j in range(i + 1, n)] if len(at) else []
+        return out
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at, who = (b.column(i).to_numpy() for i in (0, 1))
+        starts = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1]
+        sizes = np.diff(np.r_[starts, len(at)])
+        out = []
+        if at[0] == now:
+            mine = who[: sizes[0]]
+            if not large and len(held) + len(mine) > FEW:
+                out.append(rows(np.full(len(held) - 1, held[0]), held[1:], True))
+                held, large = held[:1], True
+            if large:
+                out.append(rows(np.full(len(mine), held[0]), mine, True))
+            else:
+                held = np.r_[held, mine]
+            starts, sizes = starts[1:], sizes[1:]
+        if len(starts):
+            out += pairs(held, np.zeros(1, np.int64), np.array([len(held)])) if now is not None and not large else []
+            now, last, large = at[-1], who[starts[-1] :], sizes[-1] > FEW
+            out += [rows(np.full(len(last) - 1, last[0]), last[1:], True)] if large else []
+            held = last[:1] if large else last
+            starts, sizes = starts[:-1], sizes[:-1]
+            big = sizes > FEW
+            first = np.repeat(who[starts[big]], sizes[big] - 1)
+            places = np.concatenate([np.arange(s + 1, s + n) for s, n in zip(starts[big], sizes[big], strict=True)]) if big.any() else np.zeros(0, np.int64)
+            out += [*pairs(who, starts, sizes), rows(first, who[places], True)]
+        found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2] == 1)], names=["a", "b", "large"])
+    if now is not None and not large and len(held) > 1:
+        found = np.unique(np.concatenate(pairs(held, np.zeros(1, np.int64), np.array([len(held)]))), axis=0)
+        found = found[found[:, 0] != found[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.zeros(len(found), bool))], names=["a", "b", "large"])
+
+
+def _met(signed: DataFrame) -> DataFrame:
+    """a, b (short keys), large: the pairs and stars of all buckets; a isn't the larger set."""
     dealt = signed.repartition("signature").sortWithinPartitions("signature", "n", "short")
+    return stored(dealt.select("signature", "short").mapInArrow(_read_off, "a bigint, b bigint, large boolean").distinct(), "met")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pivot = None, None  # of the bucket that the last batch ended in
-        for b in batches:
-            if not b.num_rows:
-                continue
-            at, who = (b.column(i).to_numpy() for i in (0, 1))
-            starts = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1]
-            first = who[starts].copy()
-            if now is not None and at[0] == now:
-                first[0] = pivot
-            pivots = np.repeat(first, np.diff(np.r_[starts, len(at)]))
-            now, pivot = at[-1], first[-1]
-            other = pivots != who
-            pairs = np.unique(np.c_[pivots[other], who[other]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "id"])
-
-    return stored(dealt.select("signature", "short").mapInArrow(run, "pivot bigint, id bigint").distinct(), "stars")
+
+def _near(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, counts x, y) those that the counts don't keep apart."""
+
+    def run(b: pa.RecordBatch) -> list:
+        keep = [not apart(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        return [b.column(0), b.column(1), keep]
+
+    return map_arrow(pairs, run, "a binary, b binary, near boolean").filter("near").select("a", "b")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """short, id (the key), set of the rows of these ids. The texts move once, by id."""
+    """id (the key), set of the rows of these ids. The texts move once, by id."""
     texts = docs.join(ids.hint("merge"), "id", "left_semi")
 
     def run(b: pa.RecordBatch) -> list:
         sets = [s for s in all_shingles(b.column(0).to_pylist(), k) if len(s)]
-        keys = [_key(s) for s in sets]
-        return [[_short(x) for x in keys], keys, [s.tobytes() for s in sets]]
+        return [[_key(s) for s in sets], [s.tobytes() for s in sets]]
 
-    return stored(map_arrow(texts.select("text"), run, "short bigint, id binary, set binary").dropDuplicates(["id"]), "sets")
+    return stored(map_arrow(texts.select("text"), run, "id binary, set binary").dropDuplicates(["id"]), "sets")
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = SHINGLE) -> DataFrame:
@@ -197,18 +255,20 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     named = _named(docs, k)
     full = named.filter("key is not null and id is not null")
-    classes = stored(full.groupBy("key").agg(F.min("id").alias("id"), F.min("short").alias("short"), F.count("*").alias("rows")), "classes")
+    classes = stored(full.groupBy("key").agg(F.min("id").alias("id"), F.min("short").alias("short"), F.min("counts").alias("counts"), F.count("*").alias("rows")), "classes")
     several = full.groupBy("id").agg(F.min("key").alias("b"), F.max("key").alias("most")).filter("b != most").select("id", "b")
     of_one_id = full.join(several.hint("merge"), "id").filter("key != b").select(F.col("key").alias("a"), "b").distinct()
 
-    found = _stars(_signed(docs, percent, k))
-    shorts = found.select("id").unionByName(found.select(F.col("pivot").alias("id"))).distinct()
-    ids = classes.join(shorts.select(F.col("id").alias("short")).hint("merge"), "short", "left_semi").select("id")
-    sets = _sets(docs, ids, k)
-    keys = stored(sets.select("short", F.col("id").alias("key")), "keys")
-    long = found.join(keys.select(F.col("short").alias("id"), "key").hint("merge"), "id").select("pivot", F.col("key").alias("id"))
-    long = stored(long.join(keys.select(F.col("short").alias("pivot"), "key").hint("merge"), "pivot").select(F.col("key").alias("pivot"), "id"), "stars")
-    groups = stars.linked(long, sets.select("id", "set"), of_one_id, percent)
+    met = _met(_signed(docs, percent, k))
+    one, other = classes.select(F.col("short").alias("a"), F.col("key").alias("ka"), F.col("counts").alias("x")), classes.select(F.col("short").alias("b"), F.col("key").alias("kb"), F.col("counts").alias("y"))
+    small = met.filter("not large").select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b")
+    near = stored(_near(small.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "x", "y"), percent), "near")
+    large = met.filter("large").select("a", "b").join(one.select("a", "ka").hint("merge"), "a").join(other.select("b", "kb").hint("merge"), "b")
+    large = stored(large.select(F.col("ka").alias("pivot"), F.col("kb").alias("id")), "stars")
+    keys = near.select("a").unionByName(near.select(F.col("b").alias("a"))).unionByName(large.select(F.col("pivot").alias("a"))).unionByName(large.select(F.col("id").alias("a"))).distinct()
+    sets = _sets(docs, classes.join(keys.withColumnRenamed("a", "key").hint("merge"), "key", "left_semi").select("id"), k)
+    links = stored(stars.confirmed(sets, near, percent).unionByName(of_one_id), "links")
+    groups = stars.linked(large, sets, links, percent)
 
     to = stored(classes.join(groups.select(F.col("id").alias("key"), "component").hint("merge"), "key", "left").select("key", "id", "rows", F.coalesce("component", "key").alias("component")), "classes")
     least = to.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -10,6 +10,9 @@ are enough (a prefix filter). The order is by how often a shingle occurs, told f
 what many members share comes last and is mostly left out. Buckets of up to `FEW` members are compared in full, by pairs of different
 components; what is still larger after `LEVELS` steps is compared in full too.
 
+Copies of a text cost rows in proportion to their number. Texts that are near to a template, of many lengths, and mostly not near to
+each other cost more: 8,464 rows for 150 such texts and 26,837 for 300 (all pairs are 11,175 and 44,850).
+
 A hot pivot's set is dealt out to as many salts as its members need; all joins of sets are sort-merge joins. Nothing but
 the checksums of `components` reaches the driver.
 """
@@ -128,6 +131,8 @@ def linked(stars: DataFrame, sets: DataFrame, links: DataFrame, percent: int) ->
 
     A pivot must not be larger than its members. sets: id, set (sorted 64-bit hashes as bytes, not empty).
     """
+    if stars.isEmpty():
+        return components(links)
     often = frequencies(sets)
     for level in range(LEVELS + 1):
         met = meet(stars, sets, percent, often)
