@@ -8,13 +8,13 @@ that holds for it, so edges can come from each rule on its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from noticeboard.functions.text import fingerprint, folded_title, key_url
 from noticeboard.plans.profile import RuleProfile
 from noticeboard.schema import DUPLICATE_REASONS
-from noticeboard.sources.tables import stored
+from noticeboard.sources.tables import discard, stored
 
 
 def keyed(posts: DataFrame, profile: RuleProfile | None = None, full_fold: bool = True) -> DataFrame:
@@ -45,18 +45,20 @@ def edges(keys: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Id, root (least id) for all ids in links (a, b). Large-star and small-star until nothing moves."""
-    e = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    last = mark(e)
+    """Id, root (least id) for all ids in links (a, b). Large-star and small-star until nothing moves.
+
+    Each round's links are a table; their number and checksum come along with the writing, and the round before is deleted.
+    """
+    e, last = _observed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         top = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(top, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(top, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
-        e = stored(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = mark(e)
+        before = e
+        e, now = _observed(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        discard(before)
         if now == last:
             break
         last = now
@@ -65,6 +67,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, with their number and checksum."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+    out = stored(edges.observe(seen, *sums), "edges")
+    return out, (seen.get["n"], seen.get["sum"])
+
+
 def completeness(*values: Column) -> Column:
     """Over the named attributes of a child: 1 and one for each that is there (the caller gives null for no child)."""
     total = F.lit(1)
