@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from noticeboard.plans import queries as q
-from noticeboard.plans import records  # noqa: F401  adds its queries
+from noticeboard.plans import records, upkeep  # noqa: F401  add their queries
 from noticeboard.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
