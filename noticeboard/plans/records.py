@@ -257,6 +257,20 @@ def model_output(spark, d):
     return r.select("event_id", "event_type", "tracking_priority", "should_track", F.array_join(text.string_list(F.col("tags_json")), "|").alias("tags"), "school_name")
 
 
+@query("""WITH d AS (SELECT doc_id, lang, source, string_split(text, chr(10))[1] AS title, n_chars, list_filter([trim(lang), trim(source), trim(string_split(text, chr(10))[1]), CAST(n_chars AS VARCHAR), 'True', trim(source)], x -> x IS NOT NULL AND x <> '') AS v FROM documents)
+SELECT doc_id, list_aggregate(v, 'string_agg', '|') AS texts FROM d""".replace("x -> x", "lambda x: x"))
+def nested_texts(spark, d):
+    """the texts of JSON that is nested ten deep, in order."""
+    text_of = lambda c: F.to_json(F.struct(c.alias("v")))  # noqa: E731  escaped as JSON
+    t = table(spark, d, "documents")
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    value = lambda c: F.regexp_extract(text_of(c), r'(?s)^\{"v":(.*)\}$', 1)
+    v = [F.coalesce(F.nullif(value(c), F.lit("")), F.lit("null")) for c in (F.col("lang"), F.col("source"), title)]
+    deep = F.concat(F.lit("[" * 6), v[2], F.lit(', {"a": {"b": '), F.coalesce(F.col("n_chars").cast("string"), F.lit("null")), F.lit(', "c": [true, null, {"d": '), v[1], F.lit("}]}}"), F.lit("]" * 6))
+    raw = F.concat(F.lit('{"x": '), v[0], F.lit(', "y": {"z": ['), v[1], F.lit(", "), deep, F.lit("]}}"))
+    return t.select("doc_id", F.array_join(text.flattened(raw), "|").alias("texts"))
+
+
 def _by_rules(spark, d):
     return lambda df: analysis.rule_analysis(df, _fields(spark, d), _attachments(spark, d), P)
 
