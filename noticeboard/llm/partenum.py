@@ -120,20 +120,6 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def counts(s: np.ndarray) -> bytes:
-    """How many of a set's hashes lie in each of so many parts of the domain that some eight come to a part."""
-    parts = 1 << min(10, max(3, (len(s) // 8).bit_length()))
-    return np.bincount((s >> U(65 - parts.bit_length())).astype(np.int64), minlength=parts).astype(np.uint32).tobytes()
-
-
-def apart(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether the counts of two sets differ by more than similar sets can."""
-    if len(x) < len(y):
-        x, y = y, x
-    x = x.reshape(len(y), -1).sum(axis=1)
-    return (100 + percent) * int(np.abs(x.astype(np.int64) - y).sum()) > (100 - percent) * int(x.sum() + y.sum())
-
-
 def _named(docs: DataFrame, k: int) -> DataFrame:
     """id, n, key, short key and counts (null for an empty set), of every row."""
 
@@ -143,7 +129,7 @@ def _named(docs: DataFrame, k: int) -> DataFrame:
             for s in all_shingles(b.column(1).slice(i, 64).to_pylist(), k):
                 n.append(len(s))
                 keys.append(_key(s) if len(s) else None)
-                parts.append(counts(s) if len(s) else None)
+                parts.append(stars.counts(s) if len(s) else None)
         return [b.column(0), n, keys, [x and _short(x) for x in keys], parts]
 
     return stored(map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, key binary, short bigint, counts binary"), "named")
@@ -229,25 +215,15 @@ def _met(signed: DataFrame) -> DataFrame:
     return stored(dealt.select("signature", "short").mapInArrow(_read_off, "a bigint, b bigint, large boolean").distinct(), "met")
 
 
-def _near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, counts x, y) those that the counts don't keep apart."""
-
-    def run(b: pa.RecordBatch) -> list:
-        keep = [not apart(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
-        return [b.column(0), b.column(1), keep]
-
-    return map_arrow(pairs, run, "a binary, b binary, near boolean").filter("near").select("a", "b")
-
-
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id (the key), set of the rows of these ids. The texts move once, by id."""
+    """id (the key), set and counts of the rows of these ids. The texts move once, by id."""
     texts = docs.join(ids.hint("merge"), "id", "left_semi")
 
     def run(b: pa.RecordBatch) -> list:
         sets = [s for s in all_shingles(b.column(0).to_pylist(), k) if len(s)]
-        return [[_key(s) for s in sets], [s.tobytes() for s in sets]]
+        return [[_key(s) for s in sets], [s.tobytes() for s in sets], [stars.counts(s) for s in sets]]
 
-    return stored(map_arrow(texts.select("text"), run, "id binary, set binary").dropDuplicates(["id"]), "sets")
+    return stored(map_arrow(texts.select("text"), run, "id binary, set binary, counts binary").dropDuplicates(["id"]), "sets")
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = SHINGLE) -> DataFrame:
@@ -262,7 +238,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     met = _met(_signed(docs, percent, k))
     one, other = classes.select(F.col("short").alias("a"), F.col("key").alias("ka"), F.col("counts").alias("x")), classes.select(F.col("short").alias("b"), F.col("key").alias("kb"), F.col("counts").alias("y"))
     small = met.filter("not large").select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b")
-    near = stored(_near(small.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "x", "y"), percent), "near")
+    near = stored(stars.not_apart(small.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "x", "y"), percent), "near")
     large = met.filter("large").select("a", "b").join(one.select("a", "ka").hint("merge"), "a").join(other.select("b", "kb").hint("merge"), "b")
     large = stored(large.select(F.col("ka").alias("pivot"), F.col("kb").alias("id")), "stars")
     keys = near.select("a").unionByName(near.select(F.col("b").alias("a"))).unionByName(large.select(F.col("pivot").alias("a"))).unionByName(large.select(F.col("id").alias("a"))).distinct()

@@ -28,7 +28,7 @@ from noticeboard.llm.common import U, map_arrow, stored
 from noticeboard.llm.components import components
 from noticeboard.llm.vectors import sums
 
-FEW, LEVELS, LOT, SLOTS = 64, 2, 256, 1 << 16
+FEW, LEVELS, LOT, SLOTS = 64, 1, 256, 1 << 16
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -36,6 +36,33 @@ def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
+def counts(s: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each of so many parts of the domain that some two to four come to a part (no part counts beyond 255: then there is one part)."""
+    parts = 1 << min(12, max(3, (len(s) // 4).bit_length()))
+    n = np.bincount((s >> U(65 - parts.bit_length())).astype(np.int64), minlength=parts)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
+
+
+def apart(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether the counts of two sets differ by more than similar sets can. They differ by no more than the sets do, so no link is lost."""
+    if len(x) < len(y):
+        x, y = y, x
+    if not y:
+        return False
+    a, b = np.frombuffer(x, np.uint8).reshape(len(y), -1).sum(axis=1, dtype=np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    return (100 + percent) * int(np.abs(a - b).sum()) > (100 - percent) * int(a.sum() + b.sum())
+
+
+def not_apart(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, counts x, y) those that their counts don't keep apart."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(b: pa.RecordBatch) -> list:
+        return [b.column(0), b.column(1), [not apart(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]]
+
+    return map_arrow(pairs.select("a", "b", "x", "y"), run, f"a {kind}, b {kind}, near boolean").filter("near").select("a", "b")
+
+
 def _slot(x: np.ndarray) -> np.ndarray:
     return (x >> U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
@@ -72,7 +99,8 @@ def meet(stars: DataFrame, sets: DataFrame, percent: int, often: np.ndarray) ->
             linked.append(100 * common >= percent * (len(x) + len(y) - common))
             if several:
                 beyond = x[~has]
-                least = max(1, -(-percent * (len(x) + len(y)) // (100 + percent)) - common)  # with whomever it is linked
+                smallest_other = max(len(y), -(-percent * len(x) // 100))
+                least = max(1, -(-percent * (len(x) + smallest_other) // (100 + percent)) - common)  # with whomever it is linked
                 order = np.lexsort((beyond, often[_slot(beyond)]))
                 lacks.append(beyond[order[: max(0, len(beyond) - least + 1)]].view(np.int64))
             else:
@@ -129,7 +157,7 @@ def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
 def linked(stars: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """The components (id, component) of links (a, b) and of all links among the members of stars (pivot, id).
 
-    A pivot must not be larger than its members. sets: id, set (sorted 64-bit hashes as bytes, not empty).
+    A pivot must not be larger than its members. sets: id, set (sorted 64-bit hashes as bytes, not empty), counts.
     """
     if stars.isEmpty():
         return components(links)
@@ -141,7 +169,9 @@ def linked(stars: DataFrame, sets: DataFrame, links: DataFrame, percent: int) ->
         beyond = _beyond_pivots(met, groups)
         if beyond.isEmpty():
             return groups
-        pairs = stored(_pairs(beyond if level == LEVELS else beyond.filter(f"size <= {FEW}"), percent), "pairs")
+        pairs = _pairs(beyond if level == LEVELS else beyond.filter(f"size <= {FEW}"), percent)
+        x, y = sets.select(F.col("id").alias("a"), F.col("counts").alias("x")), sets.select(F.col("id").alias("b"), F.col("counts").alias("y"))
+        pairs = stored(not_apart(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b"), percent), "pairs")
         links = links.unionByName(stored(confirmed(sets, pairs, percent), "links"))
         stars = stored(smallest(beyond.filter(f"size > {FEW}")), "stars")
         if level == LEVELS or stars.isEmpty():
