@@ -109,14 +109,20 @@ def fields(posts: DataFrame, profile: RuleProfile, *, id_col: str = "id") -> Dat
     return out.select("post_id", "f.field_name", "f.field_value").filter("field_value is not null")
 
 
+def with_role(c: Column, patterns: tuple[str, ...], p: RuleProfile) -> Column:
+    """Whether c matches any of the patterns, all of which hold the role's name: only texts with the name are matched at all."""
+    return F.contains(c, F.lit(p.role)) & matches_any(c, patterns)
+
+
 def position(title: Column, content: Column, p: RuleProfile) -> Column:
     """struct(matched, confidence), title before body, in the order of the rules."""
     t, b = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
     out = lambda m, s: F.struct(F.lit(m).alias("matched"), F.lit(s).cast("double").alias("confidence"))
     return (
-        F.when(matches_any(t, p.role_exclude), out(False, 0.0))
+        F.when(with_role(t, p.role_exclude, p), out(False, 0.0))
         .when(F.contains(t, F.lit(p.dedicated_role)), out(True, 1.0))
         .when(F.contains(t, F.lit(p.role)), out(True, 0.8))
+        .when(~F.contains(b, F.lit(p.role)), out(False, 0.0))
         .when(matches_any(b, p.role_exclude), out(False, 0.0))
         .when(matches_any(b, p.body_exclude), out(False, 0.0))
         .when(matches_any(b, p.body_include) & F.contains(b, F.lit(p.dedicated_role)), out(True, 0.8))

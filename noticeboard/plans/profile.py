@@ -56,6 +56,7 @@ class RuleProfile:
     inline_noise: tuple[str, ...] = ()
     role: str = ""
     dedicated_role: str = ""
+    # what these match must hold the role's name
     role_exclude: tuple[str, ...] = ()
     body_include: tuple[str, ...] = ()
     body_exclude: tuple[str, ...] = ()

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from noticeboard.operators import incremental, upserts
-from noticeboard.plans.queries import _DUP, POSTS, _dup_keys, query
+from noticeboard.operators import incremental, search, upserts
+from noticeboard.plans.queries import _DUP, POSTS, _dup_keys, posts, query
 from noticeboard.sources.tables import shared_dir, table
 from noticeboard.streaming import ingest, state
 
@@ -74,3 +74,22 @@ def ledger_folded(spark, d):
     once()
     return fold.table().select("key", "n", F.unix_micros("first").alias("first_us"), "last_event", "status")
 
+
+
+_KEYWORDS = (("Licensed", False), ("password", False), ("to_en%=", True), ("@mail", False), ("e t", False), ("xq", False), ("no such phrase at all", False), ("100%", False), ("reserved", False))
+_LIKE = " UNION ALL ".join(f"SELECT '{k}' AS keyword, id FROM posts WHERE " + (f"title ILIKE '%{k}%' OR content ILIKE '%{k}%'" if w else f"contains(lower(title), '{k.lower()}') OR contains(lower(content), '{k.lower()}')") for k, w in _KEYWORDS)
+
+
+@query(f"WITH {POSTS} {_LIKE}")
+def search_by_index(spark, d):
+    """What keywords of several kinds find through an index that two batches made."""
+    p = posts(spark, d)
+    index = search.SearchIndex(spark, _folder(spark, "search"), buckets=16)
+    later = table(spark, d, "labels").select("doc_id").distinct()
+    index.add(0, p.join(later, F.col("id") == F.col("doc_id"), "left_anti"))
+    index.add(1, p.join(later, F.col("id") == F.col("doc_id"), "left_semi"))
+    found = [index.search(p.select("id", "title", "content"), k, wildcards=w).select(F.lit(k).alias("keyword"), "id") for k, w in _KEYWORDS]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
