@@ -9,9 +9,9 @@ A surrogate depends on the key, the kind and the entity alone, so an entity has
 (coreference), and a name's words have theirs alone. It is made by a keyed permutation of all entities of the same
 format (letter case, script, digits, punctuation, length; country code; private or public network; check digit; gender
 and script of a given name), so two entities never share a surrogate and none is its own. The permutation is one cycle
-through the format's entities: a Feistel network f over mixed-radix digits, and f(f^-1(x) + 1) as surrogate; steps on
-until the class (such as "public network") is kept. What is written is still checked: were two entities to have one
-surrogate, all are made anew under another tweak. An entity that is the only one of its format becomes a keyed tag
+through the format's entities: a Feistel network f over mixed-radix digits, and f(f^-1(x) + 1) as surrogate (a single
+character or a listed name goes by the order of keyed hashes); steps on until the class (such as "public network", or
+"not a listed name") is kept. So no two entities can share a surrogate; that is checked all the same. An entity that is the only one of its format becomes a keyed tag
 such as ``name-1f0c...``.
 
 Defined cases: a null text stays null, an empty one empty; a very long text is read whole, in one task; repeated rows
@@ -95,8 +95,21 @@ def _feistel(x: int, a: int, b: int, key: bytes, tweak: str, back: bool = False)
     return u * b + v
 
 
+@lru_cache(maxsize=4096)
+def _order(n: int, key: bytes, tweak: str) -> tuple[list[int], list[int]]:
+    """range(n) in the order of keyed hashes, and where each number is."""
+    order = sorted(range(n), key=lambda x: (_round(key, tweak, 10, x), x))
+    place = [0] * n
+    for i, x in enumerate(order):
+        place[x] = i
+    return order, place
+
+
 def cycle(x: int, radices: list[int], key: bytes, tweak: str) -> int:
     """The element after x in a keyed cycle through all numbers under the product of the radices."""
+    if len(radices) == 1:  # too few for a network, whose parts would be one: shuffled by keyed hashes instead
+        order, place = _order(radices[0], key, tweak)
+        return order[(place[x] + 1) % radices[0]]
     total = 1
     for r in radices:
         total *= r
@@ -187,11 +200,14 @@ def _phone(s: str, key: bytes, tweak: str) -> str:
 
 
 def _word(s: str, key: bytes, tweak: str) -> str:
-    """A word of a name; a name of the list turns into another one of its group."""
+    """A word of a name; a name of the list turns into another one of its group, any other word into one that isn't listed."""
     if s in TITLES:
         return s
     if s not in _GIVEN:
-        return reformed(s, key, f"{tweak}|word")
+        new = reformed(s, key, f"{tweak}|word")
+        while new in _CHEAP:  # on past listed names and titles, so that no other word lands on a surrogate of theirs
+            new = reformed(new, key, f"{tweak}|word")
+        return new
     group, i = _GIVEN[s]
     return NAMES[group][cycle(i, [len(NAMES[group])], key, f"{tweak}|{group}")]
 
@@ -280,13 +296,11 @@ def collisions(found: DataFrame, key: bytes = KEY, tweak: int = 0) -> DataFrame:
     return made.groupBy("surrogate").agg(F.min("kind").alias("kind"), F.min("entity").alias("one"), F.max("entity").alias("other")).filter("one != other or one = surrogate")
 
 
-def safe_tweak(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY, tries: int = 4) -> int:
-    """The first tweak under which no two entities of the texts share a surrogate (one pass over the texts)."""
+def confirm(docs: DataFrame, *, text_col: str = "text", key: bytes) -> None:
+    """Check that no two entities of the texts share a surrogate. By the way these are made none can; only keyed tags could, by a collision of 64-bit hashes."""
     found = stored(entities(docs, text_col=text_col), "entities")
-    for tweak in range(tries):
-        if collisions(found, key, tweak).isEmpty():
-            return tweak
-    raise RuntimeError("surrogates collide under every tweak")
+    if not collisions(found, key).isEmpty():
+        raise RuntimeError("two entities share a surrogate")
 
 
 def rewrite(text: str | None, key: bytes = KEY, tweak: int = 0) -> tuple[str | None, list[tuple[int, int, str]]]:
@@ -302,14 +316,15 @@ def rewrite(text: str | None, key: bytes = KEY, tweak: int = 0) -> tuple[str | N
 KIND = "struct<text:string,spans:array<struct<kind:string,start:int,end:int>>>"
 
 
-def replaced(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY, name: str = "pii") -> DataFrame:
+def replaced(docs: DataFrame, *, key: bytes, text_col: str = "text", name: str = "pii") -> DataFrame:
     """docs with a column of the text with surrogates and the entities' spans. No shuffle but of distinct entities."""
-    name, tweak = free_name(docs, name), safe_tweak(docs, text_col=text_col, key=key)
+    name = free_name(docs, name)
+    confirm(docs, text_col=text_col, key=key)
 
     def run(b: pa.RecordBatch) -> list:
         out = []
         for t in b.column(b.schema.get_field_index(text_col)).to_pylist():
-            new, spans = rewrite(t, key, tweak)
+            new, spans = rewrite(t, key)
             out.append({"text": new, "spans": [{"kind": k, "start": a, "end": e} for a, e, k in spans]})
         return [out]
 
@@ -318,7 +333,7 @@ def replaced(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY, name:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """doc_id, text with surrogates, counts by kind, spans (kind:start:end of the old text)."""
-    p = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    p = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), key=KEY)
     s = F.col("pii.spans")
     count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]

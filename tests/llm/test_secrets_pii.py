@@ -79,11 +79,11 @@ def test_rewrite():
 
 def test_pii_of_all_cases(spark):
     rows = [*cases.texts(), (60, "mail a.b@c.example.com"), (61, "mail a.b@c.example.com twice a.b@c.example.com")]
-    got = {r.doc_id: r.out for r in pii.replaced(cases.table(spark, rows), name="out").collect()}
+    got = {r.doc_id: r.out for r in pii.replaced(cases.table(spark, rows), key=pii.KEY, name="out").collect()}
     assert got[33].text is None and got[34].text == "" and got[30].text == dict(rows)[30]
     assert len(set(re.findall(r"\S+@\S+", got[60].text + " " + got[61].text))) == 1
     assert pii.collisions(pii.entities(cases.table(spark, rows))).count() == 0
-    assert pii.replaced(cases.empty(spark)).count() == 0
+    assert pii.replaced(cases.empty(spark), key=pii.KEY).count() == 0
 
 
 def test_novelty_of_letters_and_before_the_word():
@@ -183,7 +183,7 @@ def test_planted_entities_are_found_and_kept_apart(spark):
         own = [f"{word(2)}.{word(2)}@{word(3)}.org", f"Dr. {word(3).capitalize()}", f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10000):04d}", f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}"]
         made |= set(own)
         rows.append((i, cases.prose(rng, 10) + " so " + " and ".join(own) + " so " + cases.prose(rng, 10)))
-    got = pii.replaced(cases.table(spark, rows), name="out").collect()
+    got = pii.replaced(cases.table(spark, rows), key=pii.KEY, name="out").collect()
     texts = dict(rows)
     found = {texts[r.doc_id][s.start : s.end] for r in got for s in r.out.spans}
     assert found == made
@@ -203,3 +203,25 @@ def test_novelty_recall_and_precision():
             assert sum(hit(t, s) for s in made for t in [around(s)]) >= 57, (alphabet, n)
     plain = ["_".join(rng.choice(cases.WORDS) for _ in range(rng.randint(4, 8))) for _ in range(60)] + ["_".join(rng.choice(secrets.PARTS) for _ in range(rng.randint(3, 6))) for _ in range(60)]
     assert sum(hit(t, s) for s in plain for t in [around(s)]) <= 3
+
+
+def test_other_words_pass_by_listed_names(spark):
+    """All words of a short format, listed ones among them: every surrogate is another's, and the job doesn't stop."""
+    import itertools
+
+    rows = [(i, t) for i, t in enumerate(["Mr Mei", "Mr Kcano", "Mr Nzufi", "Mr Rhebu", "Mr Qsaco"])]
+    assert len({r.swapped.text for r in pii.replaced(cases.table(spark, rows), key=b"k", name="swapped").collect()}) == 5
+    for key in (b"one", b"two"):
+        words = ["".join(w) for w in itertools.product("BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "aeiou")]
+        assert any(w in pii._GIVEN for w in words)
+        made = [pii._word(w, key, "name|0") for w in words]
+        assert len(set(made)) == len(words) and all((m in pii._GIVEN) == (w in pii._GIVEN) for m, w in zip(made, words, strict=True)) and all(m != w for m, w in zip(made, words, strict=True))
+
+
+def test_keys_give_different_names_and_digits():
+    one, two = ({n: pii._word(n, k, "name|0") for n in pii._GIVEN} for k in (b"one", b"two"))
+    assert sum(one[n] != two[n] for n in one) > 0.8 * len(one) and all(one[n] != n for n in one) and len(set(one.values())) == len(one)
+    following = sum(pii.NAMES[g][(i + 1) % len(pii.NAMES[g])] == one[n] for n, (g, i) in pii._GIVEN.items())
+    assert following < 0.3 * len(one)
+    digits = {k: [pii.cycle(d, [10], k, "t") for d in range(10)] for k in (b"one", b"two", b"three")}
+    assert len({tuple(v) for v in digits.values()}) == 3 and all(sorted(v) == list(range(10)) for v in digits.values())
