@@ -620,3 +620,31 @@ def list_records(spark, d):
     kept = pages.list_records(made.withColumn("url", F.col("page_id").cast("string")), F.current_timestamp(), wrapped=False).groupBy(F.col("page_url").cast("bigint").alias("_p")).agg(F.count("*").alias("_n"))
     j = counts.join(kept, F.col("page_id") == F.col("_p"), "left")
     return j.filter(F.col("n_records") - F.col("n_skipped") == F.coalesce("_n", F.lit(0))).select("page_id", "n_records", "n_skipped", "no_datastore")
+
+
+_SHARE = "CASE lang WHEN 'en' THEN {} WHEN 'de' THEN {} ELSE {} END"
+_NOTICE = "WITH d AS (SELECT doc_id, lang, source, CAST(length(coalesce(text, '')) % 60 + 1 AS VARCHAR) AS n, CAST(20 + length(coalesce(text, '')) % 30 AS VARCHAR) AS age, CAST(10 + length(coalesce(text, '')) % 20 AS VARCHAR) AS day FROM documents)"
+_FOUND = {"专业要求": "source", "工作地点": "source || '市'", "招聘人数": "n || '人'", "报名时间": "'2024-03-01 至 2024-03-' || day", "性别要求": _SHARE.format("'男'", "'女'", "'不限'"), "学历要求": _SHARE.format("'博士'", "'硕士'", "'专科'"), "年龄要求": _SHARE.format("age || '岁以下'", "'18-' || age || '岁'", "age || '岁以下'"), "政治面貌": _SHARE.format("'中共党员'", "NULL", "'党员'"), "限制": _SHARE.format("'男'", "'女'", "'不限'")}
+
+
+@query(f"{_NOTICE} SELECT post_id, field_name, field_value FROM ({' UNION ALL '.join(f"SELECT doc_id AS post_id, '{k}' AS field_name, {v} AS field_value FROM d" for k, v in _FOUND.items())}) WHERE field_value IS NOT NULL")
+def notice_fields(spark, d):
+    """The fields of recruitment notices, by all rules of their profile; the notices are made of each document's values, around its text."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    number = lambda c: c.cast("string")
+    by_lang = lambda a, b, c: F.when(F.col("lang") == "en", a).when(F.col("lang") == "de", b).otherwise(c)
+    age = number(20 + n % 30)
+    lines = [
+        F.concat(F.lit("性别："), by_lang("限男性", "限女性", "男女不限")),
+        F.concat(F.lit("学历："), by_lang("博士研究生", "硕士及以上", "大专")),
+        F.concat(F.lit("专业： 、"), F.col("source"), F.lit("专业")),
+        F.concat(F.lit("工作地点：位于"), F.col("source"), F.lit("市")),
+        F.concat(F.lit("招聘人数： "), number(n % 60 + 1), F.lit("名")),
+        F.concat(F.lit("报名时间：2024-03-01 至 2024-03-"), number(10 + n % 20)),
+        by_lang(F.concat(F.lit("年龄："), age, F.lit("周岁及以下")), F.concat(F.lit("18-"), age, F.lit("周岁")), F.concat(F.lit("不超过"), age, F.lit("岁"))),
+        F.concat(F.lit("政治面貌："), by_lang("中共党员", "群众", "须为党员")),
+        F.coalesce("text", F.lit("")),
+    ]
+    notices = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), F.concat_ws("\n", *lines).alias("content"))
+    limits = notices.select(F.col("id").alias("post_id"), F.lit("限制").alias("field_name"), classify.gender_restriction(F.col("content")).alias("field_value"))
+    return classify.fields(notices, ZH).unionByName(limits)
