@@ -1,7 +1,8 @@
 """Links among the members of buckets, without all pairs: each bucket is a star around its smallest set.
 
-Nodes are sets of shingles; a star is a bucket's smallest set (its pivot) and the others. Every other member meets the
-pivot alone; buckets of one pivot count as one. What remains are pairs of members that the pivot doesn't connect. Let x be
+Nodes are sets of shingles; a star is a bucket's smallest set (its pivot) and the others. First each member meets one
+pivot, that of the largest star it is in; stars whose sets are of one component then are done. In the others every member
+meets the pivot, and it alone; buckets of one pivot count as one. What remains are pairs of members that the pivot doesn't connect. Let x be
 a member that isn't linked with the pivot p, and y one that x is linked with. Neither is smaller than p, so x and y have
 more in common than x and p: they share shingles that p lacks. So of groups in which some member lies outside of p's
 component, all members go to buckets of the shingles that p lacks, and there the same is done. A pair needs m such shingles at
@@ -133,6 +134,20 @@ def smallest(buckets: DataFrame) -> DataFrame:
     return buckets.join(least.hint("merge"), "bucket").filter("id != pivot").select("pivot", "id").distinct()
 
 
+def _hubs(stars: DataFrame) -> DataFrame:
+    """a, b: each member with one of its pivots, the one of most members. Copies of a text mostly have one hub, whatever buckets they share."""
+    sizes = stars.groupBy("pivot").agg(F.count("*").alias("size"))
+    return stars.join(sizes.hint("merge"), "pivot").groupBy("id").agg(F.max(F.struct("size", "pivot")).alias("p")).select(F.col("id").alias("a"), F.col("p.pivot").alias("b"))
+
+
+def _open(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """The stars whose members and pivot aren't all of one component yet; others can't hold a link of two."""
+    label = lambda name, to: groups.select(F.col("id").alias(name), F.col("component").alias(to)).hint("merge")
+    named = stars.join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left")
+    some = named.groupBy("pivot").agg(F.max(F.coalesce("label", "id") != F.coalesce("main", "pivot")).alias("some")).filter("some").select("pivot")
+    return stars.join(some.hint("merge"), "pivot", "left_semi").select("pivot", "id")
+
+
 def _beyond_pivots(met: DataFrame, groups: DataFrame) -> DataFrame:
     """bucket, size, id, n, label, apart: the buckets of the shingles that pivots lack, where they may hold a link of two components."""
     label = lambda name, to: groups.select(F.col("id").alias(name), F.col("component").alias(to)).hint("merge")
@@ -161,11 +176,20 @@ def linked(stars: DataFrame, sets: DataFrame, links: DataFrame, percent: int) ->
     """
     if stars.isEmpty():
         return components(links)
-    often = frequencies(sets)
+    often = None
     for level in range(LEVELS + 1):
-        met = meet(stars, sets, percent, often)
-        links = links.unionByName(met.filter("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        hubs = stored(confirmed(sets, _hubs(stars), percent), "links")
+        links = links.unionByName(hubs)
         groups = stored(components(links), "labels")
+        stars = stored(_open(stars, groups), "open")
+        if stars.isEmpty():
+            return groups
+        often = frequencies(sets) if often is None else often
+        met = meet(stars, sets, percent, often)
+        more = stored(met.filter("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")).join(hubs, ["a", "b"], "left_anti"), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            groups = stored(components(links), "labels")
         beyond = _beyond_pivots(met, groups)
         if beyond.isEmpty():
             return groups
