@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from noticeboard.operators import incremental, search, upserts
+from noticeboard.operators.keyset import KeysetPages
+from noticeboard.operators.partials import DailySummary
 from noticeboard.plans.queries import _DUP, POSTS, _dup_keys, posts, query
 from noticeboard.sources.tables import shared_dir, table
 from noticeboard.streaming import ingest, state
@@ -93,3 +96,49 @@ def search_by_index(spark, d):
     for f in found[1:]:
         out = out.unionByName(f)
     return out
+
+
+_SPANS = (("2024-01-01", "2024-01-31"), ("2024-01-05", "2024-01-11"), ("2024-01-09", "2024-01-09"), ("2023-01-01", "2023-06-30"))
+_KINDS = "count(*) AS n, count(*) FILTER (WHERE value > 50) AS large, sum(CAST(floor(value) AS BIGINT)) AS total, epoch_us(max(ts)) AS latest_us, count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (WHERE value > 50) AS large_users"
+_BY_SPAN = " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS last, NULL AS kind, {_KINDS} FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '{a}' AND DATE '{b}' UNION ALL SELECT '{a}', '{b}', event_type, {_KINDS} FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '{a}' AND DATE '{b}' GROUP BY event_type" for a, b in _SPANS)
+
+
+@query(f"SELECT first, last, kind, n, large, CAST(total AS BIGINT) AS total, latest_us, users, large_users FROM ({_BY_SPAN})")
+def summary_of_days(spark, d):
+    """Summaries of several ranges, in all and by kind, from partials of days that two batches made, the second with late rows of every day, and some days made anew."""
+    e = table(spark, d, "events")
+    large = F.col("value") > 50
+    s = DailySummary(spark, _folder(spark, "days"), F.to_date("ts"), ("event_type",), counts={"large": large}, sums={"total": (F.floor("value"), "bigint")}, latest={"latest": (F.col("ts"), e.schema["ts"].dataType.simpleString())}, distinct={"users": F.col("user_id"), "large_users": F.when(large, F.col("user_id"))}, buckets=16)
+    late = F.coalesce(F.col("event_type") == "error", F.lit(False))
+    s.add(0, e.filter(~late))
+    s.add(1, e.filter(late))
+    s.refresh(2, e.filter("value > 400").select(F.to_date("ts").alias("day")).distinct(), e)
+    out = None
+    for a, b in _SPANS:
+        for by in ((), ("event_type",)):
+            one = s.summary(a, b, by).select(F.lit(a).alias("first"), F.lit(b).alias("last"), (F.col("event_type") if by else F.lit(None).cast("string")).alias("kind"), "n", "large", "total", F.unix_micros(F.col("latest").cast("timestamp")).alias("latest_us"), "users", "large_users")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {POSTS}, now AS (SELECT id, title, CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN DATE '2024-02-01' + CAST(id % 5 AS INTEGER) ELSE publish_date END AS day, source_id FROM posts WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+r AS (SELECT *, row_number() OVER (ORDER BY day DESC, id DESC) AS pos, count(*) OVER () AS total FROM now), k AS (SELECT row_number() OVER (ORDER BY day DESC, id DESC) AS pos, id FROM now WHERE (day, id) < (DATE '2024-01-15', 500)), w AS (SELECT row_number() OVER (ORDER BY day DESC, id DESC) AS pos, id FROM now WHERE (day, id) < (DATE '2024-01-15', 500) AND source_id = 'src3')
+SELECT 'first' AS page, id, total FROM r WHERE pos <= 20 UNION ALL SELECT 'far', id, total FROM r WHERE pos > 701 AND pos <= 741 UNION ALL SELECT 'beyond', id, total FROM r WHERE pos > 100000000 UNION ALL SELECT 'after', id, (SELECT count(*) FROM now) FROM k WHERE pos <= 30 UNION ALL SELECT 'after, of one source', id, (SELECT count(*) FROM now) FROM w WHERE pos <= 30""")
+def pages_of_ranges(spark, d):
+    """Pages, and the total, of a list kept in ranges: after a batch that gave posts of good quality another date, and one that deleted toxic ones."""
+    p = posts(spark, d).select("id", "title", "publish_date", "source_id")
+    labels = table(spark, d, "labels")
+    of = lambda where: p.join(labels.filter(where).select("doc_id").distinct(), F.col("id") == F.col("doc_id"), "left_semi")
+    k = KeysetPages(spark, _folder(spark, "list"), "id bigint, title string, publish_date date, source_id string", 16)
+    k.build(p)
+    dated = F.expr("date_add(date'2024-02-01', cast(id % 5 as int))")
+    k.apply(1, of("quality = 1").withColumn("publish_date", dated), of("quality = 1"))
+    again = of("toxic = 1").join(labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct(), F.col("id") == F.col("_good"), "left")
+    k.apply(2, None, again.withColumn("publish_date", F.when(F.col("_good").isNotNull(), dated).otherwise(F.col("publish_date"))))
+    key = (dt.date(2024, 1, 15), 500)
+    found = {"first": k.page(0, 20), "far": k.page(701, 40), "beyond": k.page(100000000, 20), "after": k.after(*key, 30), "after, of one source": k.after(*key, 30, F.col("source_id") == "src3")}
+    total, out = F.lit(k.total()).cast("bigint").alias("total"), None
+    for name, df in found.items():
+        one = df.select(F.lit(name).alias("page"), "id", total)
+        out = one if out is None else out.unionByName(one)
+    return out
