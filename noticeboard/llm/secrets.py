@@ -174,4 +174,4 @@ def op4(spark, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{k}")
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     base = F.filter("s", lambda x: x["kind"] != "novel")
-    return s.select("doc_id", count("assign"), count("access"), count("hex"), count("novel"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"))
+    return s.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"), count("novel"))
