@@ -4,8 +4,9 @@ The lexicon is learnt: words and word beginnings ("stems", marked by a trailing
 many times more often than others. A word is run through the product of the lexicon's trie with the automaton of all
 strings within ``edits`` of a term; the product's states are made when first needed and kept, so that a word costs one
 lookup a letter and most words die after a few. Each hit is weighed by its window: in quotation marks or near words of
-reporting it counts as quoted, near second-person words as aimed at somebody. A logistic model over these sums, fitted
-on other rows than the lexicon, gives the score.
+reporting it counts as quoted, misspelled or not, near second-person words as aimed at somebody; misspelled hits have sums
+of their own, quoted and plain. A logistic model over these sums, fitted on other rows than the lexicon, gives the score.
+Stems are met as they are, without edits.
 
 Learning reads at most ``sample`` labelled rows (by hash of the id; equal texts count once). labels, lang, source and
 doc_id are no inputs of a score. Of all candidate terms the `terms` of the strongest evidence are kept, ranked where they
@@ -139,7 +140,7 @@ class Automaton:
 class Model:
     terms: list[str] = field(default_factory=lambda: list(SEED_TERMS))
     strength: list[float] = field(default_factory=lambda: [3.0] * len(SEED_TERMS))
-    weights: list[float] = field(default_factory=lambda: [-3.0, 1.0, 0.5, 0.3, 0.0, 1.0, 0.5, -0.5, 0.3])
+    weights: list[float] = field(default_factory=lambda: [-3.0, 1.0, 0.5, 0.3, 0.0, 1.0, 0.5, -0.5, 0.3, -0.5])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
@@ -169,17 +170,19 @@ class Reader:
             hit = known[raw] if raw in known else self._hit(raw)
             if hit:
                 hits.append((i, *hit))
-        exact = fuzzy = quoted = aimed = top = 0.0
+        exact = fuzzy = quoted = fuzzy_quoted = aimed = top = 0.0
         kinds = set()
         for i, term, edits in hits:
             s = self.strength[term]
             near = raws[max(0, i - WINDOW) : i + WINDOW + 1]
             words = {m[0] for r in near for m in _WORD.finditer(r.lower())}
-            in_quotes = raws[i][0] in _QUOTES or raws[i][-1] in _QUOTES or self._inside(raws, i)
-            if edits:
-                fuzzy += s
-            elif in_quotes or words & REPORTING:
+            reported = raws[i][0] in _QUOTES or raws[i][-1] in _QUOTES or self._inside(raws, i) or words & REPORTING
+            if reported and edits:
+                fuzzy_quoted += s
+            elif reported:
                 quoted += s
+            elif edits:
+                fuzzy += s
             else:
                 exact += s
                 kinds.add(term)
@@ -187,7 +190,7 @@ class Reader:
             aimed += bool(words & ADDRESS)
         n = len(raws)
         rate = 100 * len(hits) / (n + 20)
-        return [1.0, math.log1p(exact), top, math.log1p(len(kinds)), math.log1p(fuzzy), math.log1p(rate), math.log1p(aimed), math.log1p(quoted), math.log1p(n) / 5]
+        return [1.0, math.log1p(exact), top, math.log1p(len(kinds)), math.log1p(fuzzy), math.log1p(rate), math.log1p(aimed), math.log1p(quoted), math.log1p(n) / 5, math.log1p(fuzzy_quoted)]
 
     @staticmethod
     def _inside(raws: list[str], i: int) -> bool:

@@ -44,6 +44,8 @@ def test_stems_and_context():
     r = toxicity.Reader(["idiot", "worth*"], [3.0, 2.0])
     plain, quoted = r.features("you are an idiot and worthy"), r.features('he said "idiot" to them')
     assert plain[1] > 0 and plain[6] > 0 and quoted[1] == 0 and quoted[7] > 0
+    plain, quoted = r.features("you idioot"), r.features('he said "idioot"')
+    assert plain[4] > 0 and plain[9] == 0 and quoted[4] == 0 and quoted[9] > 0 and plain[1] == quoted[1] == plain[7] == quoted[7] == 0
     assert r.features(None) == r.features("")
 
 
@@ -218,7 +220,7 @@ def test_toxicity_scores_against_brute_force(spark):
     import re
 
     terms, strength = ["grublo", "snivel*", "worthless"], [2.0, 1.5, 3.0]
-    model = toxicity.Model(terms, strength, [-2.0, 1.1, 0.4, 0.2, 0.7, 0.5, 0.6, -0.4, 0.3])
+    model = toxicity.Model(terms, strength, [-2.0, 1.1, 0.4, 0.2, 0.7, 0.5, 0.6, -0.4, 0.3, -0.6])
     word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
     def hit(raw):
@@ -233,7 +235,7 @@ def test_toxicity_scores_against_brute_force(spark):
 
     def score(text):
         raws = (text or "").split()
-        exact = fuzzy = quoted = top = 0.0
+        exact = fuzzy = quoted = fuzzy_quoted = top = 0.0
         aimed, kinds, n_hits = 0, set(), 0
         for i, raw in enumerate(raws):
             if (h := hit(raw)) is None:
@@ -243,16 +245,16 @@ def test_toxicity_scores_against_brute_force(spark):
             near = {w for r in raws[max(0, i - 6) : i + 7] for w in word.findall(r.lower())}
             opened = any(r[0] in toxicity._QUOTES for r in raws[max(0, i - 6) : i]) and any(r.rstrip(".,;:!?")[-1:] in tuple(toxicity._QUOTES) for r in raws[i : i + 7])
             marked = raw[0] in toxicity._QUOTES or raw[-1] in toxicity._QUOTES or opened
-            if d:
+            if marked or near & toxicity.REPORTING:
+                quoted, fuzzy_quoted = (quoted, fuzzy_quoted + strength[n]) if d else (quoted + strength[n], fuzzy_quoted)
+            elif d:
                 fuzzy += strength[n]
-            elif marked or near & toxicity.REPORTING:
-                quoted += strength[n]
             else:
                 exact, top = exact + strength[n], max(top, strength[n])
                 kinds.add(n)
             aimed += bool(near & toxicity.ADDRESS)
         k = len(raws)
-        x = [1, math.log1p(exact), top, math.log1p(len(kinds)), math.log1p(fuzzy), math.log1p(100 * n_hits / (k + 20)), math.log1p(aimed), math.log1p(quoted), math.log1p(k) / 5]
+        x = [1, math.log1p(exact), top, math.log1p(len(kinds)), math.log1p(fuzzy), math.log1p(100 * n_hits / (k + 20)), math.log1p(aimed), math.log1p(quoted), math.log1p(k) / 5, math.log1p(fuzzy_quoted)]
         return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
 
     rng = random.Random(6)
