@@ -11,7 +11,8 @@ of shingle hashes is cut into partitions, and a signature is a hash of what a se
   choice of three of the four;
 * beyond: more than k partitions, of which one at least holds no difference; a signature each.
 
-So similar sets share a signature, always. Signatures of nothing (of empty partitions) would be shared by unlike sets;
+So similar sets share a signature, always; of partitions that stand alone they share all but k, so a set with fewer shared ones has no
+similar set in that instance. Signatures of nothing (of empty partitions) would be shared by unlike sets;
 a set leaves them out if it has enough others that k differences can't spoil them all.
 
 Sets that share a signature are a bucket. In buckets of up to `FEW` sets all pairs are compared, first by how many shingles they
@@ -19,8 +20,8 @@ have in each part of the domain (these counts differ by no more than the sets do
 sets. In larger ones `stars` finds the links by full sets, without the pairs of a group of copies.
 
 Scale. Texts are read twice where they lie: for ids, keys and counts, and for signatures, of equal texts in a task only
-once. The signatures (about 0.6 a shingle, 24 bytes each) move once and are sorted by signature, size and key, so that a
-bucket's smallest set comes first and pairs and stars are read off in one stream, whatever the bucket's size. Only the texts
+once. The signatures (about 0.6 a shingle, 24 bytes each) move once and are sorted by signature and key, so that
+pairs, stars and how many signatures a set shares are read off in one stream, whatever the bucket's size. Only the texts
 of sets that come through the counts or are in large buckets move, once, by id. A class of equal sets of more than a thousandth of
 all rows is joined by broadcast (a thousand at most).
 
@@ -89,11 +90,11 @@ def _sums(s: np.ndarray, sums: np.ndarray, parts: int) -> tuple[np.ndarray, np.n
     return np.diff(sums[at]), np.diff(at)
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of a set of sorted distinct 64-bit hashes; similar sets share one."""
-    out = []
+def _by_instance(s: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, int]]:
+    """The signatures of a set of sorted distinct 64-bit hashes in each of its instances, and how many of them at least it shares with any similar set there."""
     sums = np.r_[U(0), np.cumsum(mixed(s), dtype=U)]
     for i, k in bands.instances(len(s)):
+        shares = 1
         if k == 0:
             got, empty, need = sums[-1:], np.zeros(1, bool), 1
         elif k in CHOICES:
@@ -106,10 +107,15 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
             empty, need = without.ravel(), len(size) if (~without.any(axis=1)).sum() <= k // 2 else 0
         else:
             got, size = _sums(s, sums, int(MORE * k) + 1)
-            empty, need = size == 0, len(size) if (size > 0).sum() <= k else 0
+            full = int((size > 0).sum())
+            empty, need, shares = size == 0, len(size) if full <= k else 0, max(1, full - k)
         got = mixed(got ^ mixed((np.arange(len(got), dtype=U) + U(i << 32) + U(1)) * STEP))
-        out.append(got if need else got[~empty])
-    return np.concatenate(out)
+        yield got if need else got[~empty], shares
+
+
+def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
+    """The signatures of a set; similar sets share one."""
+    return np.concatenate([got for got, _ in _by_instance(s, bands)])
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -136,7 +142,7 @@ def _named(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _signed(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """short, n, signature of all sets; of equal sets in a task only the first one's."""
+    """short, shares, signature of all sets, shares as by `_by_instance`; of equal sets in a task only the first one's."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +150,20 @@ def _signed(docs: DataFrame, percent: int, k: int) -> DataFrame:
         bands = Bands(percent)
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                short, n, signs = [], [], []
+                short, shares, signs = [], [], []
                 for s in all_shingles(b.column(0).slice(i, 256).to_pylist(), k):
                     if len(s) and (x := _short(_key(s))) not in seen:
                         seen.add(x)
-                        short.append(x)
-                        n.append(len(s))
-                        signs.append(signatures(s, bands).view(np.int64))
+                        for got, least in _by_instance(s, bands):
+                            short.append(x)
+                            shares.append(least)
+                            signs.append(got.view(np.int64))
                 ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64()), pa.array(n, pa.int64()), lists], names=["short", "n", "signatures"])
+                yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64()), pa.array(shares, pa.int64()), lists], names=["short", "shares", "signatures"])
 
-    rows = docs.filter("id is not null").select("text").mapInArrow(run, "short bigint, n bigint, signatures array<bigint>")
-    return rows.select("short", "n", F.explode("signatures").alias("signature"))
+    rows = docs.filter("id is not null").select("text").mapInArrow(run, "short bigint, shares bigint, signatures array<bigint>")
+    return rows.select("short", "shares", F.explode("signatures").alias("signature"))
 
 
 def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +216,52 @@ def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.zeros(len(found), bool))], names=["a", "b", "large"])
 
 
-def _met(signed: DataFrame) -> DataFrame:
-    """a, b (short keys), large: the pairs and stars of all buckets; a isn't the larger set."""
-    dealt = signed.repartition("signature").sortWithinPartitions("signature", "n", "short")
-    return stored(dealt.select("signature", "short").mapInArrow(_read_off, "a bigint, b bigint, large boolean").distinct(), "met")
+class _Shared:
+    """Counts, batch by batch of (signature, short, shares), sorted, which sets have which signature in common with another one."""
+
+    def __init__(self):
+        self.last = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]  # the last row, and whether it has been counted
+
+    def of(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """short, shares, and how many rows of these have turned out to be shared."""
+        new = [*(b.column(i).to_numpy() for i in (0, 1, 2)), np.zeros(b.num_rows, bool)]
+        at, who, shares, counted = (np.concatenate(x) for x in zip(self.last, new, strict=True))
+        once = np.r_[True, (at[1:] != at[:-1]) | (who[1:] != who[:-1])][: len(at)]
+        at, who, shares, counted = at[once], who[once], shares[once], counted[once]
+        same = at[1:] == at[:-1]
+        held = np.r_[same, False][: len(at)] | np.r_[False, same][: len(at)]
+        self.last = [at[-1:], who[-1:], shares[-1:], (held | counted)[-1:]]
+        now = held & ~counted
+        order = np.lexsort((shares[now], who[now]))
+        who, shares = who[now][order], shares[now][order]
+        first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (shares[1:] != shares[:-1])][: len(who)])
+        return who[first], shares[first], np.diff(np.r_[first, len(who)])
+
+
+def _read_and_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `_read_off` finds, with times 0, and as rows without large: a set, its shares, and how many of its signatures with these are shared."""
+    names, shared, rows = ["a", "b", "large", "times"], _Shared(), []
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                who, shares, times = shared.of(b)
+                rows.append(pa.RecordBatch.from_arrays([pa.array(who), pa.array(shares), pa.nulls(len(who), pa.bool_()), pa.array(times, pa.int64())], names=names))
+            yield b
+
+    for found in _read_off(passed()):
+        yield pa.RecordBatch.from_arrays([*found.columns, pa.array(np.zeros(found.num_rows, np.int64))], names=names)
+        yield from rows
+        rows.clear()
+    yield from rows
+
+
+def _met(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b (short keys), large: the pairs and stars of all buckets. And short: the sets that share as many signatures as similar ones do."""
+    dealt = signed.repartition("signature").sortWithinPartitions("signature", "short")
+    found = dealt.select("signature", "short", "shares").mapInArrow(_read_and_counted, "a bigint, b bigint, large boolean, times bigint")
+    met = stored(found.groupBy("a", "b", "large").agg(F.sum("times").alias("times")).filter("large is not null or times >= b"), "met")
+    return met.filter("large is not null").select("a", "b", "large"), met.filter("large is null").select(F.col("a").alias("short")).distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -231,17 +280,19 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     named = _named(docs, k)
     full = named.filter("key is not null and id is not null")
-    classes = stored(full.groupBy("key").agg(F.min("id").alias("id"), F.min("short").alias("short"), F.min("counts").alias("counts"), F.count("*").alias("rows")), "classes")
+    classes = stored(full.groupBy("key").agg(F.min("id").alias("id"), F.min("short").alias("short"), F.min("n").alias("n"), F.min("counts").alias("counts"), F.count("*").alias("rows")), "classes")
     several = full.groupBy("id").agg(F.min("key").alias("b"), F.max("key").alias("most")).filter("b != most").select("id", "b")
     of_one_id = full.join(several.hint("merge"), "id").filter("key != b").select(F.col("key").alias("a"), "b").distinct()
 
-    met = _met(_signed(docs, percent, k))
-    one, other = classes.select(F.col("short").alias("a"), F.col("key").alias("ka"), F.col("counts").alias("x")), classes.select(F.col("short").alias("b"), F.col("key").alias("kb"), F.col("counts").alias("y"))
+    met, able = _met(_signed(docs, percent, k))
+    able = stored(classes.join(able.hint("merge"), "short", "left_semi"), "able")
+    one, other = able.select(F.col("short").alias("a"), F.col("key").alias("ka"), F.col("counts").alias("x")), able.select(F.col("short").alias("b"), F.col("key").alias("kb"), F.col("counts").alias("y"))
     small = met.filter("not large").select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b")
     near = stored(stars.not_apart(small.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "x", "y"), percent), "near")
-    large = met.filter("large").select("a", "b").join(one.select("a", "ka").hint("merge"), "a").join(other.select("b", "kb").hint("merge"), "b")
-    large = stored(large.select(F.col("ka").alias("pivot"), F.col("kb").alias("id")), "stars")
-    keys = near.select("a").unionByName(near.select(F.col("b").alias("a"))).unionByName(large.select(F.col("pivot").alias("a"))).unionByName(large.select(F.col("id").alias("a"))).distinct()
+    large = met.filter("large").select("a", "b")
+    large = large.unionByName(large.select("a", F.col("a").alias("b")).distinct()).join(able.select(F.col("short").alias("b"), "key", "n").hint("merge"), "b")
+    large = stored(large.select(F.col("a").alias("bucket"), F.col("key").alias("id"), "n"), "buckets")
+    keys = near.select("a").unionByName(near.select(F.col("b").alias("a"))).unionByName(large.select(F.col("id").alias("a"))).distinct()
     sets = _sets(docs, classes.join(keys.withColumnRenamed("a", "key").hint("merge"), "key", "left_semi").select("id"), k)
     links = stored(stars.confirmed(sets, near, percent).unionByName(of_one_id), "links")
     groups = stars.linked(large, sets, links, percent)

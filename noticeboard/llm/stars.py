@@ -1,18 +1,16 @@
-"""Links among the members of buckets, without all pairs: each bucket is a star around its smallest set.
+"""Links among the members of buckets, without all pairs: buckets are gathered into stars of few pivots.
 
-Nodes are sets of shingles; a star is a bucket's smallest set (its pivot) and the others. First each member meets one
-pivot, that of the largest star it is in; stars whose sets are of one component then are done. In the others every member
-meets the pivot, and it alone; buckets of one pivot count as one. What remains are pairs of members that the pivot doesn't connect. Let x be
-a member that isn't linked with the pivot p, and y one that x is linked with. Neither is smaller than p, so x and y have
-more in common than x and p: they share shingles that p lacks. So of groups in which some member lies outside of p's
+Nodes are sets of shingles; a star is a set that is in many buckets (its pivot) and all members of the buckets that are given to it. Every
+member meets the pivot, and it alone. What remains are pairs of members that the pivot doesn't connect. Let x be
+a member that isn't linked with the pivot p, and y one that x is linked with. If y isn't smaller than p, x and y have
+more in common than x and p: they share shingles that p lacks. Smaller ones that could do with what both share with p are compared. So of groups in which some member lies outside of p's
 component, all members go to buckets of the shingles that p lacks, and there the same is done. A pair needs m such shingles at
 least, which its own size and what it shares with p tell, so all but the last m - 1 of them, in any order that holds for all,
 are enough (a prefix filter). The order is by how often a shingle occurs, told from counts in `SLOTS` slots of the hashes, so
 what many members share comes last and is mostly left out. Buckets of up to `FEW` members are compared in full, by pairs of different
 components; what is still larger after `LEVELS` steps is compared in full too.
 
-Copies of a text cost rows in proportion to their number. Texts that are near to a template, of many lengths, and mostly not near to
-each other cost more: 8,464 rows for 150 such texts and 26,837 for 300 (all pairs are 11,175 and 44,850).
+Copies of a text cost rows in proportion to their number, as do texts that are near to a template and mostly not near to each other.
 
 A hot pivot's set is dealt out to as many salts as its members need; all joins of sets are sort-merge joins. Nothing but
 the checksums of `components` reaches the driver.
@@ -79,36 +77,54 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return np.array([got.get(i, 0) for i in range(SLOTS)])
 
 
+def gathered(buckets: DataFrame) -> DataFrame:
+    """pivot, id, n: stars of few pivots, so that all members of a bucket (bucket, id, n) are in one star.
+
+    A bucket's pivot is the one of its members that is in most buckets, to a tenth or so, and of these the smallest. Copies of a text
+    so get the copy that is nearest to it, whatever parts of it the others have kept. A pivot that is in the star of a better one
+    gives its members to that.
+    """
+    often = buckets.groupBy("id").agg(F.floor(8 * F.log2(F.count("*"))).alias("often"))
+    rows = buckets.join(often.hint("merge"), "id")
+    best = rows.groupBy("bucket").agg(F.max(F.struct("often", (-F.col("n")).alias("less"), "id")).alias("best"))
+    rows = stored(rows.join(best.hint("merge"), "bucket").select("best", "id", "n").distinct(), "gathered")
+    to = rows.groupBy("id").agg(F.max("best").alias("to")).select(F.col("id").alias("pivot"), F.col("to.id").alias("to"))
+    rows = rows.select(F.col("best.id").alias("pivot"), "id", "n").join(to.hint("merge"), "pivot")
+    return stored(rows.select(F.col("to").alias("pivot"), "id", "n").filter("id != pivot").distinct(), "gathered")
+
+
 def meet(stars: DataFrame, sets: DataFrame, percent: int, often: np.ndarray) -> DataFrame:
-    """stars (pivot, id) with n and linked, and lacks: the shingles that the pivot lacks and that a link beyond it needs (of groups of several members only)."""
+    """stars (pivot, id, n) with n_pivot, common (how many shingles both have), linked, and lacks: the shingles that the pivot lacks and that a link beyond it needs (of groups of several members only)."""
     kind = sets.schema["id"].dataType.simpleString()
-    sizes = stored(stars.groupBy("pivot").agg(F.count("*").alias("size")), "sizes")
+    sizes = stored(stars.groupBy("pivot").agg(F.count("*").alias("size"), F.min("n").alias("least")), "sizes")
     lot = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / LOT)).alias("lot")
-    rows = stars.join(sizes.hint("merge"), "pivot").select("pivot", "id", lot, (F.col("size") > 1).alias("several"))
+    rows = stars.join(sizes.hint("merge"), "pivot").select("pivot", "id", lot, F.when(F.col("size") > 1, F.col("least")).alias("least"))
     rows = rows.join(sets.select("id", F.col("set").alias("x")).hint("merge"), "id")
     held = sizes.join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")).hint("merge"), "pivot")
     held = held.select("pivot", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / LOT) - 1)).alias("lot"))
-    both = rows.join(held.hint("merge"), ["pivot", "lot"]).select("pivot", "id", "several", "x", "y")
+    both = rows.join(held.hint("merge"), ["pivot", "lot"]).select("pivot", "id", "least", "x", "y")
 
     def run(b: pa.RecordBatch) -> list:
-        n, linked, lacks = [], [], []
-        for x, y, several in zip(b.column(3), b.column(4), b.column(2).to_pylist(), strict=True):
+        n, of_pivot, shares, linked, lacks = [], [], [], [], []
+        for x, y, least in zip(b.column(3), b.column(4), b.column(2).to_pylist(), strict=True):
             x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
             has = shared(x, y)
             common = int(has.sum())
             n.append(len(x))
+            of_pivot.append(len(y))
+            shares.append(common)
             linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            if several:
+            if least is not None:
                 beyond = x[~has]
-                smallest_other = max(len(y), -(-percent * len(x) // 100))
-                least = max(1, -(-percent * (len(x) + smallest_other) // (100 + percent)) - common)  # with whomever it is linked
+                smallest_other = max(least, -(-percent * len(x) // 100))
+                needed = max(1, -(-percent * (len(x) + smallest_other) // (100 + percent)) - common)  # with whomever it is linked
                 order = np.lexsort((beyond, often[_slot(beyond)]))
-                lacks.append(beyond[order[: max(0, len(beyond) - least + 1)]].view(np.int64))
+                lacks.append(beyond[order[: max(0, len(beyond) - needed + 1)]].view(np.int64))
             else:
                 lacks.append(None)
-        return [*b.columns[:2], n, linked, lacks]
+        return [*b.columns[:2], n, of_pivot, shares, linked, lacks]
 
-    return stored(map_arrow(both, run, f"pivot {kind}, id {kind}, n bigint, linked boolean, lacks array<bigint>"), "met")
+    return stored(map_arrow(both, run, f"pivot {kind}, id {kind}, n bigint, n_pivot bigint, common bigint, linked boolean, lacks array<bigint>"), "met")
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -128,76 +144,69 @@ def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, check, f"a {kind}, b {kind}, ok boolean").filter("ok").select("a", "b").distinct()
 
 
-def smallest(buckets: DataFrame) -> DataFrame:
-    """pivot, id: the stars of buckets (bucket, id, n)."""
-    least = buckets.groupBy("bucket").agg(F.min(F.struct("n", "id")).alias("p")).select("bucket", F.col("p.id").alias("pivot"))
-    return buckets.join(least.hint("merge"), "bucket").filter("id != pivot").select("pivot", "id").distinct()
-
-
-def _hubs(stars: DataFrame) -> DataFrame:
-    """a, b: each member with one of its pivots, the one of most members. Copies of a text mostly have one hub, whatever buckets they share."""
-    sizes = stars.groupBy("pivot").agg(F.count("*").alias("size"))
-    return stars.join(sizes.hint("merge"), "pivot").groupBy("id").agg(F.max(F.struct("size", "pivot")).alias("p")).select(F.col("id").alias("a"), F.col("p.pivot").alias("b"))
-
-
-def _open(stars: DataFrame, groups: DataFrame) -> DataFrame:
-    """The stars whose members and pivot aren't all of one component yet; others can't hold a link of two."""
+def _labelled(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """pivot, id, n, n_pivot, common, label, apart (from the pivot's component): the stars whose members and pivot aren't all of one component; others can't hold a link of two."""
     label = lambda name, to: groups.select(F.col("id").alias(name), F.col("component").alias(to)).hint("merge")
-    named = stars.join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left")
-    some = named.groupBy("pivot").agg(F.max(F.coalesce("label", "id") != F.coalesce("main", "pivot")).alias("some")).filter("some").select("pivot")
-    return stars.join(some.hint("merge"), "pivot", "left_semi").select("pivot", "id")
+    met = met.filter("lacks is not null").select("pivot", "id", "n", "n_pivot", "common").join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left")
+    met = stored(met.withColumn("label", F.coalesce("label", "id")).withColumn("apart", F.col("label") != F.coalesce("main", "pivot")).drop("main"), "labelled")
+    some = met.groupBy("pivot").agg(F.max("apart").alias("some")).filter("some").select("pivot")
+    return met.join(some.hint("merge"), "pivot", "left_semi")
 
 
-def _beyond_pivots(met: DataFrame, groups: DataFrame) -> DataFrame:
+def _beyond_pivots(met: DataFrame, labelled: DataFrame) -> DataFrame:
     """bucket, size, id, n, label, apart: the buckets of the shingles that pivots lack, where they may hold a link of two components."""
-    label = lambda name, to: groups.select(F.col("id").alias(name), F.col("component").alias(to)).hint("merge")
-    met = met.filter("lacks is not null").join(label("id", "label"), "id", "left").join(label("pivot", "main"), "pivot", "left")
-    met = met.withColumn("label", F.coalesce("label", "id")).withColumn("apart", F.col("label") != F.coalesce("main", "pivot"))
-    some = met.groupBy("pivot").agg(F.max("apart").alias("some")).filter("some").select("pivot")
-    met = met.join(some.hint("merge"), "pivot")
-    at = met.select("pivot", "id", "n", "label", "apart", F.explode("lacks").alias("shingle"))
+    at = met.select("pivot", "id", "lacks").join(labelled.select("pivot", "id", "n", "label", "apart").hint("merge"), ["pivot", "id"])
+    at = at.select("pivot", "id", "n", "label", "apart", F.explode("lacks").alias("shingle"))
     name = F.xxhash64("label")
     sizes = at.groupBy("pivot", "shingle").agg(F.count("*").alias("size"), F.max("apart").alias("any"), F.min(name).alias("one"), F.max(name).alias("other"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("any and one != other")
     alike = sizes.groupBy("pivot", "size", "who").agg(F.min("shingle").alias("shingle")).select("pivot", "shingle", "size")
     return stored(at.join(alike.hint("merge"), ["pivot", "shingle"]).select(F.xxhash64("pivot", "shingle").alias("bucket"), "size", "id", "n", "label", "apart"), "beyond")
 
 
+def _of_smaller(labelled: DataFrame, percent: int) -> DataFrame:
+    """a, b (a < b): what may be linked by the pivot's own shingles alone: members apart, and members smaller than the pivot of other components."""
+    enough = lambda common, n: f"(100 + {percent}) * {common} >= {percent} * (n + {n})"
+    least = labelled.groupBy("pivot").agg(F.min("n").alias("least"))
+    x = labelled.filter("apart").join(least.hint("merge"), "pivot").filter(f"least < n_pivot and {enough('common', 'least')}").select("pivot", "id", "n", "common", "label")
+    y = labelled.filter("n < n_pivot").select("pivot", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "common", "label")])
+    pairs = x.join(y.hint("merge"), "pivot").filter(f"label != label_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and {enough('least(common, common_b)', 'n_b')}")
+    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+
+
 def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
     """a, b (a < b): pairs within buckets that may be linked, are of different components, and of which one is apart."""
     other = buckets.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "label", "apart")])
     pairs = buckets.join(other.hint("merge"), "bucket").filter(f"id < id_b and label != label_b and (apart or apart_b) and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
-    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
-def linked(stars: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """The components (id, component) of links (a, b) and of all links among the members of stars (pivot, id).
+def linked(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The components (id, component) of links (a, b) and of all links among the members of buckets (bucket, id, n).
 
-    A pivot must not be larger than its members. sets: id, set (sorted 64-bit hashes as bytes, not empty), counts.
+    sets: id, set (sorted 64-bit hashes as bytes, not empty), counts.
     """
-    if stars.isEmpty():
-        return components(links)
     often = None
     for level in range(LEVELS + 1):
-        hubs = stored(confirmed(sets, _hubs(stars), percent), "links")
-        links = links.unionByName(hubs)
-        groups = stored(components(links), "labels")
-        stars = stored(_open(stars, groups), "open")
+        stars = gathered(buckets)
         if stars.isEmpty():
-            return groups
+            return components(links)
         often = frequencies(sets) if often is None else often
         met = meet(stars, sets, percent, often)
-        more = stored(met.filter("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")).join(hubs, ["a", "b"], "left_anti"), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = stored(components(links), "labels")
-        beyond = _beyond_pivots(met, groups)
-        if beyond.isEmpty():
+        links = links.unionByName(met.filter("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        groups = stored(components(links), "labels")
+        labelled = _labelled(met, groups)
+        if labelled.isEmpty():
             return groups
-        pairs = _pairs(beyond if level == LEVELS else beyond.filter(f"size <= {FEW}"), percent)
+        beyond = _beyond_pivots(met, labelled)
+        pairs = _pairs(beyond if level == LEVELS else beyond.filter(f"size <= {FEW}"), percent).unionByName(_of_smaller(labelled, percent)).distinct()
         x, y = sets.select(F.col("id").alias("a"), F.col("counts").alias("x")), sets.select(F.col("id").alias("b"), F.col("counts").alias("y"))
         pairs = stored(not_apart(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b"), percent), "pairs")
+        buckets = beyond.filter(f"size > {FEW}").select("bucket", "id", "n")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+        if level < LEVELS:
+            ids = ids.unionByName(buckets.select("id"))
+            sets = stored(sets.join(ids.distinct().hint("merge"), "id", "left_semi"), "sets")  # all that is looked at from here on
         links = links.unionByName(stored(confirmed(sets, pairs, percent), "links"))
-        stars = stored(smallest(beyond.filter(f"size > {FEW}")), "stars")
-        if level == LEVELS or stars.isEmpty():
+        if level == LEVELS:
             return components(links)
     raise AssertionError

@@ -140,6 +140,71 @@ def test_rows_that_meet_grow_with_the_group(spark, monkeypatch):
     assert met[1] < 2.6 * met[0], met
 
 
+def test_copies_of_a_template_meet_few_pivots(spark, monkeypatch):
+    """Copies of one text with few to many changed words, half of them near to no other: each meets three pivots at most, on average, not one for each bucket."""
+    rng = random.Random(4)
+    base = cases.prose(rng, 300).split(" ")
+    rows = []
+    for i in range(240):
+        copy = base[: len(base) - rng.randint(0, 8)]
+        for j in rng.sample(range(len(copy)), rng.randint(1, 30)):
+            copy[j] = f"w{i}.{j}"
+        rows.append((i, " ".join(copy)))
+    met = []
+    real = stars.meet
+    monkeypatch.setattr(stars, "meet", lambda s, *rest: met.append(s.count()) or real(s, *rest))
+    got = {r.doc_id: r.component_id for r in pe.similar(cases.table(spark, rows)).collect()}
+    want = brute(rows, 80)[0]
+    assert got == want and 20 < len(set(want.values())) < 220
+    assert sum(met) < 3 * len(rows), met
+
+
+def test_links_among_sets_smaller_than_the_pivot(spark):
+    """Two subsets of the pivot, alike and neither like it, share no shingle that it lacks."""
+    pool = np.sort(np.random.default_rng(5).integers(0, 2**64, 400, dtype=np.uint64))
+    sets = {0: pool, **{i: pool[: 316 - 8 * i] for i in range(1, 6)}}
+    made = spark.createDataFrame([(i, s.tobytes(), stars.counts(s)) for i, s in sets.items()], "id bigint, set binary, counts binary")
+    often = spark.createDataFrame([(b, i, len(sets[i])) for b in range(20) for i in sets if i == 0 or b % 6 != i], "bucket bigint, id bigint, n bigint")
+    got = stars.linked(often, made, spark.createDataFrame([], "a bigint, b bigint"), 80).collect()
+    assert sorted((r.id, r.component) for r in got if r.id) == [(i, 1) for i in range(1, 6)]
+
+
+def test_similar_sets_share_as_many_signatures_as_said():
+    rng = np.random.default_rng(8)
+    bands = pe.Bands(80)
+    for n in (90, 150, 333, 600, 1500):
+        for _ in range(20):
+            pool = np.unique(rng.integers(0, 2**64, 3 * n, dtype=np.uint64))
+            rng.shuffle(pool)
+            gone = rng.integers(0, n // 10 + 1)
+            x, y = np.sort(pool[:n]), np.sort(np.r_[pool[: n - gone], pool[n : n + gone]])
+            mine, other = (dict(zip([i for i, _ in bands.instances(len(s))], pe._by_instance(s, bands), strict=True)) for s in (x, y))
+            for i in mine.keys() & other.keys():
+                both = len(np.intersect1d(mine[i][0], other[i][0]))
+                assert both >= max(mine[i][1], other[i][1]) and (n < 600 or mine[i][1] > n // 50), (n, i)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 10_000])
+def test_shared_signatures_over_several_batches(rows):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(rows)
+    at = np.sort(np.r_[rng.integers(0, 300, 200), np.full(30, 310), [320, 320, 330, 340, 340]])
+    who = np.r_[rng.integers(0, 20, 200), np.arange(30), [1, 1, 2, 3, 4]]
+    order = np.lexsort((who, at))
+    at, who = at[order], who[order]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + rows]) for x in (at, who, who % 3)], names=["signature", "short", "shares"]) for i in range(0, len(at), rows)]
+    want: dict = {}
+    for s in set(at.tolist()):
+        mine = set(who[at == s].tolist())
+        for x in mine if len(mine) > 1 else ():
+            want[x, x % 3] = want.get((x, x % 3), 0) + 1
+    got: dict = {}
+    for r in (r for b in pe._read_and_counted(iter(batches)) for r in b.to_pylist() if r["large"] is None):
+        got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["times"]
+    assert got == want
+
+
 def test_counts_keep_no_similar_sets_apart():
     rng = np.random.default_rng(6)
     read = stars.counts
