@@ -10,7 +10,8 @@ are enough (a prefix filter). The order is by how often a shingle occurs, told f
 what many members share comes last and is mostly left out. Buckets of up to `FEW` members are compared in full, by pairs of different
 components; what is still larger after `LEVELS` steps is compared in full too.
 
-Copies of a text cost rows in proportion to their number, as do texts that are near to a template and mostly not near to each other.
+Copies of a text cost rows in proportion to their number. Texts that are near to a template and mostly not near to each other cost more;
+how much at size has not been measured since pivots were gathered.
 
 A hot pivot's set is dealt out to as many salts as its members need; all joins of sets are sort-merge joins. Nothing but
 the checksums of `components` reaches the driver.
