@@ -8,10 +8,18 @@ component, all members go to buckets of the shingles that p lacks, and there the
 least, which its own size and what it shares with p tell, so all but the last m - 1 of them, in any order that holds for all,
 are enough (a prefix filter). The order is by how often a shingle occurs, told from counts in `SLOTS` slots of the hashes, so
 what many members share comes last and is mostly left out. Buckets of up to `FEW` members are compared in full, by pairs of different
-components; what is still larger after `LEVELS` steps is compared in full too.
+components.
 
-Copies of a text cost rows in proportion to their number. Texts that are near to a template and mostly not near to each other cost more;
-how much at size has not been measured since pivots were gathered.
+What is still larger after `LEVELS` steps is taken by all in which a member and the pivot differ, what it lacks of the pivot as
+well as what the pivot lacks. Two members x and y have in common what both share with the pivot by size alone, common(x) + common(y) -
+n(p), and one more for each shingle in which both differ from it. If x isn't linked with p, a link of x and y needs
+one such shingle at least (if y has no more shingles than p, common(y) <= n(y) would else give x as much in common with p as a link takes;
+if it has more, common(y) <= n(p) would). How many it needs follows from the sizes and from what both share with p, so two members
+meet only where so many still come in both, in the order of how often a star's members differ there, counted exactly. What
+most of them differ in comes last.
+
+Copies of a text cost rows in proportion to their number. Texts that are near to a template and mostly not near to each other cost more:
+those that differ from it in the same places meet, so their pairs grow with the square of a group, with a small factor.
 
 A hot pivot's set is dealt out to as many salts as its members need; all joins of sets are sort-merge joins. Nothing but
 the checksums of `components` reaches the driver.
@@ -21,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeboard.llm.common import U, map_arrow, stored
@@ -94,8 +102,11 @@ def gathered(buckets: DataFrame) -> DataFrame:
     return stored(rows.select(F.col("to").alias("pivot"), "id", "n").filter("id != pivot").distinct(), "gathered")
 
 
-def meet(stars: DataFrame, sets: DataFrame, percent: int, often: np.ndarray) -> DataFrame:
-    """stars (pivot, id, n) with n_pivot, common (how many shingles both have), linked, and lacks: the shingles that the pivot lacks and that a link beyond it needs (of groups of several members only)."""
+def meet(stars: DataFrame, sets: DataFrame, percent: int, often: np.ndarray | None) -> DataFrame:
+    """stars (pivot, id, n) with n_pivot, common (how many shingles both have), linked, and lacks: the shingles that the pivot lacks and that a link beyond it needs (of groups of several members only).
+
+    Without often, lacks has all shingles that one of both lacks.
+    """
     kind = sets.schema["id"].dataType.simpleString()
     sizes = stored(stars.groupBy("pivot").agg(F.count("*").alias("size"), F.min("n").alias("least")), "sizes")
     lot = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / LOT)).alias("lot")
@@ -115,7 +126,9 @@ def meet(stars: DataFrame, sets: DataFrame, percent: int, often: np.ndarray) ->
             of_pivot.append(len(y))
             shares.append(common)
             linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            if least is not None:
+            if least is not None and often is None:
+                lacks.append(np.r_[x[~has], y[~shared(y, x)]].view(np.int64))
+            elif least is not None:
                 beyond = x[~has]
                 smallest_other = max(least, -(-percent * len(x) // 100))
                 needed = max(1, -(-percent * (len(x) + smallest_other) // (100 + percent)) - common)  # with whomever it is linked
@@ -181,6 +194,23 @@ def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
+def _differing(met: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
+    """a, b (a < b): pairs of a star that differ from the pivot (by lacks, whole) in as many of the same shingles as a link may need, are of different components, and of which one is apart."""
+    most = labelled.groupBy("pivot").agg(F.min("n").alias("least"), F.max("common").alias("most"), F.max(F.when(F.col("apart"), F.col("common"))).alias("most_apart"))
+    labelled = labelled.join(most.hint("merge"), "pivot").withColumn("most", F.when(F.col("apart"), F.col("most")).otherwise(F.col("most_apart")))  # what its other one has in common with the pivot, at most
+    at = met.select("pivot", "id", "lacks").join(labelled.hint("merge"), ["pivot", "id"]).withColumn("shingle", F.explode("lacks"))
+    name = F.xxhash64("label")
+    sizes = at.groupBy("pivot", "shingle").agg(F.count("*").alias("size"), F.max("apart").alias("any"), F.min(name).alias("one"), F.max(name).alias("other")).filter("any and one != other")
+    at = at.join(sizes.select("pivot", "shingle", "size").hint("merge"), ["pivot", "shingle"])
+    rest = F.row_number().over(Window.partitionBy("pivot", "id").orderBy(F.desc("size"), "shingle"))  # itself and what comes after it
+    enough = lambda rest, common, n: f"(100 + {percent}) * ({rest} + common + {common} - n_pivot) >= {percent} * (n + {n})"
+    at = at.withColumn("rest", rest).filter(enough("rest", "most", f"greatest(least, {percent} * n / 100)"))
+    at = stored(at.select("pivot", "shingle", "rest", "id", "n", "n_pivot", "common", "label", "apart"), "differing")
+    other = at.select("pivot", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("rest", "id", "n", "common", "label", "apart")])
+    pairs = at.join(other.hint("merge"), ["pivot", "shingle"]).filter(f"id < id_b and label != label_b and (apart or apart_b) and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+    return pairs.filter(enough("least(rest, rest_b)", "common_b", "n_b")).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
 def linked(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """The components (id, component) of links (a, b) and of all links among the members of buckets (bucket, id, n).
 
@@ -192,20 +222,22 @@ def linked(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int)
         if stars.isEmpty():
             return components(links)
         often = frequencies(sets) if often is None else often
-        met = meet(stars, sets, percent, often)
+        met = meet(stars, sets, percent, often if level < LEVELS else None)
         links = links.unionByName(met.filter("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         groups = stored(components(links), "labels")
         labelled = _labelled(met, groups)
         if labelled.isEmpty():
             return groups
-        beyond = _beyond_pivots(met, labelled)
-        pairs = _pairs(beyond if level == LEVELS else beyond.filter(f"size <= {FEW}"), percent).unionByName(_of_smaller(labelled, percent)).distinct()
+        if level < LEVELS:
+            beyond = _beyond_pivots(met, labelled)
+            pairs = _pairs(beyond.filter(f"size <= {FEW}"), percent).unionByName(_of_smaller(labelled, percent)).distinct()
+        else:
+            pairs = _differing(met, labelled, percent).distinct()
         x, y = sets.select(F.col("id").alias("a"), F.col("counts").alias("x")), sets.select(F.col("id").alias("b"), F.col("counts").alias("y"))
         pairs = stored(not_apart(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b"), percent), "pairs")
-        buckets = beyond.filter(f"size > {FEW}").select("bucket", "id", "n")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
         if level < LEVELS:
-            ids = ids.unionByName(buckets.select("id"))
+            buckets = beyond.filter(f"size > {FEW}").select("bucket", "id", "n")
+            ids = buckets.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id")))
             sets = stored(sets.join(ids.distinct().hint("merge"), "id", "left_semi"), "sets")  # all that is looked at from here on
         links = links.unionByName(stored(confirmed(sets, pairs, percent), "links"))
         if level == LEVELS:

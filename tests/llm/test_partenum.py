@@ -169,6 +169,37 @@ def test_links_among_sets_smaller_than_the_pivot(spark):
     assert sorted((r.id, r.component) for r in got if r.id) == [(i, 1) for i in range(1, 6)]
 
 
+@pytest.mark.parametrize("smaller", [0, 9])
+def test_few_members_of_a_large_star_meet(spark, monkeypatch, smaller):
+    """Copies of a template with one to three changed passages, mostly not linked with the pivot: all links are found, and a tenth of the pairs meet at most."""
+    rng = np.random.default_rng(21)
+    pool = rng.permutation(np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64)))
+    base, new = pool[:146], iter(pool[146:])
+    sets = {}
+    for i in range(140):
+        kept = np.ones(len(base), bool)
+        for at in rng.choice(len(base) - 4, [1, 3, 3, 4][i % 4], replace=False):
+            kept[at : at + 5] = False
+        x = np.r_[base[kept][: len(base) - rng.integers(0, smaller + 1)], [next(new) for _ in range(int((~kept).sum()) - smaller // 9)]]
+        sets[i] = np.sort(x.astype(np.uint64))
+    made = spark.createDataFrame([(i, s.tobytes(), stars.counts(s)) for i, s in sets.items()], "id bigint, set binary, counts binary")
+    often = spark.createDataFrame([(b, i, len(sets[i])) for b in range(20) for i in sets if i == 0 or b % 6 != i % 6], "bucket bigint, id bigint, n bigint")
+    met = []
+    real = stars.not_apart
+    monkeypatch.setattr(stars, "not_apart", lambda pairs, *rest: met.append(pairs.count()) or real(pairs, *rest))
+    monkeypatch.setattr(stars, "LEVELS", 0)
+    got = {r.id: r.component for r in stars.linked(often, made, spark.createDataFrame([], "a bigint, b bigint"), 80).collect()}
+    want = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common) and want[i] != want[j]:
+                old, least = max(want[i], want[j]), min(want[i], want[j])
+                want = {x: least if y == old else y for x, y in want.items()}
+    assert {i: got.get(i, i) for i in sets} == want and 10 < len(set(want.values())) < 130
+    assert sum(met) < len(sets) * (len(sets) - 1) // 20, met
+
+
 def test_similar_sets_share_as_many_signatures_as_said():
     rng = np.random.default_rng(8)
     bands = pe.Bands(80)
