@@ -41,7 +41,7 @@ def expired(runs: DataFrame, now: Column, hours: dict[str, int] | None = None, d
     limit = aliased(F.col("task_type"), {k: str(v) for k, v in (STALE_HOURS if hours is None else hours).items()}, str(default)).cast("int")
     seen = F.coalesce("heartbeat_at", "started_at")
     df = runs.withColumn("status", status(F.col("status")))
-    stale = F.col("status").isin(*RUNNING) & (F.timestamp_diff("SECOND", seen, now) > limit * 3600)
+    stale = F.col("status").isin(*RUNNING) & (seen < F.timestamp_add("HOUR", -limit, now))
     df = df.withColumn("is_stale", F.coalesce(stale, F.lit(False)))
     return df.withColumn("failure_reason", F.when(F.col("is_stale"), "stale").otherwise(F.col("failure_reason"))).withColumn("finished_at", F.when(F.col("is_stale"), now).otherwise(F.col("finished_at"))).withColumn("status", F.when(F.col("is_stale"), "failed").otherwise(F.col("status")))
 
@@ -52,7 +52,7 @@ def blocked(runs: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 
 def runtime_health(runs: DataFrame, now: Column) -> DataFrame:
-    """How many run, how many are stale, the latest heartbeat and its age."""
+    """How many run, how many are stale, the latest heartbeat and its age in whole seconds passed."""
     e = expired(runs, now).withColumn("was_running", F.col("status").isin(*RUNNING) | F.col("is_stale"))
     return e.agg(F.count_if("was_running").alias("running"), F.count_if("is_stale").alias("stale"), F.max(F.when(F.col("was_running"), F.coalesce("heartbeat_at", "started_at"))).alias("latest_heartbeat")).withColumn("age_seconds", F.timestamp_diff("SECOND", F.col("latest_heartbeat"), now))
 

@@ -181,6 +181,15 @@ def test_tasks(spark):
     assert {x.id: (x.status, x.progress) for x in tasks.folded(ev).collect()} == {"a": ("cancel_requested", 30), "b": ("success", 1)}
 
 
+def test_stale_to_the_microsecond(spark):
+    seen = [dt.datetime(2026, 1, 1, 10), dt.datetime(2026, 1, 1, 9, 59, 59, 999_999)]
+    r = rows(spark, "task_runs", *[{"id": str(k), "task_type": "manual_scrape", "status": "running", "started_at": t} for k, t in enumerate(seen)])
+    now = F.to_timestamp(F.lit("2026-01-01 12:00:00"))
+    assert {x.id: x.is_stale for x in tasks.expired(r, now).collect()} == {"0": False, "1": True}
+    h = tasks.runtime_health(r.filter("id = '1'"), now).first()
+    assert (h.running, h.stale, h.age_seconds) == (1, 1, 7200)
+
+
 def test_pages(spark):
     html = """<html><head><title> A  page </title></head><body><p>outside</p><div class="x content"><p>一、岗位</p><table><tr><th>岗位</th><th>人数</th></tr><tr><td>甲</td><td>2</td></tr></table><script>no</script><p>时间：3月</p><p><a href="/f/%E8%A1%A8.xlsx">附件：表.xlsx</a></p></div><p>after</p></body></html>"""
     d = pages.detail(html, "https://e.org/x/y.html")

@@ -1,5 +1,6 @@
 """Every registered query runs on the smallest tables and matches its SQL there."""
 
+import datetime as dt
 import os
 
 import duckdb
@@ -37,6 +38,35 @@ def test_query(spark, duck, name):
         assert shown(got) == shown(want)
 
 
+def on_rows(spark, path, name, table, rows, schema):
+    """What a query gives on a made table, and what its SQL does."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{table}.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}/{table}.parquet/*.parquet')")
+    df = q.QUERIES[name](spark, str(path))
+    columns = sorted(df.columns)
+    return shown(df.select(columns).collect()), shown(c.execute(f"SELECT {', '.join(columns)} FROM ({q.SQL[name]})").fetchall())
+
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+@pytest.mark.parametrize("last", ["2024-01-19 23:59:59.5", "2024-01-20 00:00:00", "2024-01-20 00:00:00.5", "1969-12-31 23:59:59.5", None])
+def test_runtime_health_within_a_second(spark, tmp_path, last):
+    at = lambda t: t and dt.datetime.fromisoformat(t)
+    limits = ["2024-01-19 21:59:59.999999", "2024-01-19 22:00:00", "2024-01-19 22:00:00.000001", "2024-01-19 21:59:59"] if last and last > "2024" else []
+    rows = [(4 * k, at(t), k, "click", 0.0, "{}") for k, t in enumerate([*limits, last, None])]
+    got, want = on_rows(spark, tmp_path, "runtime_health", "events", [*rows, (1, at("2024-02-01"), 9, "click", 0.0, "{}"), (None, at("2024-02-01"), 9, None, 0.0, "{}")], EVENTS)
+    assert got == want
+
+
+def test_stale_tasks_within_a_second(spark, tmp_path):
+    at = lambda t: dt.datetime(2024, 1, 20, 12) - dt.timedelta(hours=2, microseconds=t)
+    rows = [(4 * k, at(t), k, "click", 0.0, "{}") for k, t in enumerate((0, 1, -1, 999_999, 1_000_000))]
+    got, want = on_rows(spark, tmp_path, "stale_tasks", "events", [*rows, (21, dt.datetime(2024, 1, 20, 12), 9, "click", 0.0, "{}")], EVENTS)
+    assert got == want and sum("True" in r for r in got) == 3
+
+
 def test_flagship(spark):
     assert q.flagship(spark, DATA).count() == 20
 
