@@ -84,11 +84,11 @@ def resolved_kind(name: Column, declared: Column, content: Column) -> Column:
 
 
 def stale(files: DataFrame, results: DataFrame) -> DataFrame:
-    """Files (path, length, modificationTime, file_type) whose parse result is missing or doesn't fit any more."""
-    r = results.select(F.col("file").alias("_f"), F.col("file_type").alias("_kind"), "sidecar_version", "source_size", "source_mtime", "fields", "jobs")
-    j = files.join(r, files["path"] == r["_f"], "left")
-    fits = (F.col("sidecar_version") == PARSER_VERSION) & F.col("_kind").eqNullSafe(F.col("file_type")) & (F.col("source_size") == F.col("length")) & (F.col("source_mtime") == F.col("modificationTime")) & F.col("fields").isNotNull() & F.col("jobs").isNotNull()
-    return j.filter(~F.coalesce(fits, F.lit(False))).select(files["*"])
+    """Files (path, length, modificationTime, file_type) whose parse result is missing or doesn't fit any more; each file once, and of several results of a path one that fits is enough."""
+    good = results.filter((F.col("sidecar_version") == PARSER_VERSION) & F.col("fields").isNotNull() & F.col("jobs").isNotNull())
+    r = good.select(F.col("file").alias("_f"), F.col("file_type").alias("_kind"), F.col("source_size").alias("_size"), F.col("source_mtime").alias("_time"))
+    fits = (files["path"] == r["_f"]) & files["file_type"].eqNullSafe(r["_kind"]) & (files["length"] == r["_size"]) & (files["modificationTime"] == r["_time"])
+    return files.join(r, fits, "left_anti")
 
 
 def sheet_rows(files: DataFrame, readers: dict[str, Callable[[bytes], Rows]] | None = None) -> DataFrame:

@@ -205,6 +205,17 @@ def test_pages(spark):
     assert [tuple(x) for x in names.collect()] == [("b c.pdf", "pdf"), ("表.xls", "xls")]
 
 
+def test_stale_parse_results(spark):
+    t = dt.datetime(2026, 1, 1)
+    paths = ["none", "fits", "fits", "version", "kind", "size", "time", "fields", "jobs", "two", "both", None]
+    files = spark.createDataFrame([(n, p, 10, t, "pdf") for n, p in enumerate(paths)], "n int, path string, length bigint, modificationTime timestamp, file_type string")
+    good = {"file_type": "pdf", "sidecar_version": sheets.PARSER_VERSION, "source_size": 10, "source_mtime": t, "fields": [], "jobs": []}
+    odd = {"version": {"sidecar_version": 1}, "kind": {"file_type": None}, "size": {"source_size": 9}, "time": {"source_mtime": None}, "fields": {"fields": None}, "jobs": {"jobs": None}}
+    made = [("fits", good), (None, good), *[(p, good | o) for p, o in odd.items()], ("two", good | odd["size"]), ("two", good | odd["kind"]), ("both", good | odd["size"]), ("both", good)]
+    results = spark.createDataFrame([(p, *r.values()) for p, r in made], "file string, file_type string, sidecar_version int, source_size bigint, source_mtime timestamp, fields array<string>, jobs array<string>")
+    assert sorted(r.n for r in sheets.stale(files, results).collect()) == [0, 3, 4, 5, 6, 7, 8, 9, 11]
+
+
 def test_sheets(spark):
     head = ["序号", "岗位名称", "招聘人数", "学历要求", "专业要求", "工作地点"]
     s = spark.createDataFrame([("f", [["标题", "", ""], head, ["1", "专职辅导员", "2", "硕士", "教育", "南京"], ["2", "教师", "1", "博士", "x", "y"]]), ("g", [["辅导员 甲"], [""]]), ("h", [])], "file string, rows array<array<string>>")

@@ -67,6 +67,13 @@ def test_stale_tasks_within_a_second(spark, tmp_path):
     assert got == want and sum("True" in r for r in got) == 3
 
 
+def test_stale_files_of_shared_addresses(spark, tmp_path):
+    ids = [*range(12), *range(12), 17, 23, -1, -5, -6, 2**62, None]
+    rows = [(n, "u" if k % 3 else None if k % 2 else f"u{k}", "") for k, n in enumerate(ids)]
+    got, want = on_rows(spark, tmp_path, "stale_files", "pages", rows, "page_id bigint, url string, html string")
+    assert got == want and len(got) == 24
+
+
 def test_flagship(spark):
     assert q.flagship(spark, DATA).count() == 20
 
